@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from veridian.llm.mixing import op3_mixing, op3_sql
+from veridian.llm.ngram_join import op6_ngram_join
 from veridian.llm.packing import op2_packing
 from veridian.llm.token_stream import op7_token_stream
 
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_mixing": op3_mixing,
+    "op6_ngram_join": op6_ngram_join,
     "op7_token_stream": op7_token_stream,
 }
 
