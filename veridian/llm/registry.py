@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from veridian.llm.language_id import op4_language_id
 from veridian.llm.mixing import op3_mixing, op3_sql
 from veridian.llm.ngram_join import op6_ngram_join
 from veridian.llm.packing import op2_packing
@@ -10,6 +11,7 @@ from veridian.llm.token_stream import op7_token_stream
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_mixing": op3_mixing,
+    "op4_language_id": op4_language_id,
     "op6_ngram_join": op6_ngram_join,
     "op7_token_stream": op7_token_stream,
 }
