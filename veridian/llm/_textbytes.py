@@ -96,17 +96,27 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.row)
 
-    def hashes(self) -> np.ndarray:
-        """One 64-bit hash for each word: equal bytes give equal hashes in every task."""
+    def _sums(self) -> np.ndarray:
+        if not hasattr(self, "_total"):
+            up, _ = _powers(len(self.buf))
+            self._total = np.zeros(len(self.buf) + 1, dtype=np.uint64)
+            with np.errstate(over="ignore"):
+                np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * up[: len(self.buf)], out=self._total[1:])
+        return self._total
+
+    def hashes(self, first: int | None = None) -> np.ndarray:
+        """One 64-bit hash for each word: equal bytes give equal hashes in every task.
+
+        ``first``: of the first so many bytes of each word only.
+        """
         if not len(self.start):
             return np.zeros(0, np.uint64)
-        # positions are taken modulo a block so that the power tables stay small
-        up, down = _powers(len(self.buf))
+        end = self.end if first is None else np.minimum(self.end, self.start + first)
+        total = self._sums()
+        _, down = _powers(len(self.buf))
         with np.errstate(over="ignore"):
-            total = np.zeros(len(self.buf) + 1, dtype=np.uint64)
-            np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * up[: len(self.buf)], out=total[1:])
-            h = (total[self.end] - total[self.start]) * down[self.start]
-            return mix64(h + (self.end - self.start).astype(np.uint64))
+            h = (total[end] - total[self.start]) * down[self.start]
+            return mix64(h + (end - self.start).astype(np.uint64))
 
     def strings(self, which: np.ndarray | None = None) -> list[str]:
         """The text of the chosen words (few of them: this decodes one by one)."""
@@ -115,7 +125,7 @@ class Words:
         return [data[self.start[i] : self.end[i]].decode("utf-8", "replace") for i in pick]
 
 
-def row_blocks(batch: pa.RecordBatch, text: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def row_blocks(batch: pa.RecordBatch, text: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most_bytes`` of text each (a longer row stays whole)."""
     column = batch.column(batch.schema.names.index(text))
     _, off = text_bytes(column)

@@ -7,6 +7,7 @@ from veridian.llm.mixing import op3_mixing, op3_sql
 from veridian.llm.ngram_join import op6_ngram_join
 from veridian.llm.packing import op2_packing
 from veridian.llm.token_stream import op7_token_stream
+from veridian.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op2_packing": op2_packing,
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op6_ngram_join": op6_ngram_join,
     "op7_token_stream": op7_token_stream,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES = {"op3_mixing": op3_sql()}
