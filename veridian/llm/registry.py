@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from veridian.llm.language_id import op4_language_id
+from veridian.llm.language_model import op9_lm_scoring
 from veridian.llm.mixing import op3_mixing, op3_sql
 from veridian.llm.ngram_join import op6_ngram_join
 from veridian.llm.packing import op2_packing
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op6_ngram_join": op6_ngram_join,
     "op7_token_stream": op7_token_stream,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_toxicity": op10_toxicity,
 }
 
