@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from veridian.llm.ann_tree import op8_ann_tree
+from veridian.llm.fingerprints import op5_fingerprints
 from veridian.llm.language_id import op4_language_id
 from veridian.llm.language_model import op9_lm_scoring
 from veridian.llm.mixing import op3_mixing, op3_sql
@@ -14,8 +16,10 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_mixing": op3_mixing,
     "op4_language_id": op4_language_id,
+    "op5_fingerprints": op5_fingerprints,
     "op6_ngram_join": op6_ngram_join,
     "op7_token_stream": op7_token_stream,
+    "op8_ann_tree": op8_ann_tree,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_toxicity": op10_toxicity,
 }
