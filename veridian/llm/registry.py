@@ -11,8 +11,10 @@ from veridian.llm.ngram_join import op6_ngram_join
 from veridian.llm.packing import op2_packing
 from veridian.llm.token_stream import op7_token_stream
 from veridian.llm.toxicity import op10_toxicity
+from veridian.llm.url_filter import op1_sql, op1_url_filter
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_packing": op2_packing,
     "op3_mixing": op3_mixing,
     "op4_language_id": op4_language_id,
@@ -24,4 +26,4 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES = {"op3_mixing": op3_sql()}
+ORACLES = {"op1_url_filter": op1_sql(), "op3_mixing": op3_sql()}
