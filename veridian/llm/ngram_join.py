@@ -10,14 +10,16 @@ least 0.8.  Shingles are 64-bit hashes; equal sets form one class, so exact copi
    count, hash): by the prefix principle two linked documents share one of the first
    n - ceil(0.8 n) + 1.  The sketch only chooses the order, rare shingles first, so passages that
    many documents share are not keys; any order gives whole results.
-3. The classes that share a key form a block.  In it an R-tree over the count vectors finds the
-   pairs whose overlap can reach the threshold: sum of coordinate minima, for a node's upper
-   corner first, then for its points.
-4. Surviving pairs are verified on the complete sets.  In the first round every class names only
-   its first survivor of a block, so a large group of near copies costs one link for each member.  After
-   the verified links are joined into components, the second round takes every untested
-   surviving pair between different components.  No pair between different components that could link is
-   left out; pairs inside a component need no test.
+3. The classes that share a key form a block.  Star rounds come first: every class names the leader
+   it shares most keys with (one class of each block, another one each round), the overlap is
+   bounded by the sum of coordinate minima of the count vectors, survivors are verified on the
+   complete sets, and verified links are joined into components.  So a large group of near copies
+   costs one link for each member and round.
+4. Then, in every block that still holds several components, an R-tree over the count vectors finds
+   all pairs of different components whose overlap can reach the threshold: the bound is taken
+   for a node's upper corner first, then for its points.  Survivors that were not tested yet are
+   verified.  No pair between different components that could link is left out; pairs inside a
+   component need no test.
 
 Blocks larger than ``block_rows`` are dealt out as pairs of slices, so no task holds one whole.
 
@@ -43,7 +45,7 @@ from veridian.llm._textbytes import Words, mix64, row_blocks
 from veridian.llm.components import components
 
 SHINGLE_WORDS = 5
-GROUPS = 64
+GROUPS = 256
 SKETCH_BITS = 20
 SKETCH_PARTS = 64
 LEAF = 32
@@ -80,7 +82,7 @@ def class_of(shingles: np.ndarray) -> int | None:
 
 
 def count_vector(shingles: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    return np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.int32)
+    return np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.uint32)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -135,16 +137,16 @@ class CountTree:
             at = np.arange(0, len(v), LEAF)
             self.levels.append((np.maximum.reduceat(v, at), np.minimum.reduceat(m, at)))
 
-    def survivors(self, q: np.ndarray, nq: int, percent: int, below: int) -> np.ndarray:
-        """Points before ``below`` whose bound on the overlap with (q, nq) reaches the threshold."""
+    def survivors(self, q: np.ndarray, nq: int, percent: int) -> np.ndarray:
+        """Points whose bound on the overlap with (q, nq) reaches the threshold."""
         at = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
             vec, n = self.levels[depth]
-            at = at[at * LEAF**depth < below]
+            at = at[100 * nq >= percent * n[at]]
             if not len(at):
                 return at
             bound = np.minimum(vec[at], q).sum(axis=1)
-            at = at[(bound >= needed_overlap(n[at], nq, percent)) & (100 * nq >= percent * n[at])]
+            at = at[bound >= needed_overlap(n[at], nq, percent)]
             if depth:
                 at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
                 at = at[at < len(self.levels[depth - 1][0])]
@@ -156,7 +158,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterat
     held: list[pa.RecordBatch] = []
 
     def columns(table: pa.Table) -> tuple[np.ndarray, ...]:
-        vec = np.frombuffer(b"".join(table["vec"].to_pylist()), dtype=np.int32).reshape(-1, GROUPS)
+        vec = np.frombuffer(b"".join(table["vec"].to_pylist()), dtype=np.uint32).reshape(-1, GROUPS)
         rest = [table[c].to_numpy() for c in names]
         new = np.zeros(len(table), dtype=bool)
         for c in ("key", "tile"):
@@ -192,42 +194,22 @@ def _pair_batch(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
 
-def _first_survivors(percent: int):
-    """Each member of a block with the first earlier member that it may link with."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bounds, vec, cls, n in _blocks(batches, ("cls", "n")):
-            size = np.diff(bounds)
-            two = bounds[:-1][size == 2]
-            a, b = [], []
-            if len(two):
-                ok = np.minimum(vec[two], vec[two + 1]).sum(axis=1) >= needed_overlap(n[two], n[two + 1], percent)
-                a.append(cls[two[ok]])
-                b.append(cls[two[ok] + 1])
-            for s, m in zip(bounds[:-1][size > 2], size[size > 2]):
-                tree = CountTree(vec[s : s + m], n[s : s + m])
-                for i in range(1, m):
-                    hit = tree.survivors(vec[s + i], int(n[s + i]), percent, i)
-                    if len(hit):
-                        a.append(cls[s + hit[:1]])
-                        b.append(cls[s + i : s + i + 1])
-            if a:
-                yield _pair_batch(a, b)
-
-    return run
-
-
 def _all_survivors(percent: int):
     """All pairs of members of different components that may link; ``side`` 0 meets side 1, or all meet all (2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bounds, vec, cls, n, label, side in _blocks(batches, ("cls", "n", "label", "side")):
             for s, e in zip(bounds[:-1], bounds[1:]):
+                name, at = np.unique(label[s:e], return_inverse=True)
+                if len(name) < 2:
+                    continue
                 tree = CountTree(vec[s:e], n[s:e])
+                # members of the most common component meet only the others, so only those ask
+                common = np.bincount(at).argmax()
                 a, b = [], []
-                for i in range(1, e - s):
-                    hit = tree.survivors(vec[s + i], int(n[s + i]), percent, i)
-                    hit = hit[(label[s + hit] != label[s + i]) & ((side[s + hit] != side[s + i]) | (side[s + i] == 2))]
+                for i in np.flatnonzero(at != common):
+                    hit = tree.survivors(vec[s + i], int(n[s + i]), percent)
+                    hit = hit[(at[hit] != at[i]) & ((side[s + hit] != side[s + i]) | (side[s + i] == 2))]
                     if len(hit):
                         a.append(cls[s + hit])
                         b.append(np.full(len(hit), cls[s + i]))
@@ -237,6 +219,21 @@ def _all_survivors(percent: int):
     return run
 
 
+def _bounded(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b) whose count vectors allow a link."""
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint32).reshape(-1, GROUPS) for i in (3, 5))
+                need = needed_overlap(batch.column(2).to_numpy().astype(np.int64), batch.column(4).to_numpy().astype(np.int64), percent)
+                yield batch.select([0, 1]).filter(pa.array(np.minimum(x, y).sum(axis=1) >= need))
+
+    left = vectors.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("vec").alias("va"))
+    right = vectors.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("vec").alias("vb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "va", "nb", "vb").mapInArrow(test, PAIR)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``pairs`` (a, b) with ``linked``: whether the complete sets reach the threshold."""
     left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa"))
@@ -256,7 +253,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long, linked boolean")
 
 
-def ngram_components(docs: DataFrame, percent: int = 80, block_rows: int = 4096) -> DataFrame:
+def ngram_components(docs: DataFrame, percent: int = 80, block_rows: int = 4096, stars: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -294,20 +291,6 @@ def ngram_components(docs: DataFrame, percent: int = 80, block_rows: int = 4096)
     members = materialize(shared_keys, "members")
     docs_of = facts.filter("cls is not null")
     involved = materialize(docs_of.join(members.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("vec").alias("vec")), "involved")
-    blocks = members.join(involved.select("cls", "n", "vec"), "cls")
-    n_parts = shuffle_partitions(spark)
-    deal = F.row_number().over(W.partitionBy("key").orderBy("n", "cls")) - 1
-
-    def in_order(df: DataFrame) -> DataFrame:
-        return df.repartition(n_parts, "key", "tile").sortWithinPartitions("key", "tile", "n", "cls")
-
-    # runs of block_rows by a hash of the class: the first round need not see every pair
-    salted = blocks.withColumn("size", F.count(F.lit(1)).over(W.partitionBy("key")))
-    salted = salted.withColumn("tile", F.when(F.col("size") > block_rows, F.pmod(F.hash("cls"), F.ceil(F.col("size") / block_rows).cast("int"))).otherwise(F.lit(0)))
-    first = in_order(salted.select("key", "tile", "cls", "n", "vec")).mapInArrow(_first_survivors(percent), PAIR)
-    # of several first survivors a class keeps one; the others wait for the second round
-    first = materialize(first.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
-
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in row_blocks(batch, "text"):
@@ -321,20 +304,42 @@ def ngram_components(docs: DataFrame, percent: int = 80, block_rows: int = 4096)
     wanted = involved.select(F.col("doc_id").alias("want"), "cls")
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("want"))).select("text", "cls")
     sets = materialize(texts.mapInArrow(to_sets, "cls long, shingles binary").dropDuplicates(["cls"]), "sets")
-    tested = materialize(_verified(first, sets, percent), "tested")
-    label = components(tested.filter("linked").select("a", "b"))
-    labelled = members.join(label, F.col("cls") == F.col("node"), "left").withColumn("label", F.coalesce("label", "cls")).select("key", "cls", "label")
-    open_blocks = labelled.withColumn("low", F.min("label").over(by_key)).withColumn("high", F.max("label").over(by_key)).filter("low < high").select("key", "cls", "label")
-    open_blocks = open_blocks.join(involved.select("cls", "n", "vec"), "cls").withColumn("slice", F.floor(deal / block_rows).cast("int"))
-    open_blocks = open_blocks.withColumn("slices", F.max("slice").over(by_key) + 1)
-    other = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
-    tiles = open_blocks.withColumn("other", other)
+    vectors = involved.select("cls", "n", "vec")
+    tested, label = None, None
+
+    def open_members() -> DataFrame:
+        """Members of the blocks that hold several components."""
+        if label is None:
+            return members.withColumn("label", F.col("cls"))
+        own = members.join(label, F.col("cls") == F.col("node"), "left").select("key", "cls", F.coalesce("label", "cls").alias("label"))
+        return own.withColumn("low", F.min("label").over(by_key)).withColumn("high", F.max("label").over(by_key)).filter("low < high").select("key", "cls", "label")
+
+    def untested(pairs: DataFrame) -> DataFrame:
+        return pairs if tested is None else pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+
+    for star in range(stars):
+        leader = F.min(F.struct(F.xxhash64("cls", F.lit(star)).alias("h"), "cls", "label")).over(by_key)
+        named = open_members().withColumn("leader", leader).filter("label <> leader.label")
+        named = named.groupBy(F.col("cls"), F.col("leader.cls").alias("other")).agg(F.count(F.lit(1)).alias("keys"))
+        low, high = F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")
+        chosen = untested(named.select(low, high, "cls", "keys")).groupBy("cls").agg(F.max(F.struct("keys", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+        found = _verified(_bounded(chosen, vectors, percent), sets, percent)
+        # pairs that the bound excludes are tested, too
+        found = materialize(chosen.join(found, ["a", "b"], "left").select("a", "b", F.coalesce("linked", F.lit(False)).alias("linked")), "tested")
+        tested = found if tested is None else tested.union(found)
+        label = materialize(components(tested.filter("linked").select("a", "b")), "labels")
+
+    n_parts = shuffle_partitions(spark)
+    deal = F.row_number().over(W.partitionBy("key").orderBy("n", "cls")) - 1
+    tiles = open_members().join(vectors, "cls").withColumn("slice", F.floor(deal / block_rows).cast("int"))
+    tiles = tiles.withColumn("slices", F.max("slice").over(by_key) + 1)
+    tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     low, high = F.least("slice", "other"), F.greatest("slice", "other")
     tiles = tiles.withColumn("tile", low * F.col("slices") + high)
     tiles = tiles.withColumn("side", F.when(F.col("slice") == F.col("other"), 2).when(F.col("slice") < F.col("other"), 0).otherwise(1))
-    second = in_order(tiles.select("key", "tile", "cls", "n", "vec", "label", "side")).mapInArrow(_all_survivors(percent), PAIR).distinct()
-    second = materialize(second.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    links = tested.filter("linked").select("a", "b").union(_verified(second, sets, percent).filter("linked").select("a", "b"))
+    tiles = tiles.select("key", "tile", "cls", "n", "vec", "label", "side").repartition(n_parts, "key", "tile").sortWithinPartitions("key", "tile", "n", "cls")
+    rest = materialize(untested(tiles.mapInArrow(_all_survivors(percent), PAIR).distinct()), "pairs")
+    links = tested.filter("linked").select("a", "b").union(_verified(rest, sets, percent).filter("linked").select("a", "b"))
     label = materialize(components(links), "labels")
     rows = facts.filter("part is null").join(label, F.col("cls") == F.col("node"), "left")
     rows = rows.select("doc_id", F.col("n").alias("n_shingles"), "cls", F.coalesce("label", "cls").alias("label"))
