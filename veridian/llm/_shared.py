@@ -6,6 +6,7 @@ All lineage is cut through tables in the folder that the cluster shares
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,6 +44,16 @@ def delete(spark: SparkSession, *folders: str) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps now.
+
+    They go when the driver's garbage collector finds their plans unused, which on a large heap may
+    be long after; the tables that later steps read are written, so nothing is computed again.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def folder_of(df: DataFrame) -> str:
     """The folder behind a table made by :func:`materialize`."""
     return df.inputFiles()[0].rsplit("/", 1)[0]

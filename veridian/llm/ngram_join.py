@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veridian.llm._shared import materialize, read_table, shuffle_partitions
+from veridian.llm._shared import materialize, read_table, release, shuffle_partitions
 from veridian.llm._textbytes import Words, mix64, row_blocks
 from veridian.llm.components import components
 
@@ -82,7 +82,17 @@ def class_of(shingles: np.ndarray) -> int | None:
 
 
 def count_vector(shingles: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    return np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.uint32)
+    """Group counts in one byte each; 255 stands for anything above 254."""
+    n = np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    return np.minimum(n, 255).astype(np.uint8)
+
+
+def vectors_of(vec: list[bytes], n: np.ndarray) -> np.ndarray:
+    """Count vectors as a matrix; a count that one byte does not hold is bounded by the set size ``n``."""
+    v = np.frombuffer(b"".join(vec), dtype=np.uint8).reshape(-1, GROUPS)
+    if not (v == 255).any():
+        return v
+    return np.where(v == 255, np.asarray(n).astype(np.int32)[:, None], v)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -124,6 +134,35 @@ def _add_counts(table: pa.Table) -> pa.Table:
     return pa.table({"part": table["part"][:1], "counts": pa.array([np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())})
 
 
+FILTER_MOST_BYTES = 32 << 20
+
+
+def class_filter(classes: DataFrame) -> np.ndarray:
+    """A bitmap of ``classes`` (cls), sixteen bits for each and at most FILTER_MOST_BYTES.
+
+    It only spares sets that nobody asks for: where it is too small more sets pass, none is lost.
+    """
+    n = classes.count()
+    size = min(FILTER_MOST_BYTES, max(1 << 13, 1 << (2 * n).bit_length()))
+    width = size // SKETCH_PARTS
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size, dtype=np.uint8)
+        for batch in batches:
+            at = batch.column(0).to_numpy() & (8 * size - 1)
+            np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        yield pa.record_batch([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([p.tobytes() for p in np.split(bits, SKETCH_PARTS)], pa.binary())], names=["part", "bits"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        out = np.bitwise_or.reduce([np.frombuffer(b, dtype=np.uint8) for b in table["bits"].to_pylist()])
+        return pa.table({"part": table["part"][:1], "bits": pa.array([out.tobytes()], pa.binary())})
+
+    bits = np.zeros(size, dtype=np.uint8)
+    for row in classes.mapInArrow(mark, "part int, bits binary").groupBy("part").applyInArrow(merge, "part int, bits binary").collect():
+        bits[row.part * width : (row.part + 1) * width] = np.frombuffer(row.bits, dtype=np.uint8)
+    return bits
+
+
 class CountTree:
     """An R-tree over count vectors, bulk-loaded in the order given (rows sorted by set size).
 
@@ -145,7 +184,7 @@ class CountTree:
             at = at[100 * nq >= percent * n[at]]
             if not len(at):
                 return at
-            bound = np.minimum(vec[at], q).sum(axis=1)
+            bound = np.minimum(vec[at], q).sum(axis=1, dtype=np.int64)
             at = at[bound >= needed_overlap(n[at], nq, percent)]
             if depth:
                 at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
@@ -158,7 +197,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterat
     held: list[pa.RecordBatch] = []
 
     def columns(table: pa.Table) -> tuple[np.ndarray, ...]:
-        vec = np.frombuffer(b"".join(table["vec"].to_pylist()), dtype=np.uint32).reshape(-1, GROUPS)
+        vec = vectors_of(table["vec"].to_pylist(), table["n"].to_numpy())
         rest = [table[c].to_numpy() for c in names]
         new = np.zeros(len(table), dtype=bool)
         for c in ("key", "tile"):
@@ -225,9 +264,9 @@ def _bounded(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint32).reshape(-1, GROUPS) for i in (3, 5))
+                x, y = (vectors_of(batch.column(i).to_pylist(), batch.column(i - 1).to_numpy()) for i in (3, 5))
                 need = needed_overlap(batch.column(2).to_numpy().astype(np.int64), batch.column(4).to_numpy().astype(np.int64), percent)
-                yield batch.select([0, 1]).filter(pa.array(np.minimum(x, y).sum(axis=1) >= need))
+                yield batch.select([0, 1]).filter(pa.array(np.minimum(x, y).sum(axis=1, dtype=np.int64) >= need))
 
     left = vectors.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("vec").alias("va"))
     right = vectors.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("vec").alias("vb"))
@@ -289,21 +328,26 @@ def ngram_components(docs: DataFrame, percent: int = 80, block_rows: int = 4096,
         .distinct()
     )
     members = materialize(shared_keys, "members")
+    release(spark)
     docs_of = facts.filter("cls is not null")
     involved = materialize(docs_of.join(members.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("vec").alias("vec")), "involved")
+    wanted = class_filter(involved.select("cls"))
+    asked = spark.sparkContext.broadcast(wanted)
+
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = asked.value
         for batch in batches:
             for block in row_blocks(batch, "text"):
                 keep, sets = [], []
-                for want, u in zip(block.column(1).to_pylist(), shingle_sets(block.column(0))):
-                    if class_of(u) == want:
-                        keep.append(want)
+                for u in shingle_sets(block.column(1)):
+                    cls = class_of(u)
+                    if cls is not None and bits[(cls & (8 * len(bits) - 1)) >> 3] >> (cls & 7) & 1:
+                        keep.append(cls)
                         sets.append(u.tobytes())
                 yield pa.record_batch([pa.array(keep, pa.int64()), pa.array(sets, pa.binary())], names=["cls", "shingles"])
 
-    wanted = involved.select(F.col("doc_id").alias("want"), "cls")
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("want"))).select("text", "cls")
-    sets = materialize(texts.mapInArrow(to_sets, "cls long, shingles binary").dropDuplicates(["cls"]), "sets")
+    sets = materialize(docs.mapInArrow(to_sets, "cls long, shingles binary").dropDuplicates(["cls"]), "sets")
+    release(spark)
     vectors = involved.select("cls", "n", "vec")
     tested, label = None, None
 
@@ -328,6 +372,7 @@ def ngram_components(docs: DataFrame, percent: int = 80, block_rows: int = 4096,
         found = materialize(chosen.join(found, ["a", "b"], "left").select("a", "b", F.coalesce("linked", F.lit(False)).alias("linked")), "tested")
         tested = found if tested is None else tested.union(found)
         label = materialize(components(tested.filter("linked").select("a", "b")), "labels")
+        release(spark)
 
     n_parts = shuffle_partitions(spark)
     deal = F.row_number().over(W.partitionBy("key").orderBy("n", "cls")) - 1
