@@ -145,7 +145,7 @@ def interpolation_weights(cells: np.ndarray, p0: float, rounds: int = 200) -> np
     return out
 
 
-def score_texts(docs: DataFrame, chunk_bytes: int = 6 << 20, shard_keys: int = 1 << 20, tuning_share: int = 8) -> DataFrame:
+def score_texts(docs: DataFrame, chunk_bytes: int = 4 << 20, shard_keys: int = 1 << 20, tuning_share: int = 8) -> DataFrame:
     """Scores of ``docs`` (doc_id, text, held_out); the rows that are not held out train the model."""
     tuned = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(tuning_share)) == 0
     docs = docs.select("doc_id", "held_out", (~F.col("held_out") & tuned).alias("tuning"), F.coalesce("text", F.lit("")).alias("text"))
