@@ -121,7 +121,7 @@ def priority(spark: SparkSession, d: str) -> DataFrame:
 
 PRIORITY_SQL = f"""WITH b AS (SELECT *, id % 1009 AS e FROM ({DETECTIONS})), m AS (SELECT slide, min(score) AS s0, max(score) AS s1, min(e) AS e0, max(e) AS e1 FROM b GROUP BY slide),
 p AS (SELECT slide, id, round(0.6 * CASE WHEN s1 > s0 THEN (score - s0) / (s1 - s0) ELSE 0.0 END + 0.4 * (1.0 - CASE WHEN e1 > e0 THEN (e - e0) / (e1 - e0)::DOUBLE ELSE 0.0 END), 6) AS priority FROM b JOIN m USING (slide))
-SELECT * FROM (SELECT slide, id, priority, row_number() OVER (PARTITION BY slide ORDER BY priority DESC, id) AS rank FROM p) WHERE rank <= 10"""
+SELECT * REPLACE (rank::INT AS rank) FROM (SELECT slide, id, priority, row_number() OVER (PARTITION BY slide ORDER BY priority DESC, id) AS rank FROM p) WHERE rank <= 10"""
 
 
 def tiles(spark: SparkSession, d: str) -> DataFrame:

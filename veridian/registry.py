@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from veridian.plans import box_queries, table_queries, text_queries, vector_queries
+
+PLANS = (text_queries, box_queries, vector_queries, table_queries)
+QUERIES = {name: query for plan in PLANS for name, query in plan.QUERIES.items()}
+ORACLES = {name: sql for plan in PLANS for name, sql in plan.ORACLES.items()}
