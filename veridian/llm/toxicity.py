@@ -14,8 +14,7 @@ E = K n exp(-lambda S): lambda solves sum p(s) exp(lambda s) = 1 over the scores
 tokens, K fits the tail of clean texts.  A text's score is a logistic function, fitted on the
 calibration half, of -ln E summed over its segments.
 
-Defined cases: null and empty texts have no segment and get the score of a text of one token
-without segments; repeated tokens count each time; very long texts are read whole; with no
+Defined cases: null and empty texts have no segment, and all texts without one get the same score; repeated tokens count each time; very long texts are read whole; with no
 labelled row of a class every score is the smoothed rate of the other rows; an empty table gives
 no row; other columns are kept or ignored as the function says.
 """
@@ -97,7 +96,7 @@ class Scorer:
         sums = np.append(0.0, np.cumsum(s, dtype=np.float64))
         hits = np.flatnonzero(s > 0)
         bounds = np.searchsorted(hits, words.row)
-        value = -np.log(self.k * n)
+        value = np.zeros(len(n))  # without a segment there is no evidence, however short the text
         found: list = [None] * (len(words.row) - 1)
         for r in np.flatnonzero(np.diff(bounds)):
             at = hits[bounds[r] : bounds[r + 1]]
