@@ -55,7 +55,7 @@ _BYTES = _byte_alphabet()
 class ColumnEncoder:
     """Encodes string columns with one tokenizer file; keeps a bounded cache of distinct pieces."""
 
-    def __init__(self, path: str, cache_size: int = 120_000):
+    def __init__(self, path: str, cache_size: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
