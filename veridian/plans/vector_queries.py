@@ -39,7 +39,7 @@ def distances(spark: SparkSession, d: str) -> DataFrame:
 
 DISTANCES_SQL = f"""WITH c AS ({CORPUS}), q AS (SELECT label, {MEAN} AS q FROM c GROUP BY label),
 x AS (SELECT vec_id, list_dot_product(embedding, q) / ((sqrt(list_dot_product(embedding, embedding)) + 1e-8) * (sqrt(list_dot_product(q, q)) + 1e-8)) AS cos, list_distance(embedding, q) AS e FROM c JOIN q USING (label))
-SELECT vec_id, round(cos, 6) AS cosine, round(1 - cos, 6) AS cosine_distance, round(e, 6) AS euclidean, 1.0 AS unit FROM x"""
+SELECT vec_id, round(cos, 6) AS cosine, round(1 - cos, 6) AS cosine_distance, round(e, 6) AS euclidean, 1.0::DOUBLE AS unit FROM x"""
 
 
 def medoids(spark: SparkSession, d: str) -> DataFrame:
