@@ -7,8 +7,9 @@ enough leaves are visited.  How many is calibrated: on sample queries against th
 number of leaves is widened until their mean recall at k reaches the target.  Visited leaves are
 searched completely, in double precision on the original vectors.
 
-A leaf that holds many rows is dealt out in blocks of ``block_rows``; each block gives its k
-nearest for each query, and these are merged, so one leaf may hold any share of all rows.
+Neighbouring leaves are searched together in buckets of about ``block_rows`` rows, and a leaf that
+holds more is dealt out in blocks; each gives its k nearest for each query, and these are merged,
+so one leaf may hold any share of all rows.
 
 Defined cases: vectors that are null, empty, all zero or hold null or non-finite components, or
 are not of the common length, take no part, as query or candidate; ties go to the smaller ``vec_id``; repeated ``vec_id`` rows are
@@ -160,37 +161,53 @@ def nearest_neighbours(rows: DataFrame, is_query, k: int = 10, sample: int = 20_
     indexed = materialize(rows.mapInArrow(assign, "vec_id long, embedding array<double>, leaf int"), "ann-index")
     # one row for each leaf: bounded by the tree
     held = {r.leaf: r.n for r in indexed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
-    blocks = {leaf: -(-n // block_rows) for leaf, n in held.items()}
-    block_of = spark.createDataFrame(list(blocks.items()), "leaf int, blocks int")
+    # neighbouring leaves share a bucket of about block_rows rows; a larger leaf has one of its own, in blocks
+    bucket_of, blocks, room = {}, [], 0
+    for leaf in sorted(held):
+        n = held[leaf]
+        if n > room or not blocks:
+            blocks.append(max(1, -(-n // block_rows)))
+            room = block_rows
+        room = 0 if n > block_rows else room - n
+        bucket_of[leaf] = len(blocks) - 1
+    block_of = spark.createDataFrame([(leaf, b, blocks[b]) for leaf, b in bucket_of.items()], "leaf int, bucket int, blocks int")
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1) if batch.num_rows else []
-            at, leaf, block = [], [], []
+            at, bucket, block, leaves = [], [], [], []
             for i, q in enumerate(vectors):
-                seen, rows_seen = 0, 0
+                seen, rows_seen, mine = 0, 0, {}
                 for b in model.value.best_bins(q):
                     if seen >= visits and rows_seen >= 4 * k:
                         break
                     seen, rows_seen = seen + 1, rows_seen + held.get(b, 0)
-                    for j in range(blocks.get(b, 0)):
+                    if b in bucket_of:
+                        mine.setdefault(bucket_of[b], []).append(b)
+                for name, own in mine.items():
+                    for j in range(blocks[name]):
                         at.append(i)
-                        leaf.append(b)
+                        bucket.append(name)
                         block.append(j)
-            yield pa.record_batch([batch.column(0).take(pa.array(at, pa.int64())), batch.column(1).take(pa.array(at, pa.int64())), pa.array(leaf, pa.int32()), pa.array(block, pa.int32())], names=["query_id", "query", "leaf", "block"])
+                        leaves.append(own)
+            yield pa.record_batch(
+                [batch.column(0).take(pa.array(at, pa.int64())), batch.column(1).take(pa.array(at, pa.int64())), pa.array(bucket, pa.int32()), pa.array(block, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))],
+                names=["query_id", "query", "bucket", "block", "leaves"],
+            )
 
     n = shuffle_partitions(spark)
     queries = indexed.filter(is_query(F.col("vec_id"))).select("vec_id", "embedding").distinct().repartition(n)
-    visited = queries.mapInArrow(visit, "query_id long, query array<double>, leaf int, block int")
-    members = indexed.join(F.broadcast(block_of), "leaf").select("leaf", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), "vec_id", "embedding")
+    visited = queries.mapInArrow(visit, "query_id long, query array<double>, bucket int, block int, leaves array<int>")
+    members = indexed.join(F.broadcast(block_of), "leaf").select("bucket", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), "leaf", "vec_id", "embedding")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         ids = left["vec_id"].to_numpy()
         vectors = left["embedding"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1) if len(ids) else np.zeros((0, 1))
         q_id, v_id, score = [], [], []
         if len(ids):
-            for name, q in zip(right["query_id"].to_pylist(), right["query"].combine_chunks().flatten().to_numpy().reshape(-1, vectors.shape[1]) if len(right) else ()):
-                keep = ids != name
+            leaf = left["leaf"].to_numpy()
+            for name, own, q in zip(right["query_id"].to_pylist(), right["leaves"].to_pylist(), right["query"].combine_chunks().flatten().to_numpy().reshape(-1, vectors.shape[1]) if len(right) else ()):
+                keep = np.flatnonzero(np.isin(leaf, own) & (ids != name))
                 at, d = top_k(q, ids[keep], vectors[keep], k)
                 q_id.append(np.full(len(at), name))
                 v_id.append(ids[keep][at])
@@ -199,7 +216,7 @@ def nearest_neighbours(rows: DataFrame, is_query, k: int = 10, sample: int = 20_
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         return pa.table({"query_id": np.concatenate(q_id), "vec_id": np.concatenate(v_id), "score": np.concatenate(score)})
 
-    found = members.groupBy("leaf", "block").cogroup(visited.groupBy("leaf", "block")).applyInArrow(search, FOUND)
+    found = members.groupBy("bucket", "block").cogroup(visited.groupBy("bucket", "block")).applyInArrow(search, FOUND)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
