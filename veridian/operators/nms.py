@@ -1,7 +1,9 @@
 """Greedy suppression of overlapping boxes.
 
-Boxes are first split into groups that can touch each other: greedy suppression is exact within
-connected groups of overlapping boxes, so a slide never has to be one group.
+A slide is one group: what a box suppresses depends on all better boxes that it overlaps, wherever
+a border would lie.  Within a slide the boxes go through in blocks, best first; a block is compared
+with the kept boxes of the grid cells that it touches and then with itself, so no slide is compared
+all with all.
 """
 
 from __future__ import annotations
@@ -28,13 +30,66 @@ def greedy(boxes: np.ndarray, threshold: float) -> np.ndarray:
     return keep
 
 
+def _touched(boxes: np.ndarray, cell: float, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row of ``boxes`` and number of the grid cell, for every cell that a box touches."""
+    first = np.floor((boxes[:, :2] - low) / cell).astype(np.int64)
+    wide, high = (np.floor((boxes[:, 2:] - low) / cell).astype(np.int64) - first + 1).T
+    n = wide * high
+    row = np.repeat(np.arange(len(boxes)), n)
+    k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    return row, ((first[row, 0] + k % wide[row]) << 32) + first[row, 1] + k // wide[row]
+
+
+def _covered(boxes: np.ndarray, cells: np.ndarray, kept: np.ndarray, cell: float, low: np.ndarray, threshold: float, most: int = 1 << 20) -> np.ndarray:
+    """Which of ``boxes`` overlap one of ``kept`` by more than the threshold; ``cells`` are the sorted cells of ``kept``."""
+    row, own = _touched(boxes, cell, low)
+    lo = np.searchsorted(cells, own, side="left")
+    n = np.searchsorted(cells, own, side="right") - lo
+    if n.sum() > most and len(boxes) > 1:
+        half = len(boxes) // 2
+        return np.concatenate([_covered(part, cells, kept, cell, low, threshold, most) for part in (boxes[:half], boxes[half:])])
+    a = boxes[np.repeat(row, n)]
+    b = kept[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+    w = np.minimum(a[:, 2], b[:, 2]) - np.maximum(a[:, 0], b[:, 0])
+    h = np.minimum(a[:, 3], b[:, 3]) - np.maximum(a[:, 1], b[:, 1])
+    both = np.maximum(w, 0) * np.maximum(h, 0)
+    area = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
+    out = np.zeros(len(boxes), dtype=bool)
+    out[np.repeat(row, n)[both > threshold * (area(b) + area(a) - both)]] = True
+    return out
+
+
+def greedy_in_blocks(boxes: np.ndarray, threshold: float, block: int = 1024) -> np.ndarray:
+    """As :func:`greedy`, for many boxes.  Boxes with a missing side stay and suppress nothing."""
+    keep = np.ones(len(boxes), dtype=bool)
+    at = np.flatnonzero(np.isfinite(boxes).all(axis=1))
+    boxes = boxes[at]
+    if not len(boxes):
+        return keep
+    low = boxes[:, :2].min(axis=0)
+    side = (boxes[:, 2:] - boxes[:, :2]).max(axis=1)
+    cell = max(2 * float(np.sqrt(np.mean(side**2))), float((boxes[:, 2:].max(axis=0) - low).max()) / (1 << 20)) or 1.0
+    cells, kept = np.zeros(0, np.int64), np.zeros((0, 4))
+    for start in range(0, len(boxes), block):
+        part = np.arange(start, min(start + block, len(boxes)))
+        left = part[~_covered(boxes[part], cells, kept, cell, low, threshold)]
+        stay = left[greedy(boxes[left], threshold)]
+        keep[at[part]] = False
+        keep[at[stay]] = True
+        row, own = _touched(boxes[stay], cell, low)
+        order = np.argsort(own, kind="stable")
+        to = np.searchsorted(cells, own[order])
+        cells, kept = np.insert(cells, to, own[order]), np.insert(kept, to, boxes[stay][row[order]], axis=0)
+    return keep
+
+
 def suppress(boxes: DataFrame, group: list[str], key: str, score: str, threshold: float) -> DataFrame:
-    """``kept`` for every box; the order is score descending, then key."""
+    """``kept`` for every box; the order is score descending, then key (W8).  ``group`` must hold all boxes of a slide."""
     schema = boxes.select(*group, key).schema.add("kept", "boolean")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values([score, key], ascending=[False, True], kind="stable")
-        part["kept"] = greedy(part[["x1", "y1", "x2", "y2"]].to_numpy(np.float64), threshold)
+        part["kept"] = greedy_in_blocks(part[["x1", "y1", "x2", "y2"]].to_numpy(np.float64), threshold)
         return part[[*group, key, "kept"]]
 
     return boxes.groupBy(*group).applyInPandas(run, schema)

@@ -162,9 +162,8 @@ SELECT slide, x, y, n FROM r WHERE r = least(greatest(c // 2, floor(c * 0.6::DOU
 
 
 def nms(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy suppression per slide and 1,000-wide tile column."""
-    b = detections(spark, d).withColumn("column", F.floor(F.col("x1") / 1000))
-    return N.suppress(b.select("slide", "column", "id", "score", "x1", "y1", "x2", "y2"), ["slide", "column"], "id", "score", 0.1)
+    """Greedy suppression per slide."""
+    return N.suppress(detections(spark, d).select("slide", "id", "score", "x1", "y1", "x2", "y2"), ["slide"], "id", "score", 0.1)
 
 
 def detection_scores(spark: SparkSession, d: str) -> DataFrame:
