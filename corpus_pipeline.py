@@ -7,9 +7,10 @@ Parquet and read again as the next one's ``docs``.  All but the last keep the co
 1. language: documents whose language cannot be told go (no letters, or no language of the
    mixture holds ``LEAST_LANGUAGE`` of the words).
 2. toxicity: documents that score at or above the threshold go.
-3. near duplicates: one document of each group of linked documents stays, the one with the smallest
-   ``doc_id`` (of rows that repeat it, the first by text); documents without words are linked with
-   nothing and stay.
+3. near duplicates: one row of each group of linked rows stays, the one with the smallest ``doc_id``
+   (null counts as the largest; of rows that repeat it, the first by text, then by the other
+   columns).  Groups are found by text alone: rows that share a ``doc_id``, or have none, are not
+   linked by that.  Rows without words are linked with nothing and all stay.
 4. mixture: sources are repeated or thinned to their target weights.
 5. packing: everything left is packed into sequences of at most 4096 ids.
 
@@ -48,12 +49,25 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group."""
-    groups = ngram_components(docs.select("doc_id", "text"))
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    stay = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    first = F.row_number().over(W.partitionBy("doc_id").orderBy(*[F.col(_name(c)) for c in ["text", *[c for c in docs.columns if c != "text"]]]))
-    return stay.withColumn("_first", first).filter("_first = 1").select(*map(_name, docs.columns))
+    """Keeps one row of each group.  Rows are known by a hash of ``doc_id`` and text, so equal ones have one key."""
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    groups = ngram_components(docs.select(key.alias("doc_id"), "text"))
+    groups = groups.select(F.col("doc_id").alias("_row"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("_group"))
+    groups = groups.groupBy("_row").agg(F.first("_group").alias("_group"), F.count(F.lit(1)).alias("_rows"))
+    rows = materialize(docs.select(key.alias("_row"), F.col("doc_id").cast("long").alias("_doc")).distinct().join(groups, "_row"), "rows")
+    by_doc = rows.filter("_group is not null").groupBy("_group", "_doc").agg(F.min("_row").alias("_row"), F.sum("_rows").alias("_rows"))
+    first = F.min(F.struct(F.col("_doc").isNull().alias("none"), "_doc", "_row", "_rows"))
+    least = materialize(by_doc.groupBy("_group").agg(first.alias("_first")).select("_group", "_first.*"), "least")
+    # groups whose smallest doc_id has one row need no order among texts
+    single = least.filter("_rows = 1").select("_row").union(rows.filter("_group is null").select("_row"))
+    several = least.filter("_rows > 1").select(F.col("_group").alias("_g"), F.col("_doc").alias("_d"))
+    several = rows.join(several, (F.col("_group") == F.col("_g")) & F.col("_doc").eqNullSafe(F.col("_d"))).select("_row", "_group")
+    keyed = docs.withColumn("_row", key)
+    tied = keyed.join(several, "_row")
+    order = [F.col(_name(c)) for c in ["text", *[c for c in docs.columns if c != "text"]]]
+    tied = tied.withColumn("_first", F.row_number().over(W.partitionBy("_group").orderBy(*order))).filter("_first = 1")
+    names = [*map(_name, docs.columns)]
+    return keyed.join(single, "_row", "left_semi").select(*names).union(tied.select(*names))
 
 
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
