@@ -3,9 +3,10 @@
 A signature starts at an anchor, a common word of a language, and chains the next ``CHAIN`` content
 words (words that are no anchors) after it.  The fingerprint of a text is the set of its
 signatures, 32-bit hashes in ascending order, written as hexadecimal digits, eight for each.  Texts
-are likened by the Jaccard similarity of their sets; sets are compared only if their lengths allow
-the asked similarity (length partitions), and the comparison stops being made where the bound
-min/max of the lengths is below it.
+are likened by the Jaccard similarity of their sets: the query likens each document with its edited text
+and with the next document, :func:`alike_fingerprints` finds all pairs of a table that are alike.
+There sets meet only if their lengths allow the asked similarity (length partitions) and they share
+one of their rarest signatures; the others are pruned before an intersection is taken.
 
 Defined cases: null counts as empty; a text without a signature takes chains that start at every
 word; one with fewer than CHAIN words takes all its words as one signature; without words
@@ -17,14 +18,16 @@ row.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veridian.llm._shared import read_table, shuffle_partitions
+from veridian.llm._shared import materialize, read_table, shuffle_partitions
 from veridian.llm._textbytes import NOT_LETTER, Words, mix64, row_blocks
 
 CHAIN = 2
@@ -179,6 +182,38 @@ def mine_first(sets: SpotSets, n: int) -> SpotSets:
     return out
 
 
+def alike_fingerprints(prints: DataFrame, least: float) -> DataFrame:
+    """a, b, likeness of all pairs a < b of different fingerprints in ``prints`` (fingerprint) whose Jaccard similarity is at least ``least``.
+
+    Of two sets that are so alike, the smaller one has ``least`` times the larger one's length or
+    more, and they share one of the first n - ceil(least * n) + 1 signatures in any common order;
+    rare ones come first here.  Lengths lie in partitions that grow by 1 / ``least``; a set asks its
+    own partition and those that lengths from least * n on lie in.  Null and empty fingerprints are
+    left out: equal fingerprints are joined by their text.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("least must be above 0 and at most 1")
+    step = max(-math.log(least), 1e-3)
+    lower = lambda n: F.ceil(n * least - 1e-9)
+    part = lambda n: F.floor(F.log(n.cast("double")) / step)
+    n = F.col("n")
+    sets = prints.filter("fingerprint <> ''").select("fingerprint").distinct()
+    sets = materialize(sets.select("fingerprint", F.regexp_extract_all("fingerprint", F.lit("[0-9a-f]{8}"), 0).alias("signatures")).withColumn("n", F.size("signatures")), "sets")
+    held = sets.select("fingerprint", "n", F.explode("signatures").alias("signature"))
+    counts = held.groupBy("signature").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1")
+    # a signature of one set is no key, but takes its place among the rarest
+    rank = F.row_number().over(W.partitionBy("fingerprint").orderBy(F.coalesce("sets", F.lit(1)), "signature"))
+    keys = held.join(counts, "signature", "left").withColumn("rank", rank).filter((F.col("rank") <= n - lower(n) + 1) & F.col("sets").isNotNull())
+    small = keys.select("signature", part(n).alias("part"), F.col("fingerprint").alias("a"), n.alias("na"))
+    large = keys.select("signature", F.explode(F.sequence(part(lower(n)), part(n))).alias("part"), F.col("fingerprint").alias("b"), n.alias("nb"))
+    meet = ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & (F.col("na") >= lower(F.col("nb")))
+    pairs = small.join(large, ["signature", "part"]).filter(meet).select("a", "b").distinct()
+    pairs = pairs.join(sets.select(F.col("fingerprint").alias("a"), F.col("signatures").alias("sa")), "a").join(sets.select(F.col("fingerprint").alias("b"), F.col("signatures").alias("sb")), "b")
+    both = F.size(F.array_intersect("sa", "sb"))
+    pairs = pairs.withColumn("likeness", both / (F.size("sa") + F.size("sb") - both)).filter(F.col("likeness") >= least)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "likeness")
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and its edited text."""
     return fingerprint_documents(read_table(spark, sf_dir, "documents"))
