@@ -30,9 +30,12 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 _MULT_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {}
 
+#: Bytes that are hashed at once.
+WINDOW = 1 << 20
+
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of the multiplier and of its inverse modulo 2**64 (kept per worker, doubling)."""
+    """Powers 0..n of the multiplier and of its inverse modulo 2**64 (kept per worker; n is WINDOW at most)."""
     have = _POWERS.get("up")
     if have is None or len(have) <= n:
         size = max(1 << 16, 1 << int(n + 1).bit_length())
@@ -96,27 +99,42 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.row)
 
-    def _sums(self) -> np.ndarray:
-        if not hasattr(self, "_total"):
-            up, _ = _powers(len(self.buf))
-            self._total = np.zeros(len(self.buf) + 1, dtype=np.uint64)
-            with np.errstate(over="ignore"):
-                np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * up[: len(self.buf)], out=self._total[1:])
-        return self._total
-
     def hashes(self, first: int | None = None) -> np.ndarray:
         """One 64-bit hash for each word: equal bytes give equal hashes in every task.
 
-        ``first``: of the first so many bytes of each word only.
+        ``first``: of the first so many bytes of each word only.  A hash is a polynomial in the word's own
+        bytes, so bytes are taken in windows of WINDOW and a long text needs no more than a short one.
         """
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
         end = self.end if first is None else np.minimum(self.end, self.start + first)
-        total = self._sums()
-        _, down = _powers(len(self.buf))
+        out = np.empty(len(end), dtype=np.uint64)
+        at = 0
+        while at < len(end):
+            base = self.start[at]
+            to = max(at + 1, int(np.searchsorted(end, base + WINDOW, side="right")))
+            if end[at] - base > WINDOW:
+                out[at] = self._long_word(int(base), int(end[at]))
+                at += 1
+                continue
+            lo, hi = self.start[at:to] - base, end[at:to] - base
+            up, down = _powers(int(hi[-1]))
+            total = np.zeros(int(hi[-1]) + 1, dtype=np.uint64)
+            with np.errstate(over="ignore"):
+                np.cumsum((self.buf[base : base + hi[-1]].astype(np.uint64) + np.uint64(1)) * up[: hi[-1]], out=total[1:])
+                out[at:to] = (total[hi] - total[lo]) * down[lo]
+            at = to
+        with np.errstate(over="ignore"):
+            return mix64(out + (end - self.start).astype(np.uint64))
+
+    def _long_word(self, start: int, end: int) -> np.uint64:
+        """The polynomial of a word longer than a window."""
+        total, step, one = np.uint64(0), np.uint64(pow(int(_MULT), WINDOW, 1 << 64)), np.uint64(1)
+        up, _ = _powers(WINDOW)
         with np.errstate(over="ignore"):
-            h = (total[end] - total[self.start]) * down[self.start]
-            return mix64(h + (end - self.start).astype(np.uint64))
+            for at in range(start, end, WINDOW):
+                part = self.buf[at : min(end, at + WINDOW)].astype(np.uint64) + np.uint64(1)
+                total += (part * up[: len(part)]).sum(dtype=np.uint64) * one
+                one *= step
+        return total
 
     def strings(self, which: np.ndarray | None = None) -> list[str]:
         """The text of the chosen words (few of them: this decodes one by one)."""

@@ -2,6 +2,8 @@
 
 Two documents link when their sets of distinct 5-word shingles have a Jaccard similarity of at
 least 0.8.  Shingles are 64-bit hashes; equal sets form one class, so exact copies meet once.
+A class is known by 64 bits of a digest; another 64 bits show classes that share them by chance
+(a few at 10^10 documents), and those get names of their own.
 
 1. One pass over the texts gives each document's class, set size and count vector (its shingles
    hashed into groups, one count for each group), and a fixed-size sketch of how many documents
@@ -9,29 +11,35 @@ least 0.8.  Shingles are 64-bit hashes; equal sets form one class, so exact copi
 2. A second pass emits, for each document, the shingles that come first in the order (sketch
    count, hash): by the prefix principle two linked documents share one of the first
    n - ceil(0.8 n) + 1.  The sketch only chooses the order, rare shingles first, so passages that
-   many documents share are not keys; any order gives whole results.
-3. The classes that share a key form a block.  Star rounds come first: every class names the leader
-   it shares most keys with (one class of each block, another one each round), the overlap is
-   bounded by the sum of coordinate minima of the count vectors, survivors are verified on the
-   complete sets, and verified links are joined into components.  So a large group of near copies
-   costs one link for each member and round.
+   many documents share are not keys; any order gives whole results.  Of T shingles in all a bucket
+   holds T / 2^20 give or take its square root, so what stands out is a shingle held by several
+   times sqrt(T / 2^20) documents: 50 at 10^9 shingles, 20,000 at 10^13.
+3. The classes that share a key form a block.  Blocks with the same classes (the keys of one passage)
+   become one.  Stars come first: every class names, ``stars`` times, the leader that it shares most
+   keys with (one class of each block), the overlap is bounded by the sum of coordinate minima of
+   the count vectors, survivors are verified on the complete sets, and verified links are joined
+   into components.  So a large group of near copies costs ``stars`` tests for each member.
 4. Then, in every block that still holds several components, an R-tree over the count vectors finds
    all pairs of different components whose overlap can reach the threshold: the bound is taken
    for a node's upper corner first, then for its points.  Survivors that were not tested yet are
    verified.  No pair between different components that could link is left out; pairs inside a
    component need no test.
 
-Blocks larger than ``block_rows`` are dealt out as pairs of slices, so no task holds one whole.
+Complete sets are made for the classes of bounded pairs only.  Keys that the sketch calls common are
+dealt out in slices, and blocks larger than ``block_rows`` as pairs of slices ordered by set size
+(slices too unlike in size never meet), so no task holds one whole.
 
 Defined cases: null, empty and blank texts have an empty set and are linked with nothing (not with
 each other); fewer than five words count as one shingle; rows that repeat a ``doc_id`` are
-documents of their own in the join, and a component is named by the smallest ``doc_id`` in it;
-other columns are ignored; an empty table gives no row.
+documents of their own in the join, and a component is named by the smallest ``doc_id`` in it (null
+if all are null); ties in the order of keys go to the smaller hash; very long texts are hashed in
+windows; columns of other names are ignored; an empty table gives no row.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,10 +83,33 @@ def shingle_sets(column: pa.Array, k: int = SHINGLE_WORDS) -> Iterator[np.ndarra
                 yield np.zeros(0, np.uint64)
 
 
-def class_of(shingles: np.ndarray) -> int | None:
+def class_of(shingles: np.ndarray) -> tuple[int | None, int | None]:
+    """The class of a set and a second hash of it; none for an empty set."""
     if not len(shingles):
-        return None
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+        return None, None
+    digest = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
+class ClassNames:
+    """Names of classes: the first hash, or the second for sets that share the first by chance.
+
+    ``clashes`` maps a shared first hash to the smallest second one, which keeps it.
+    """
+
+    def __init__(self, clashes: dict[int, int]):
+        self.clashes = clashes
+
+    def __call__(self, shingles: np.ndarray) -> int | None:
+        cls, check = class_of(shingles)
+        return check if cls in self.clashes and check != self.clashes[cls] else cls
+
+    def column(self, cls: str, check: str):
+        """The name as a column expression."""
+        if not self.clashes:
+            return F.col(cls)
+        least = F.create_map(*[F.lit(x) for pair in self.clashes.items() for x in pair])[F.col(cls)]
+        return F.when(least.isNotNull() & (F.col(check) != least), F.col(check)).otherwise(F.col(cls))
 
 
 def count_vector(shingles: np.ndarray, groups: int = GROUPS) -> np.ndarray:
@@ -105,64 +136,125 @@ def needed_overlap(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-FACTS = "doc_id long, cls long, n int, vec binary, part int, counts binary"
+FACTS = "doc_id long, cls long, check long, n int, vec binary, part int, counts binary"
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("vec", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("check", pa.int64()), ("n", pa.int32()), ("vec", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
     sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
     seen = False
     for batch in batches:
         for block in row_blocks(batch, "text"):
             seen = True
-            cls, n, vec = [], [], []
+            cls, check, n, vec = [], [], [], []
             for u in shingle_sets(block.column(1)):
-                cls.append(class_of(u))
+                first, second = class_of(u)
+                cls.append(first)
+                check.append(second)
                 n.append(len(u))
                 vec.append(count_vector(u).tobytes() if len(u) else None)
                 np.add.at(sketch, (u >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
             k = len(n)
-            yield pa.record_batch([block.column(0), pa.array(cls, pa.int64()), pa.array(n, pa.int32()), pa.array(vec, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
+            yield pa.record_batch([block.column(0), pa.array(cls, pa.int64()), pa.array(check, pa.int64()), pa.array(n, pa.int32()), pa.array(vec, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
     if seen:
         k = SKETCH_PARTS
         parts = [p.tobytes() for p in np.split(sketch, k)]
-        yield pa.record_batch([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
+        yield pa.record_batch([*[pa.nulls(k, pa.int64()) for _ in range(3)], pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
 
 
-def _add_counts(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(c, dtype=np.uint32).astype(np.uint64) for c in table["counts"].to_pylist())
-    return pa.table({"part": table["part"][:1], "counts": pa.array([np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())})
+SUMS = "part int, counts binary"
+
+
+def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the sketch parts that a task sees, one row for each part."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+            own = np.frombuffer(counts.as_buffer(), dtype=np.uint32)
+            have = total.get(part)
+            total[part] = own.copy() if have is None else np.where(have > ~own, np.uint32(0xFFFFFFFF), have + own)
+    if total:
+        yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())], names=["part", "counts"])
+
+
+def read_sketch(facts: DataFrame) -> np.ndarray:
+    """The sketch of the whole table: SKETCH_PARTS rows of 64 KB at any size of it, summed by tasks and then by part."""
+    parts = facts.filter("part is not null").select("part", "counts").mapInArrow(_add_counts, SUMS)
+    sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
+    width = (1 << SKETCH_BITS) // SKETCH_PARTS
+    for row in parts.repartition("part").mapInArrow(_add_counts, SUMS).collect():
+        sketch[row.part * width : (row.part + 1) * width] = np.frombuffer(row.counts, dtype=np.uint32)
+    return sketch
 
 
 FILTER_MOST_BYTES = 32 << 20
+_NO_ID = 0x5EED0000
 
 
-def class_filter(classes: DataFrame) -> np.ndarray:
-    """A bitmap of ``classes`` (cls), sixteen bits for each and at most FILTER_MOST_BYTES.
+def _marks(ids: np.ndarray, size: int) -> np.ndarray:
+    return (mix64(ids.view(np.uint64)) & np.uint64(8 * size - 1)).astype(np.int64)
 
-    It only spares sets that nobody asks for: where it is too small more sets pass, none is lost.
+
+def id_filter(ids: DataFrame) -> np.ndarray | None:
+    """A bitmap of ``ids`` (one long column; null is a value too), sixteen bits for each and at most FILTER_MOST_BYTES.
+
+    It only spares texts that nobody asks for: where it is too small more pass, none is lost.
     """
-    n = classes.count()
+    n = ids.count()
+    if not n:
+        return None
     size = min(FILTER_MOST_BYTES, max(1 << 13, 1 << (2 * n).bit_length()))
     width = size // SKETCH_PARTS
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(size, dtype=np.uint8)
         for batch in batches:
-            at = batch.column(0).to_numpy() & (8 * size - 1)
+            at = _marks(batch.column(0).fill_null(_NO_ID).to_numpy(), size)
             np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
         yield pa.record_batch([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([p.tobytes() for p in np.split(bits, SKETCH_PARTS)], pa.binary())], names=["part", "bits"])
 
-    def merge(table: pa.Table) -> pa.Table:
-        out = np.bitwise_or.reduce([np.frombuffer(b, dtype=np.uint8) for b in table["bits"].to_pylist()])
-        return pa.table({"part": table["part"][:1], "bits": pa.array([out.tobytes()], pa.binary())})
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, bits in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = np.frombuffer(bits.as_buffer(), dtype=np.uint8)
+                total[part] = own | total[part] if part in total else own.copy()
+        if total:
+            yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())], names=["part", "bits"])
 
     bits = np.zeros(size, dtype=np.uint8)
-    for row in classes.mapInArrow(mark, "part int, bits binary").groupBy("part").applyInArrow(merge, "part int, bits binary").collect():
+    for row in ids.mapInArrow(mark, "part int, bits binary").repartition("part").mapInArrow(merge, "part int, bits binary").collect():
         bits[row.part * width : (row.part + 1) * width] = np.frombuffer(row.bits, dtype=np.uint8)
     return bits
 
 
+def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, cls) of rows (key, slice, cls) sorted by them: each once, and none of a key with one class.
+
+    Keys dealt out in slices (slice above 0) keep all; whether they hold one class is seen later.
+    """
+    carry, grouped = None, False  # the last row so far, and whether its key had another one before it
+
+    def out(key: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(key, pa.int64()), pa.array(cls, pa.int64())], names=["key", "cls"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, part, cls = (batch.column(i).to_numpy() for i in range(3))
+        if carry is not None:
+            key, part, cls = (np.append(x, y) for x, y in zip(carry, (key, part, cls)))
+        near = (key[1:] == key[:-1]) & (part[1:] == part[:-1])
+        new = np.append(True, ~near | (cls[1:] != cls[:-1]))
+        key, part, cls = key[new], part[new], cls[new]
+        same = np.concatenate([[grouped], (key[1:] == key[:-1]) & (part[1:] == part[:-1])])
+        keep = same[:-1] | same[1:] | (part[:-1] > 0)
+        carry, grouped = (key[-1:], part[-1:], cls[-1:]), bool(same[-1])
+        yield out(key[:-1][keep], cls[:-1][keep])
+    if carry is not None and (grouped or carry[1][0] > 0):
+        yield out(carry[0], carry[2])
+
+
 class CountTree:
     """An R-tree over count vectors, bulk-loaded in the order given (rows sorted by set size).
 
@@ -225,35 +317,45 @@ def _blocks(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterat
 
 
 PAIR = "a long, b long"
-
-
-def _pair_batch(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
-    a, b = np.concatenate(a), np.concatenate(b)
-    pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-    return pa.record_batch([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+PAIRS_HELD = 1 << 18
 
 
 def _all_survivors(percent: int):
-    """All pairs of members of different components that may link; ``side`` 0 meets side 1, or all meet all (2)."""
+    """All pairs of members of different components that may link; ``side`` 0 meets side 1, or all meet all (2).
+
+    Rows come by group: the blocks of one leader, which share many of their pairs.  A pair is given once for
+    each group (again after PAIRS_HELD others, which bounds what a task holds; the caller takes distinct pairs).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bounds, vec, cls, n, label, side in _blocks(batches, ("cls", "n", "label", "side")):
+        held, seen, whose = [], set(), None
+
+        def given() -> pa.RecordBatch:
+            a, b = zip(*held)
+            held.clear()
+            return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for bounds, vec, cls, n, label, side, group in _blocks(batches, ("cls", "n", "label", "side", "leader")):
             for s, e in zip(bounds[:-1], bounds[1:]):
                 name, at = np.unique(label[s:e], return_inverse=True)
                 if len(name) < 2:
                     continue
+                if group[s] != whose or len(seen) > PAIRS_HELD:
+                    seen, whose = set(), group[s]
                 tree = CountTree(vec[s:e], n[s:e])
                 # members of the most common component meet only the others, so only those ask
                 common = np.bincount(at).argmax()
-                a, b = [], []
                 for i in np.flatnonzero(at != common):
                     hit = tree.survivors(vec[s + i], int(n[s + i]), percent)
                     hit = hit[(at[hit] != at[i]) & ((side[s + hit] != side[s + i]) | (side[s + i] == 2))]
-                    if len(hit):
-                        a.append(cls[s + hit])
-                        b.append(np.full(len(hit), cls[s + i]))
-                if a:
-                    yield _pair_batch(a, b)
+                    one = int(cls[s + i])
+                    fresh = {(min(one, c), max(one, c)) for c in cls[s + hit].tolist()} - seen
+                    seen |= fresh
+                    held.extend(fresh)
+                if len(held) >= 8192:
+                    yield given()
+        if held:
+            yield given()
 
     return run
 
@@ -292,101 +394,142 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long, linked boolean")
 
 
-def ngram_components(docs: DataFrame, percent: int = 80, block_rows: int = 4096, stars: int = 3) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+def _keys(docs: DataFrame, sketch: np.ndarray, name: ClassNames, percent: int, slice_rows: int) -> DataFrame:
+    """key, slice, cls of every document's prefix.  Keys of buckets far above the mean are dealt out in slices by class."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    facts = materialize(docs.mapInArrow(_facts, FACTS), "facts")
-    sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
-    width = (1 << SKETCH_BITS) // SKETCH_PARTS
-    # SKETCH_PARTS rows, 4 MB together whatever the size of the corpus
-    for row in facts.filter("part is not null").select("part", "counts").groupBy("part").applyInArrow(_add_counts, "part int, counts binary").collect():
-        sketch[row.part * width : (row.part + 1) * width] = np.frombuffer(row.counts, dtype=np.uint32)
+    mean = float(sketch.mean())
+    common = max(float(slice_rows), mean + 8 * math.sqrt(mean))
     shared = spark.sparkContext.broadcast(sketch)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = shared.value
+        counts = shared.value
         for batch in batches:
             for block in row_blocks(batch, "text"):
-                key, cls = [], []
+                key, cls, rank = [], [], []
                 for u in shingle_sets(block.column(1)):
                     p = prefix_length(len(u), percent)
                     if p:
-                        rank = common[(u >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                        key.append(u[np.argsort(rank, kind="stable")[:p]].view(np.int64))
-                        cls.append(np.full(p, class_of(u)))
+                        held = counts[(u >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                        first = np.argsort(held, kind="stable")[:p]
+                        key.append(u[first].view(np.int64))
+                        rank.append(held[first])
+                        cls.append(np.full(p, name(u)))
                 if key:
-                    yield pa.record_batch([pa.array(np.concatenate(key)), pa.array(np.concatenate(cls))], names=["key", "cls"])
-
-    by_key = W.partitionBy("key")
-    shared_keys = (
-        docs.mapInArrow(keys, "key long, cls long")
-        .withColumn("low", F.min("cls").over(by_key))
-        .withColumn("high", F.max("cls").over(by_key))
-        .filter("low < high")
-        .select("key", "cls")
-        .distinct()
-    )
-    members = materialize(shared_keys, "members")
-    release(spark)
-    docs_of = facts.filter("cls is not null")
-    involved = materialize(docs_of.join(members.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("vec").alias("vec")), "involved")
-    wanted = class_filter(involved.select("cls"))
-    asked = spark.sparkContext.broadcast(wanted)
+                    cls, rank = np.concatenate(cls), np.concatenate(rank)
+                    slices = np.where(rank > common, np.ceil(rank / slice_rows), 0).astype(np.int64)
+                    part = np.where(slices > 0, 1 + (mix64(cls.view(np.uint64)) >> np.uint64(33)).astype(np.int64) % np.maximum(slices, 1), 0)
+                    yield pa.record_batch([pa.array(np.concatenate(key)), pa.array(part.astype(np.int32)), pa.array(cls)], names=["key", "slice", "cls"])
 
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = asked.value
-        for batch in batches:
-            for block in row_blocks(batch, "text"):
-                keep, sets = [], []
-                for u in shingle_sets(block.column(1)):
-                    cls = class_of(u)
-                    if cls is not None and bits[(cls & (8 * len(bits) - 1)) >> 3] >> (cls & 7) & 1:
-                        keep.append(cls)
-                        sets.append(u.tobytes())
-                yield pa.record_batch([pa.array(keep, pa.int64()), pa.array(sets, pa.binary())], names=["cls", "shingles"])
+    return docs.mapInArrow(keys, "key long, slice int, cls long")
+
+
+def _blocks_of(members: DataFrame) -> DataFrame:
+    """``members`` (key, cls) of keys with several classes, one key for each set of classes; ``keys`` counts those it stands for.
 
-    sets = materialize(docs.mapInArrow(to_sets, "cls long, shingles binary").dropDuplicates(["cls"]), "sets")
+    Sums of hashes know a set of classes: two keys are taken as one if size and 128 bits agree.
+    """
+    whole = members.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.min("cls").alias("low"), F.max("cls").alias("high"),
+        F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"),
+    )
+    whole = whole.filter("low < high").groupBy("n", "low", "high", "x", "y").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("keys"))
+    return members.join(whole.select("key", "keys"), "key")
+
+
+def _star_pairs(members: DataFrame, stars: int) -> DataFrame:
+    """(a, b): every class and, for each star, the leader that it shares most keys with."""
+    leaders = [F.min(F.struct(F.xxhash64("cls", F.lit(star)).alias("h"), "cls"))["cls"] for star in range(stars)]
+    heads = members.groupBy("key").agg(F.array(*leaders).alias("leaders"))
+    named = members.join(heads, "key").select("cls", "keys", F.posexplode("leaders").alias("star", "other")).filter("cls <> other")
+    named = named.groupBy("star", "cls", "other").agg(F.sum("keys").alias("keys"))
+    best = named.groupBy("star", "cls").agg(F.max(F.struct("keys", "other")).alias("p"))
+    return best.select(F.least("cls", "p.other").alias("a"), F.greatest("cls", "p.other").alias("b")).distinct()
+
+
+def _open_members(members: DataFrame, label: DataFrame) -> DataFrame:
+    """Members, with component and leader, of the blocks that hold several components; ``rows`` of the block."""
+    own = members.join(label, F.col("cls") == F.col("node"), "left").select("key", "cls", F.coalesce("label", "cls").alias("label"))
+    first = F.min(F.struct(F.xxhash64("cls", F.lit(0)).alias("h"), "cls"))["cls"]
+    heads = own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), first.alias("leader"), F.count(F.lit(1)).alias("rows"))
+    return own.join(heads.filter("low < high").select("key", "leader", "rows"), "key")
+
+
+def _tiles(members: DataFrame, block_rows: int, percent: int) -> DataFrame:
+    """key, leader, tile, side, cls, n, vec, label: blocks of ``members`` (with n and vec) as they are searched.
+
+    A block of more than ``block_rows`` is cut into slices by set size, ties by a hash, from the counts of
+    its sizes; two slices meet where their sizes allow a link.
+    """
+    fields = ["key", "leader", "tile", "side", "cls", "n", "vec", "label"]
+    small = members.filter(F.col("rows") <= block_rows).withColumn("tile", F.lit(0).cast("long")).withColumn("side", F.lit(2))
+    large = members.filter(F.col("rows") > block_rows)
+    sizes = large.groupBy("key", "n").agg(F.count(F.lit(1)).alias("own"))
+    before = F.sum("own").over(W.partitionBy("key").orderBy("n")) - F.col("own")
+    at = F.col("before") + F.col("own") * (F.pmod(F.xxhash64("cls"), F.lit(1 << 20)) / (1 << 20))
+    large = large.join(sizes.withColumn("before", before), ["key", "n"]).withColumn("slice", F.floor(at / block_rows).cast("long"))
+    slices = large.groupBy("key", "slice").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    a, b = slices.alias("a"), slices.alias("b")
+    meet = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.slice") <= F.col("b.slice")) & (100 * F.col("a.high") >= percent * F.col("b.low")))
+    meet = meet.select(F.col("a.key").alias("k"), (F.col("a.slice") * (1 << 31) + F.col("b.slice")).alias("tile"), F.col("a.slice").alias("x"), F.col("b.slice").alias("y"))
+    same = meet.filter("x = y").select("k", "tile", F.col("x").alias("s"), F.lit(2).alias("side"))
+    both = meet.filter("x < y").select("k", "tile", F.explode(F.array(F.struct(F.col("x").alias("s"), F.lit(0).alias("side")), F.struct(F.col("y").alias("s"), F.lit(1).alias("side")))).alias("e")).select("k", "tile", "e.*")
+    large = large.join(same.union(both), (F.col("key") == F.col("k")) & (F.col("slice") == F.col("s")))
+    return small.select(fields).union(large.select(fields))
+
+
+def ngram_components(docs: DataFrame, percent: int = 80, block_rows: int = 4096, stars: int = 3) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    facts = materialize(docs.mapInArrow(_facts, FACTS), "facts")
+    sketch = read_sketch(facts)
+    clashes = facts.filter("cls is not null").groupBy("cls").agg(F.min("check").alias("low"), F.max("check").alias("high")).filter("low < high")
+    # about n^2 / 2^65 rows for n documents: two at 10^10
+    name = ClassNames({r.cls: r.low for r in clashes.collect()})
+    facts = facts.filter("part is null").select("doc_id", name.column("cls", "check").alias("cls"), "n", "vec")
+
+    keys = _keys(docs, sketch, name, percent, block_rows).repartition(shuffle_partitions(spark), "key", "slice").sortWithinPartitions("key", "slice", "cls")
+    shared = materialize(keys.mapInArrow(_shared_rows, "key long, cls long"), "shared")
     release(spark)
-    vectors = involved.select("cls", "n", "vec")
-    tested, label = None, None
-
-    def open_members() -> DataFrame:
-        """Members of the blocks that hold several components."""
-        if label is None:
-            return members.withColumn("label", F.col("cls"))
-        own = members.join(label, F.col("cls") == F.col("node"), "left").select("key", "cls", F.coalesce("label", "cls").alias("label"))
-        return own.withColumn("low", F.min("label").over(by_key)).withColumn("high", F.max("label").over(by_key)).filter("low < high").select("key", "cls", "label")
-
-    def untested(pairs: DataFrame) -> DataFrame:
-        return pairs if tested is None else pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-
-    for star in range(stars):
-        leader = F.min(F.struct(F.xxhash64("cls", F.lit(star)).alias("h"), "cls", "label")).over(by_key)
-        named = open_members().withColumn("leader", leader).filter("label <> leader.label")
-        named = named.groupBy(F.col("cls"), F.col("leader.cls").alias("other")).agg(F.count(F.lit(1)).alias("keys"))
-        low, high = F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")
-        chosen = untested(named.select(low, high, "cls", "keys")).groupBy("cls").agg(F.max(F.struct("keys", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-        found = _verified(_bounded(chosen, vectors, percent), sets, percent)
-        # pairs that the bound excludes are tested, too
-        found = materialize(chosen.join(found, ["a", "b"], "left").select("a", "b", F.coalesce("linked", F.lit(False)).alias("linked")), "tested")
-        tested = found if tested is None else tested.union(found)
-        label = materialize(components(tested.filter("linked").select("a", "b")), "labels")
-        release(spark)
-
-    n_parts = shuffle_partitions(spark)
-    deal = F.row_number().over(W.partitionBy("key").orderBy("n", "cls")) - 1
-    tiles = open_members().join(vectors, "cls").withColumn("slice", F.floor(deal / block_rows).cast("int"))
-    tiles = tiles.withColumn("slices", F.max("slice").over(by_key) + 1)
-    tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    low, high = F.least("slice", "other"), F.greatest("slice", "other")
-    tiles = tiles.withColumn("tile", low * F.col("slices") + high)
-    tiles = tiles.withColumn("side", F.when(F.col("slice") == F.col("other"), 2).when(F.col("slice") < F.col("other"), 0).otherwise(1))
-    tiles = tiles.select("key", "tile", "cls", "n", "vec", "label", "side").repartition(n_parts, "key", "tile").sortWithinPartitions("key", "tile", "n", "cls")
-    rest = materialize(untested(tiles.mapInArrow(_all_survivors(percent), PAIR).distinct()), "pairs")
-    links = tested.filter("linked").select("a", "b").union(_verified(rest, sets, percent).filter("linked").select("a", "b"))
+    members = materialize(_blocks_of(shared), "members")
+    vectors = facts.join(members.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("vec").alias("vec"))
+    vectors = materialize(vectors, "vectors")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """``pairs`` with ``linked``; complete sets are made for their classes."""
+        classes = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+        wanted = id_filter(vectors.join(classes, "cls", "left_semi").select("doc_id"))
+        if wanted is None:
+            return pairs.withColumn("linked", F.lit(False))
+        asked = spark.sparkContext.broadcast(wanted)
+
+        def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits, given = asked.value, set()
+            for batch in batches:
+                at = _marks(batch.column(0).fill_null(_NO_ID).to_numpy(), len(bits))
+                chosen = batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+                for block in row_blocks(chosen, "text"):
+                    keep, sets = [], []
+                    for u in shingle_sets(block.column(1)):
+                        cls = name(u)
+                        if cls is not None and cls not in given:
+                            given.add(cls)
+                            keep.append(cls)
+                            sets.append(u.tobytes())
+                    yield pa.record_batch([pa.array(keep, pa.int64()), pa.array(sets, pa.binary())], names=["cls", "shingles"])
+
+        sets = docs.mapInArrow(to_sets, "cls long, shingles binary").join(classes, "cls", "left_semi")
+        return _verified(pairs, materialize(sets.dropDuplicates(["cls"]), "sets"), percent)
+
+    tested = materialize(verified(materialize(_bounded(_star_pairs(members, stars), vectors, percent), "stars")), "tested")
+    links = tested.filter("linked").select("a", "b")
     label = materialize(components(links), "labels")
-    rows = facts.filter("part is null").join(label, F.col("cls") == F.col("node"), "left")
+    tiles = _tiles(_open_members(members, label).join(vectors.select("cls", "n", "vec"), "cls"), block_rows, percent)
+    tiles = tiles.repartition(shuffle_partitions(spark), "leader", "tile").sortWithinPartitions("leader", "key", "tile", "n", "cls")
+    rest = tiles.mapInArrow(_all_survivors(percent), PAIR).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    rest = materialize(verified(materialize(rest, "pairs")), "tested")
+    label = materialize(components(links.union(rest.filter("linked").select("a", "b"))), "labels")
+    rows = facts.join(label, F.col("cls") == F.col("node"), "left")
     rows = rows.select("doc_id", F.col("n").alias("n_shingles"), "cls", F.coalesce("label", "cls").alias("label"))
     named = rows.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return rows.join(named, "label", "left").select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
