@@ -7,19 +7,22 @@ path template:
 1. Tree: for every host, the path is followed for ``DEPTH`` segments.  A segment stays literal if at
    its place in the tree it is common (``COMMON`` URLs at least, and 1 in ``SHARE``); else it becomes
    a wildcard, which keeps a file extension.  What is deeper becomes one mark.
-2. Labels are the URLs that rules decide.  Templates of one host that have the same shape and
-   whose rates of blocked labels do not differ significantly (two-proportion z below ``Z``) are
-   merged branches.
-3. Purity: the blocked share of a branch's labels, smoothed towards the share of its host, which is
-   smoothed towards one half, so a host without labels is not rejected.  A template is rejected if
-   the purity is at least ``REJECT``.
+2. Labels are the URLs that rules decide.  Templates of one host that have the same shape start as one
+   branch; ``ROUNDS`` times each template's rate of blocked labels is held against that of the rest of its
+   branch, and those that differ significantly (two-proportion z of ``Z``), above or below, leave for
+   branches of their own.  Templates that stay together are merged.
+3. Purity: the blocked share of a branch's own labels, smoothed with ``STRENGTH`` labels at the rate of its
+   shape over all hosts, but at one half at most.  A template is rejected if the purity is at least
+   ``REJECT``, so what others did can spare a template but never reject it: without labels of its own
+   branch it is allowed.
 
 Every step is an aggregation or an equi-join with per-value counts, so one host may hold any share
-of the rows.
+of the rows.  A node of the tree has ``SHARE`` literal children at most, so a host has SHARE ^ DEPTH templates at most.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, and no rule fits it;
 equal rows are judged alike; ties between rules of one length go to the first by text; an empty
-table gives no row; other columns are ignored.
+table gives no row; repeated rows count each time; very long URLs are read whole; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-DEPTH, COMMON, SHARE, Z, REJECT, STRENGTH = 3, 5, 50, 2.0, 0.6, 8.0
+DEPTH, COMMON, SHARE, Z, ROUNDS, REJECT, STRENGTH = 3, 5, 50, 2.0, 2, 0.6, 8.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = "(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -70,7 +73,8 @@ def templates(rows: DataFrame) -> DataFrame:
         value = F.get("_segments", F.lit(level))
         rows = rows.withColumn("_value", value)
         counts = rows.filter("_value is not null").groupBy("host", "template", "_value").agg(F.count(F.lit(1)).alias("n"))
-        common = counts.withColumn("all", F.sum("n").over(W.partitionBy("host", "template"))).filter((F.col("n") >= COMMON) & (F.col("n") * SHARE >= F.col("all")))
+        every = counts.groupBy("host", "template").agg(F.sum("n").alias("all"))
+        common = counts.filter(F.col("n") >= COMMON).join(every, ["host", "template"]).filter(F.col("n") * SHARE >= F.col("all"))
         common = common.select(F.col("host").alias("_h"), F.col("template").alias("_t"), F.col("_value").alias("_v"))
         rows = rows.join(common, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")) & (F.col("_value") == F.col("_v")), "left")
         wild = F.concat(F.lit("/*"), F.regexp_extract("_value", r"\.[A-Za-z0-9]{1,5}$", 0))
@@ -85,18 +89,19 @@ def template_purity(rows: DataFrame) -> DataFrame:
     """host, template, branch, purity of ``rows`` (host, template, shape, verdict); ``verdict`` is null where no rule fits."""
     blocked = F.sum(F.when(F.col("verdict") == "block", 1).otherwise(0))
     t = rows.groupBy("host", "shape", "template").agg(blocked.alias("b"), F.count("verdict").alias("l"))
-    t = t.withColumn("rate", (F.col("b") + 1.0) / (F.col("l") + 2.0))
-    in_order = W.partitionBy("host", "shape").orderBy("rate", "template")
-    t = t.withColumn("b0", F.lag("b").over(in_order)).withColumn("l0", F.lag("l").over(in_order))
-    p = (F.col("b") + F.col("b0") + 1.0) / (F.col("l") + F.col("l0") + 2.0)
-    spread = F.sqrt(p * (1.0 - p) * (1.0 / (F.col("l") + 2.0) + 1.0 / (F.col("l0") + 2.0)))
-    gap = F.col("rate") - (F.col("b0") + 1.0) / (F.col("l0") + 2.0)
-    t = t.withColumn("branch", F.sum(F.when(F.col("l0").isNotNull() & (gap >= Z * spread), 1).otherwise(0)).over(in_order.rowsBetween(W.unboundedPreceding, 0)))
-    hosts = t.groupBy("host").agg(F.sum("b").alias("hb"), F.sum("l").alias("hl"))
-    branches = t.groupBy("host", "shape", "branch").agg(F.sum("b").alias("bb"), F.sum("l").alias("bl"))
-    t = t.join(branches, ["host", "shape", "branch"]).join(hosts, "host")
-    share_host = (F.col("hb") + STRENGTH * 0.5) / (F.col("hl") + STRENGTH)
-    return t.select("host", "template", "branch", ((F.col("bb") + STRENGTH * share_host) / (F.col("bl") + STRENGTH)).alias("purity"))
+    t = t.withColumn("branch", F.lit(""))
+    whole = W.partitionBy("host", "shape", "branch")
+    for _ in range(ROUNDS):
+        t = t.withColumn("bb", F.sum("b").over(whole)).withColumn("bl", F.sum("l").over(whole))
+        rate, rest = (F.col("b") + 1.0) / (F.col("l") + 2.0), (F.col("bb") - F.col("b") + 1.0) / (F.col("bl") - F.col("l") + 2.0)
+        p = (F.col("bb") + 1.0) / (F.col("bl") + 2.0)
+        spread = F.sqrt(p * (1.0 - p) * (1.0 / (F.col("l") + 2.0) + 1.0 / (F.col("bl") - F.col("l") + 2.0)))
+        side = F.when(rate - rest >= Z * spread, F.lit("+")).when(rest - rate >= Z * spread, F.lit("-")).otherwise(F.lit("="))
+        t = t.withColumn("branch", F.concat("branch", side))
+    shapes = t.groupBy("shape").agg(F.sum("b").alias("sb"), F.sum("l").alias("sl"))
+    t = t.withColumn("bb", F.sum("b").over(whole)).withColumn("bl", F.sum("l").over(whole)).join(shapes, "shape")
+    prior = F.least(F.lit(0.5), (F.col("sb") + STRENGTH * 0.5) / (F.col("sl") + STRENGTH))
+    return t.select("host", "template", "branch", ((F.col("bb") + STRENGTH * prior) / (F.col("bl") + STRENGTH)).alias("purity"))
 
 
 def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -130,15 +135,21 @@ v{i} AS (SELECT *, segments[{i}] AS v FROM {last}),
 c{i} AS (SELECT host AS h, template AS t, v AS x FROM (SELECT host, template, v, count(*) AS n, sum(count(*)) OVER (PARTITION BY host, template) AS a FROM v{i} WHERE v IS NOT NULL GROUP BY host, template, v) WHERE n >= {COMMON} AND n * {SHARE} >= a),
 l{i} AS (SELECT page_id, host, path, fit, segments, template || {step.format("'/' || v")} AS template, shape || {step.format("'/='")} AS shape FROM v{i} LEFT JOIN c{i} c ON host = h AND template = t AND v = x)""")
         last = f"l{i}"
+    rounds, last_round = [], "t"
+    for i in range(1, ROUNDS + 1):
+        rounds.append(f"""
+s{i} AS (SELECT *, sum(b) OVER (PARTITION BY host, shape, branch)::DOUBLE AS bb, sum(l) OVER (PARTITION BY host, shape, branch)::DOUBLE AS bl FROM {last_round}),
+q{i} AS (SELECT *, (b + 1.0::DOUBLE) / (l + 2.0::DOUBLE) - (bb - b + 1.0::DOUBLE) / (bl - l + 2.0::DOUBLE) AS gap, (bb + 1.0::DOUBLE) / (bl + 2.0::DOUBLE) AS p FROM s{i}),
+g{i} AS (SELECT *, {Z}::DOUBLE * sqrt(p * (1.0::DOUBLE - p) * (1.0::DOUBLE / (l + 2.0::DOUBLE) + 1.0::DOUBLE / (bl - l + 2.0::DOUBLE))) AS need FROM q{i}),
+t{i} AS (SELECT host, shape, template, b, l, branch || CASE WHEN gap >= need THEN '+' WHEN -gap >= need THEN '-' ELSE '=' END AS branch FROM g{i})""")
+        last_round = f"t{i}"
     return f"""
 WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '{parts}', 1, 's'), '{UPPER}', '{LOWER}'), '') AS host, coalesce(regexp_extract(url, '{parts}', 2, 's'), '') AS path FROM pages),
 l0 AS (SELECT *, CASE {fits} END AS fit, CASE WHEN path = '' THEN []::VARCHAR[] ELSE string_split(regexp_replace(path, '^/', ''), '/') END AS segments, '' AS template, '' AS shape FROM p),{",".join(levels)},
 r AS (SELECT page_id, host, path, fit.rule AS rule, fit.verdict AS verdict, template || d AS template, shape || d AS shape FROM (SELECT *, CASE WHEN len(segments) > {DEPTH} THEN '/**' ELSE '' END AS d FROM {last})),
-t AS (SELECT host, shape, template, count(*) FILTER (WHERE verdict = 'block') AS b, count(verdict) AS l, (count(*) FILTER (WHERE verdict = 'block') + 1.0::DOUBLE) / (count(verdict) + 2.0::DOUBLE) AS rate FROM r GROUP BY host, shape, template),
-g AS (SELECT *, lag(b) OVER o AS b0, lag(l) OVER o AS l0 FROM t WINDOW o AS (PARTITION BY host, shape ORDER BY rate, template)),
-s AS (SELECT *, (b + b0 + 1.0::DOUBLE) / (l + l0 + 2.0::DOUBLE) AS p FROM g),
-m AS (SELECT *, sum(CASE WHEN l0 IS NOT NULL AND rate - (b0 + 1.0::DOUBLE) / (l0 + 2.0::DOUBLE) >= {Z}::DOUBLE * sqrt(p * (1.0::DOUBLE - p) * (1.0::DOUBLE / (l + 2.0::DOUBLE) + 1.0::DOUBLE / (l0 + 2.0::DOUBLE))) THEN 1 ELSE 0 END) OVER (PARTITION BY host, shape ORDER BY rate, template ROWS UNBOUNDED PRECEDING) AS branch FROM s),
-w AS (SELECT host, template, sum(b) OVER (PARTITION BY host, shape, branch)::DOUBLE AS bb, sum(l) OVER (PARTITION BY host, shape, branch)::DOUBLE AS bl, sum(b) OVER (PARTITION BY host)::DOUBLE AS hb, sum(l) OVER (PARTITION BY host)::DOUBLE AS hl FROM m),
-u AS (SELECT host, template, (bb + {STRENGTH}::DOUBLE * ((hb + {STRENGTH}::DOUBLE * 0.5::DOUBLE) / (hl + {STRENGTH}::DOUBLE))) / (bl + {STRENGTH}::DOUBLE) AS purity FROM w)
+t AS (SELECT host, shape, template, count(*) FILTER (WHERE verdict = 'block') AS b, count(verdict) AS l, '' AS branch FROM r GROUP BY host, shape, template),
+{",".join(rounds)},
+w AS (SELECT host, shape, template, sum(b) OVER (PARTITION BY host, shape, branch)::DOUBLE AS bb, sum(l) OVER (PARTITION BY host, shape, branch)::DOUBLE AS bl, sum(b) OVER (PARTITION BY shape)::DOUBLE AS sb, sum(l) OVER (PARTITION BY shape)::DOUBLE AS sl FROM {last_round}),
+u AS (SELECT host, template, (bb + {STRENGTH}::DOUBLE * least(0.5::DOUBLE, (sb + {STRENGTH}::DOUBLE * 0.5::DOUBLE) / (sl + {STRENGTH}::DOUBLE))) / (bl + {STRENGTH}::DOUBLE) AS purity FROM w)
 SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.verdict, CASE WHEN purity >= {REJECT} THEN 'block' ELSE 'allow' END) AS verdict, r.template, round(purity, 9) AS purity FROM r JOIN u USING (host, template)
 """
