@@ -446,21 +446,27 @@ def _star_pairs(members: DataFrame, stars: int) -> DataFrame:
     return best.select(F.least("cls", "p.other").alias("a"), F.greatest("cls", "p.other").alias("b")).distinct()
 
 
-def _open_members(members: DataFrame, label: DataFrame) -> DataFrame:
-    """Members, with component and leader, of the blocks that hold several components; ``rows`` of the block."""
+def _open_members(members: DataFrame, label: DataFrame, deal_rows: int) -> DataFrame:
+    """Members, with component and leader, of the blocks that hold several components; ``rows`` of the block.
+
+    Blocks of one leader go together (``deal``), but no more of them than have about ``deal_rows`` rows.
+    """
     own = members.join(label, F.col("cls") == F.col("node"), "left").select("key", "cls", F.coalesce("label", "cls").alias("label"))
     first = F.min(F.struct(F.xxhash64("cls", F.lit(0)).alias("h"), "cls"))["cls"]
     heads = own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), first.alias("leader"), F.count(F.lit(1)).alias("rows"))
-    return own.join(heads.filter("low < high").select("key", "leader", "rows"), "key")
+    heads = heads.filter("low < high").select("key", "leader", "rows")
+    totals = heads.groupBy("leader").agg(F.sum("rows").alias("all")).filter(F.col("all") > deal_rows)
+    deal = F.pmod(F.xxhash64("key"), F.coalesce(F.floor(F.col("all") / deal_rows), F.lit(0)) + 1)
+    return own.join(heads.join(totals, "leader", "left").select("key", "leader", "rows", deal.alias("deal")), "key")
 
 
 def _tiles(members: DataFrame, block_rows: int, percent: int) -> DataFrame:
-    """key, leader, tile, side, cls, n, vec, label: blocks of ``members`` (with n and vec) as they are searched.
+    """key, leader, deal, tile, side, cls, n, vec, label: blocks of ``members`` (with n and vec) as they are searched.
 
     A block of more than ``block_rows`` is cut into slices by set size, ties by a hash, from the counts of
     its sizes; two slices meet where their sizes allow a link.
     """
-    fields = ["key", "leader", "tile", "side", "cls", "n", "vec", "label"]
+    fields = ["key", "leader", "deal", "tile", "side", "cls", "n", "vec", "label"]
     small = members.filter(F.col("rows") <= block_rows).withColumn("tile", F.lit(0).cast("long")).withColumn("side", F.lit(2))
     large = members.filter(F.col("rows") > block_rows)
     sizes = large.groupBy("key", "n").agg(F.count(F.lit(1)).alias("own"))
@@ -524,8 +530,8 @@ def ngram_components(docs: DataFrame, percent: int = 80, block_rows: int = 4096,
     tested = materialize(verified(materialize(_bounded(_star_pairs(members, stars), vectors, percent), "stars")), "tested")
     links = tested.filter("linked").select("a", "b")
     label = materialize(components(links), "labels")
-    tiles = _tiles(_open_members(members, label).join(vectors.select("cls", "n", "vec"), "cls"), block_rows, percent)
-    tiles = tiles.repartition(shuffle_partitions(spark), "leader", "tile").sortWithinPartitions("leader", "key", "tile", "n", "cls")
+    tiles = _tiles(_open_members(members, label, block_rows).join(vectors.select("cls", "n", "vec"), "cls"), block_rows, percent)
+    tiles = tiles.repartition(shuffle_partitions(spark), "leader", "deal", "tile").sortWithinPartitions("leader", "key", "tile", "n", "cls")
     rest = tiles.mapInArrow(_all_survivors(percent), PAIR).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
     rest = materialize(verified(materialize(rest, "pairs")), "tested")
     label = materialize(components(links.union(rest.filter("linked").select("a", "b"))), "labels")
