@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 TOKEN = r"([a-z]+(?:-[a-z]+)*)"
 HYPHENATED = r"([a-z]+-[a-z]+(?:-[a-z]+)*)"
 #: Fixed value: a number followed by a size unit.
-SIZE_NUMBER = r"(?iU)\d+(?:\.\d+)?\s*(?:µm|μm|um|microns?|micrometers?|mm|x)\b"
+SIZE_NUMBER = r"(?iU)\b\d+(?:\.\d+)?\s*(?:µm|μm|um|microns?|micrometers?|mm|x)\b"
 #: Function words left out of content words.
-STOP_WORDS = "a an and are as at be by for from has have in into is it its of on or that the their this to was were which with".split()
+STOP_WORDS = (
+    "a an and are as at be been being but by can could did do does each either else even for from get got had has have how if in "
+    "into is it its just may might more most much my no nor not of on one only or other our out per she should so some such "
+    "than that the their them then there these they this those though to too under until up upon very was we were what when where whether "
+    "which while who whom whose why will with without would yet you your about also any"
+).split()
 
 
 def tokens(text: Column) -> Column:

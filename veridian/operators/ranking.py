@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from veridian.functions.draws import draw
 from veridian.functions.vectors import dot, mean_vector
 
-#: Above this many rows, queries are joined in blocks instead of broadcast.
+#: Queries are broadcast in blocks of about this many rows.
 MOST_BROADCAST_QUERIES = 20_000
 
 
@@ -30,11 +32,11 @@ def medoids(corpus: DataFrame, by: list[str], key: str, size: int, vector: str =
 
 
 def score_pairs(queries: DataFrame, corpus: DataFrame, vector: str = "embedding") -> DataFrame:
-    """Every query against every corpus row (J14, V4): the small query side is broadcast after a check of its size."""
-    n = queries.limit(MOST_BROADCAST_QUERIES + 1).count()
-    if n > MOST_BROADCAST_QUERIES:
-        raise ValueError("too many queries for one pass; give them in blocks")
-    pairs = corpus.join(F.broadcast(queries), F.lit(True))
+    """Every query against every corpus row (J14, V4): queries are counted and broadcast in blocks, each of which meets the whole corpus."""
+    blocks = max(1, -(-queries.count() // MOST_BROADCAST_QUERIES))
+    number = F.pmod(F.xxhash64(*[c for c in queries.columns if c != "query"], F.to_json(F.struct("query"))), F.lit(blocks))
+    parts = [queries] if blocks == 1 else [queries.filter(number == i) for i in range(blocks)]
+    pairs = reduce(DataFrame.union, [corpus.join(F.broadcast(q), F.lit(True)) for q in parts])
     return pairs.withColumn("score", F.round(dot(F.col(vector).cast("array<double>"), F.col("query")), 9))
 
 
@@ -59,18 +61,25 @@ def ideal_dcg(relevant: Column, k: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(relevant, F.lit(k)), F.lit(1)).cast("int")), F.lit(0.0), lambda s, i: s + 1.0 / F.log2(i + 1.0))
 
 
-def ranking_metrics(rows: DataFrame, query: list[str], ks: tuple[int, ...] = (1, 5, 10, 20)) -> DataFrame:
-    """P@K, R@K, nDCG@K, MRR and AP at the largest K of ranked rows with ``relevant`` (0/1).
+def ranking_metrics(scored: DataFrame, query: list[str], key: str, ks: tuple[int, ...] = (1, 5, 10, 20)) -> DataFrame:
+    """P@K, R@K, nDCG@K, MRR and AP at the largest K of rows with ``score`` and ``relevant`` (0/1), best first, ties by ``key``.
 
-    Queries without a relevant row are dropped.
+    Only the best rows are ordered: they are cut in every task before they meet.  Totals are plain sums, and the
+    place of the first relevant row is the number of rows that beat the best relevant one.  Queries without a
+    relevant row are dropped.
     """
-    by, top = W.partitionBy(*query).orderBy("rank"), max(ks)
+    top = max(ks)
+    order = F.struct("score", (-F.col(key)).alias("other"))
+    best = F.max(F.when(F.col("relevant") == 1, order))
+    totals = scored.groupBy(*query).agg(F.count(F.lit(1)).alias("corpus"), F.sum("relevant").alias("total"), best.alias("best")).filter("total > 0")
+    first = scored.join(totals.select(*query, "best"), query).groupBy(*query).agg(F.sum((order >= F.col("best")).cast("long")).alias("first"))
+    rows = ranked(scored, query, key).filter(F.col("rank") <= top)
+    by = W.partitionBy(*query).orderBy("rank")
     rows = rows.withColumn("hits", F.sum("relevant").over(by.rowsBetween(W.unboundedPreceding, 0)))
-    sums = [F.count(F.lit(1)).alias("corpus"), F.sum("relevant").alias("total"), F.min(F.when(F.col("relevant") == 1, F.col("rank"))).alias("first")]
-    sums += [F.sum(F.when(F.col("rank") <= k, F.col("relevant")).otherwise(0)).alias(f"h{k}") for k in ks]
+    sums = [F.sum(F.when(F.col("rank") <= k, F.col("relevant")).otherwise(0)).alias(f"h{k}") for k in ks]
     sums += [F.sum(F.when((F.col("rank") <= k) & (F.col("relevant") == 1), 1.0 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias(f"d{k}") for k in ks]
     sums += [F.sum(F.when((F.col("rank") <= top) & (F.col("relevant") == 1), F.col("hits") / F.col("rank")).otherwise(0.0)).alias("ap")]
-    agg = rows.groupBy(*query).agg(*sums).filter("total > 0")
+    agg = rows.groupBy(*query).agg(*sums).join(totals, query).join(first, query)
     out = [F.round(F.col(f"h{k}") / F.least(F.lit(k), F.col("corpus")), 6).alias(f"p_{k}") for k in ks]
     out += [F.round(F.col(f"h{k}") / F.greatest("total", F.lit(1)), 6).alias(f"r_{k}") for k in ks]
     out += [F.round(F.col(f"d{k}") / ideal_dcg(F.col("total"), k), 6).alias(f"ndcg_{k}") for k in ks]
@@ -95,7 +104,8 @@ def hierarchical_bootstrap(metrics: DataFrame, value: str, outer: str, inner: st
     n_out = outers.agg(F.count(F.lit(1)).alias("n_out"))
     n_in = inners.groupBy(outer).agg(F.count(F.lit(1)).alias("n_in"))
     n_row = rows.groupBy(outer, inner).agg(F.count(F.lit(1)).alias("n_row"))
-    draws = m.sparkSession.range(replicates).withColumnRenamed("id", "b").join(F.broadcast(n_out), F.lit(True))
+    # dealt by replicate once; every later step keeps that
+    draws = m.sparkSession.range(replicates).withColumnRenamed("id", "b").repartition("b").join(F.broadcast(n_out), F.lit(True))
     draws = draws.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("n_out").cast("int") - 1))).withColumn("o", F.pmod(draw(seed, F.col("b"), F.col("s")), F.col("n_out")))
     draws = draws.join(F.broadcast(outers), "o").join(F.broadcast(n_in), outer)
     draws = draws.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("n_in").cast("int") - 1))).withColumn("i", F.pmod(draw(seed, F.col("b"), F.col("s"), F.col("t")), F.col("n_in")))

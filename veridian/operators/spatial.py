@@ -39,8 +39,10 @@ def region_hits(boxes: DataFrame, regions: DataFrame, key: str, region: str, sli
 def exclude_regions(boxes: DataFrame, regions: DataFrame, key: str, slide: str = "slide", margin: float = 0.0) -> DataFrame:
     """Boxes that meet no region of their slide; boxes without a key or bounds go."""
     known = boxes.filter(F.col(key).isNotNull() & F.col("x1").isNotNull() & F.col("y1").isNotNull() & F.col("x2").isNotNull() & F.col("y2").isNotNull())
-    r = regions.select(F.col(slide).alias("r_slide"), *[F.col(c).alias(f"r_{c}") for c in ("x1", "y1", "x2", "y2")])
-    return known.join(r, (known[slide] == r["r_slide"]) & G.intersects(G.box(), G.box("r_"), margin), "left_anti")
+    hit = region_hits(known, regions.withColumn("_region", F.lit(1)), key, "_region", slide, margin)
+    # what is hit depends on slide and bounds alone, and keys may repeat
+    place = [slide, "x1", "y1", "x2", "y2"]
+    return known.join(hit.select(*place).distinct(), place, "left_anti")
 
 
 def first_violation(boxes: DataFrame, regions: DataFrame, key: str, region: str, slide: str = "slide") -> DataFrame:

@@ -81,7 +81,7 @@ def frequent_bigrams(captions: DataFrame, text: str, least: int = 3) -> DataFram
     return captions.select(F.explode(T.bigrams(F.col(text))).alias("bigram")).groupBy("bigram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
 
 
-def anchor_overlap(captions: DataFrame, text: str, key: str, terms: DataFrame, sets: Sequence[Sequence[str]]) -> DataFrame:
+def anchor_overlap(captions: DataFrame, text: str, terms: DataFrame, sets: Sequence[Sequence[str]]) -> DataFrame:
     """Precision, recall and F1 of each caption's content words against the vocabulary of anchors, at several levels.
 
     ``terms`` (term) is joined by word, so its size does not matter; recall is against all of it.
@@ -89,9 +89,13 @@ def anchor_overlap(captions: DataFrame, text: str, key: str, terms: DataFrame, s
     terms = terms.select("term").distinct()
     total = terms.agg(F.count(F.lit(1)).alias("anchor_terms"))
     groups = list(dict.fromkeys(c for s in sets for c in s))
-    words = captions.select(key, *groups, F.array_distinct(T.content_words(T.tokens(F.col(text)))).alias("w"))
-    hits = words.select(key, F.explode("w").alias("term")).join(terms, "term").groupBy(key).agg(F.count(F.lit(1)).alias("hits"))
-    each = words.select(key, *groups, F.size("w").alias("n_terms")).join(hits, key, "left").crossJoin(F.broadcast(total)).withColumn("hits", F.coalesce("hits", F.lit(0)))
+    # a caption's words leave one task together, so they are counted before anything moves
+    rows = captions.select(F.monotonically_increasing_id().alias("_row"), *groups, F.array_distinct(T.content_words(T.tokens(F.col(text)))).alias("_words"))
+    words = rows.select("_row", *groups, F.explode_outer("_words").alias("term"))
+    known = terms.withColumn("_known", F.lit(1))
+    each = words.join(known, "term", "left").groupBy("_row", *groups).agg(F.count("term").alias("n_terms"), F.count("_known").alias("hits"))
+    # one row
+    each = each.crossJoin(F.broadcast(total))
     each = each.withColumn("precision", F.col("hits") / F.greatest("n_terms", F.lit(1))).withColumn("recall", share(F.col("hits"), F.col("anchor_terms")))
     each = each.withColumn("f1", f1(F.col("precision"), F.col("recall")))
     return levels(each, sets, *running_stats(F.col("precision"), "precision"), *running_stats(F.col("recall"), "recall"), *running_stats(F.col("f1"), "f1"), *running_stats(F.col("n_terms"), "terms"))

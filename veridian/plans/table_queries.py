@@ -184,15 +184,16 @@ ZERO_SQL = "SELECT doc_id, 64 AS width, coalesce(round(list_dot_product(embeddin
 
 
 def stems(spark: SparkSession, d: str) -> DataFrame:
-    """A part's brand by name, else by type."""
+    """The first part of a part's brand and size, else of its brand with size 0 for brands that have none; else null."""
     p = read(spark, d, "part")
-    known = p.groupBy("p_brand").agg(F.min("p_partkey").alias("first"))
-    rows = p.select("p_partkey", F.col("p_brand").alias("brand"))
-    exact = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.col("brand"), F.lit("_curated")))
-    return T.first_match(rows, known, [exact, F.col("brand")], "p_brand", "first")
+    exact = p.filter("p_size % 3 = 0").groupBy(F.concat_ws("_", "p_brand", "p_size").alias("stem")).agg(F.min("p_partkey").alias("first"))
+    plain = p.filter("p_brand < 'Brand#4'").groupBy(F.col("p_brand").alias("stem")).agg(F.min("p_partkey").alias("first"))
+    rows = p.select("p_partkey", F.col("p_brand").alias("brand"), "p_size")
+    return T.first_match(rows, exact.union(plain), [F.concat_ws("_", "brand", "p_size"), F.col("brand")], "stem", "first").drop("p_size")
 
 
-STEMS_SQL = "SELECT p_partkey, p_brand AS brand, min(p_partkey) OVER (PARTITION BY p_brand) AS first FROM part"
+STEMS_SQL = """WITH e AS (SELECT p_brand, p_size, min(p_partkey) AS f FROM part WHERE p_size % 3 = 0 GROUP BY ALL), b AS (SELECT p_brand, min(p_partkey) AS f FROM part WHERE p_brand < 'Brand#4' GROUP BY ALL)
+SELECT p_partkey, p.p_brand AS brand, coalesce(e.f, b.f) AS first FROM part p LEFT JOIN e ON e.p_brand = p.p_brand AND e.p_size = p.p_size LEFT JOIN b ON b.p_brand = p.p_brand"""
 
 
 def sibling_pairs(spark: SparkSession, d: str) -> DataFrame:

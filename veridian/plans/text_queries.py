@@ -40,7 +40,7 @@ def text_compliance(spark: SparkSession, d: str) -> DataFrame:
 COMPLIANCE_SQL = f"""
 WITH w AS (SELECT lang, source, len({TOKENS.format("text")}) AS words, length(text) AS chars, greatest(length(regexp_replace(text, '[^.!?]', '', 'g')), 1) AS sentences,
   CASE WHEN regexp_matches(text, '[0-9]') THEN 1 ELSE 0 END AS digit,
-  CASE WHEN regexp_matches(text, '(?i)[0-9]+(?:\\.[0-9]+)?\\s*(?:µm|μm|um|microns?|micrometers?|mm|x)\\b') THEN 1 ELSE 0 END AS size_leak, CASE WHEN starts_with(lower(text), '{OPENER}') THEN 1 ELSE 0 END AS opener FROM documents)
+  CASE WHEN regexp_matches(text, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])[0-9]+(?:\\.[0-9]+)?\\s*(?:µm|μm|um|microns?|micrometers?|mm|x)\\b') THEN 1 ELSE 0 END AS size_leak, CASE WHEN starts_with(lower(text), '{OPENER}') THEN 1 ELSE 0 END AS opener FROM documents)
 SELECT lang, source, {LEVEL}, {_stats("words", "words")}, {_stats("chars", "chars")}, {_stats("sentences", "sentences")},
   {", ".join(f"quantile_disc(words, {p / 100})::BIGINT AS words_p{p}" for p in (5, 25, 50, 75, 95))},
   {", ".join(_pct(f"sum({c})", "count(*)", f"{c}_pct") for c in ("digit", "size_leak", "opener"))} FROM w {GROUP_BY}"""
@@ -102,7 +102,7 @@ ANCHORS = f"SELECT DISTINCT unnest({CONTENT.format(TOKENS.format('text'))}) AS t
 
 
 def anchor_overlap(spark: SparkSession, d: str) -> DataFrame:
-    return S.anchor_overlap(read(spark, d, "documents"), "text", "doc_id", _anchor_terms(spark, d), SETS)
+    return S.anchor_overlap(read(spark, d, "documents"), "text", _anchor_terms(spark, d), SETS)
 
 
 OVERLAP_SQL = f"""

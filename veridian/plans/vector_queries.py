@@ -33,13 +33,13 @@ def distances(spark: SparkSession, d: str) -> DataFrame:
     """V1-V3: every vector against the mean of its species."""
     c = corpus(spark, d)
     q = R.class_means(c, ["label"], SIZE)
-    a, b = F.col("embedding"), F.col("query")
+    a, b = F.col("embedding"), F.when(F.col("vec_id") % 50 == 0, F.array_repeat(F.lit(0.0), SIZE)).otherwise(F.col("query"))
     return c.join(q, "label").select("vec_id", F.round(V.cosine(a, b), 6).alias("cosine"), F.round(V.distance(a, b), 6).alias("cosine_distance"), F.round(V.distance(a, b, "euclidean"), 6).alias("euclidean"), F.round(V.norm(V.l2_normalized(b)), 6).alias("unit"))
 
 
 DISTANCES_SQL = f"""WITH c AS ({CORPUS}), q AS (SELECT label, {MEAN} AS q FROM c GROUP BY label),
-x AS (SELECT vec_id, list_dot_product(embedding, q) / ((sqrt(list_dot_product(embedding, embedding)) + 1e-8) * (sqrt(list_dot_product(q, q)) + 1e-8)) AS cos, list_distance(embedding, q) AS e FROM c JOIN q USING (label))
-SELECT vec_id, round(cos, 6) AS cosine, round(1 - cos, 6) AS cosine_distance, round(e, 6) AS euclidean, 1.0::DOUBLE AS unit FROM x"""
+x AS (SELECT vec_id, list_dot_product(embedding, q) / ((sqrt(list_dot_product(embedding, embedding)) + 1e-8) * (sqrt(list_dot_product(q, q)) + 1e-8)) AS cos, list_distance(embedding, q) AS e, list_dot_product(q, q) AS n FROM (SELECT vec_id, embedding, CASE WHEN vec_id % 50 = 0 THEN list_transform(q, lambda v: 0.0::DOUBLE) ELSE q END AS q FROM c JOIN q USING (label)))
+SELECT vec_id, round(cos, 6) AS cosine, round(1 - cos, 6) AS cosine_distance, round(e, 6) AS euclidean, CASE WHEN n > 0 THEN round(sqrt(n) / sqrt(n), 6) ELSE 0.0::DOUBLE END AS unit FROM x"""
 
 
 def medoids(spark: SparkSession, d: str) -> DataFrame:
@@ -62,11 +62,11 @@ def _scored(spark: SparkSession, d: str, mode: str) -> DataFrame:
     c = corpus(spark, d)
     q = R.class_means(c, ["label", "origin"], SIZE).select(F.col("label").alias("q_label"), F.col("origin").alias("q_origin"), "query")
     pairs = R.score_pairs(q, c).filter(R.exclusion(mode, F.lit(-1), F.col("slide"), F.col("q_origin"), F.col("origin")))
-    return R.ranked(pairs.withColumn("relevant", (F.col("label") == F.col("q_label")).cast("int")), ["q_label", "q_origin"], "vec_id")
+    return pairs.withColumn("relevant", (F.col("label") == F.col("q_label")).cast("int"))
 
 
 def _metrics(spark: SparkSession, d: str, mode: str) -> DataFrame:
-    return R.ranking_metrics(_scored(spark, d, mode).select("q_label", "q_origin", "rank", "relevant"), ["q_label", "q_origin"], KS)
+    return R.ranking_metrics(_scored(spark, d, mode).select("q_label", "q_origin", "vec_id", "score", "relevant"), ["q_label", "q_origin"], "vec_id", KS)
 
 
 def _metrics_sql(where: str) -> str:
@@ -115,16 +115,26 @@ SELECT round(avg(m), 4) AS mean, round(quantile_cont(m, 0.025), 4) AS low, round
 def control(spark: SparkSession, d: str) -> DataFrame:
     """Mean reciprocal rank with real and shuffled labels."""
     scored = _scored(spark, d, "all")
-    real = R.ranking_metrics(scored.select("q_label", "q_origin", "rank", "relevant"), ["q_label", "q_origin"], KS).agg(F.avg("mrr").alias("real"))
+    real = R.ranking_metrics(scored.select("q_label", "q_origin", "vec_id", "score", "relevant"), ["q_label", "q_origin"], "vec_id", KS).agg(F.avg("mrr").alias("real"))
     out = None
     for seed in (42, 123, 456):
         other = S.shuffled_labels(corpus(spark, d).select("vec_id", "label", F.lit(0).alias("g")), "label", "vec_id", ["g"], seed).select("vec_id", F.col("label").alias("other"))
         rows = scored.join(other, "vec_id").withColumn("relevant", (F.col("other") == F.col("q_label")).cast("int"))
-        one = R.ranking_metrics(rows.select("q_label", "q_origin", "rank", "relevant"), ["q_label", "q_origin"], KS).agg(F.lit(seed).alias("seed"), F.avg("mrr").alias("mrr"))
+        one = R.ranking_metrics(rows.select("q_label", "q_origin", "vec_id", "score", "relevant"), ["q_label", "q_origin"], "vec_id", KS).agg(F.lit(seed).alias("seed"), F.avg("mrr").alias("mrr"))
         out = one if out is None else out.union(one)
     return out.crossJoin(F.broadcast(real)).select("seed", F.round("mrr", 6).alias("shuffled"), F.round("real", 6).alias("real"), F.round(F.col("real") - F.col("mrr"), 6).alias("delta"))
 
 
+def _control_sql() -> str:
+    one = """SELECT {seed} AS seed, avg(rr) AS shuffled FROM (SELECT q_label, q_origin, 1.0::DOUBLE / min(rank) AS rr FROM r JOIN
+(SELECT vec_id, other FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS n FROM c) JOIN (SELECT label AS other, row_number() OVER (ORDER BY {draw}, vec_id) AS n FROM c) USING (n)) USING (vec_id) WHERE other = q_label GROUP BY ALL)"""
+    each = " UNION ALL ".join(one.format(seed=s, draw=draw_sql(str(s), "vec_id")) for s in (42, 123, 456))
+    return f"""WITH c AS ({CORPUS}), q AS (SELECT label AS q_label, origin AS q_origin, {MEAN} AS q FROM c GROUP BY ALL),
+s AS (SELECT q_label, q_origin, vec_id, label, round(list_dot_product(embedding, q), 9) AS s FROM c CROSS JOIN q), r AS (SELECT *, row_number() OVER (PARTITION BY q_label, q_origin ORDER BY s DESC, vec_id) AS rank FROM s),
+t AS (SELECT avg(round(rr, 6)) AS real FROM (SELECT 1.0::DOUBLE / min(rank) AS rr FROM r WHERE label = q_label GROUP BY q_label, q_origin)), e AS ({each.replace("1.0::DOUBLE / min(rank)", "round(1.0::DOUBLE / min(rank), 6)")})
+SELECT seed, round(shuffled, 6) AS shuffled, round(real, 6) AS real, round(real - shuffled, 6) AS delta FROM e CROSS JOIN t"""
+
+
 def predictions(spark: SparkSession, d: str) -> DataFrame:
     """Nearest species mean for each vector: scores by label as an array, argmax, top five."""
     c = corpus(spark, d)
@@ -141,12 +151,13 @@ p AS (SELECT vec_id, label, max(CASE WHEN r = 1 THEN q END) AS pred, bool_or(r <
 def softmax(spark: SparkSession, d: str) -> DataFrame:
     p = predictions(spark, d)
     s = V.softmax(F.col("scores"))
-    return p.select("vec_id", "pred", "in5", V.argmax(F.col("scores")).alias("argmax"), F.round(F.array_max(s), 6).alias("p1"), F.round(V.distillation_loss(F.col("scores"), F.reverse("scores"), F.lit(0)), 6).alias("loss"))
+    mixed = F.concat(F.slice("scores", 4, 7), F.slice("scores", 1, 3))
+    return p.select("vec_id", "pred", "in5", V.argmax(mixed).alias("argmax"), F.round(F.array_max(s), 6).alias("p1"), F.round(V.distillation_loss(F.col("scores"), F.reverse("scores"), F.lit(0)), 6).alias("loss"))
 
 
 SOFTMAX_SQL = f"""{PREDICTIONS}, e AS (SELECT vec_id, pred, in5, scores, list_transform(scores, lambda x: exp(x - list_max(scores))) AS e, list_transform(scores, lambda x: exp((x - list_max(scores)) / 3.0)) AS t FROM p),
 n AS (SELECT *, list_transform(t, lambda x: x / list_sum(t)) AS st, list_reverse(list_transform(t, lambda x: x / list_sum(t))) AS te, e[1] / list_sum(e) AS p1 FROM e)
-SELECT vec_id, pred, in5, 0 AS argmax, round(p1, 6) AS p1, round(0.5 * -ln(p1) + 0.5 * 9 * list_sum(list_transform(range(1, len(st) + 1), lambda i: te[i] * (ln(te[i]) - ln(st[i])))), 6) AS loss FROM n"""
+SELECT vec_id, pred, in5, list_position(scores[4:10] || scores[1:3], list_max(scores)) - 1 AS argmax, round(p1, 6) AS p1, round(0.5 * -ln(p1) + 0.5 * 9 * list_sum(list_transform(range(1, len(st) + 1), lambda i: te[i] * (ln(te[i]) - ln(st[i])))), 6) AS loss FROM n"""
 
 
 def classification(spark: SparkSession, d: str) -> DataFrame:
@@ -230,6 +241,7 @@ ORACLES = {
     "e3_ranking_cross_regional": METRICS_CROSS_SQL,
     "a23_macro_mean": MACRO_SQL,
     "r10_bootstrap": BOOTSTRAP_SQL,
+    "e19_label_shuffle_control": _control_sql(),
     "v11_softmax_predictions": SOFTMAX_SQL,
     "e7_classification": CLASSIFICATION_SQL,
     "e8_known_only": KNOWN_SQL,

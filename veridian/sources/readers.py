@@ -23,12 +23,26 @@ def _stem(path: str = "_path"):
     return F.regexp_extract(path, r"([^/]+?)(?:\.[A-Za-z0-9]+)?$", 1)
 
 
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, _path, line: the text lines below ``path``, numbered from 0 in each file.
+
+    A split of a file is read in order by one task, so its lines have consecutive ids; what comes before it in the
+    file is the sum over earlier splits, one row for each.
+    """
+    meta = F.col("_metadata")
+    raw = spark.read.text(path, recursiveFileLookup=True).select("value", meta["file_path"].alias("_path"), meta["file_block_start"].alias("_at"), F.monotonically_increasing_id().alias("_id"))
+    splits = raw.groupBy("_path", "_at").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("_path").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("_path", "_at", (before - F.col("_first")).alias("_shift"))
+    return raw.join(splits, ["_path", "_at"]).select("value", "_path", (F.col("_id") + F.col("_shift")).alias("line"))
+
+
 def read_captions(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
     """Caption JSON lines below ``path``: blank, malformed and empty ones go; captions are trimmed; ``pair_key`` is added.
 
     ``most``: at most so many captions of each file, in line order.
     """
-    lines = spark.read.text(path, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("_path"), F.monotonically_increasing_id().alias("line"))
+    lines = _numbered_lines(spark, path)
     rows = lines.filter(F.trim("value") != "").withColumn("r", F.from_json("value", CAPTION)).filter("r.caption is not null")
     rows = rows.select("r.*", "line", _stem().alias("file")).withColumn("caption", F.trim("caption")).filter("caption <> ''")
     rows = rows.withColumn("pair_key", pair_key(F.col("id"), F.col("image_path"), F.col("mask_index"), F.col("line")))
