@@ -6,7 +6,6 @@ All lineage is cut through tables in the folder that the cluster shares
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -29,11 +28,22 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark drops the shuffle files of a statement when the statement ends.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: a recovery point with no lineage."""
+    """Write a table to the shared folder and read it back: a recovery point with no lineage.
+
+    The shuffle files behind it go at once, for nothing after it needs them.
+    """
     spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
+    path, before = new_folder(spark, name), spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -44,21 +54,18 @@ def delete(spark: SparkSession, *folders: str) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps now.
-
-    They go when the driver's garbage collector finds their plans unused, which on a large heap may
-    be long after; the tables that later steps read are written, so nothing is computed again.
-    """
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def folder_of(df: DataFrame) -> str:
     """The folder behind a table made by :func:`materialize`."""
     return df.inputFiles()[0].rsplit("/", 1)[0]
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`materialize` that no later step reads."""
+    for t in tables:
+        if t.inputFiles():
+            delete(t.sparkSession, folder_of(t))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridian.llm._shared import delete, folder_of, materialize
+from veridian.llm._shared import drop, materialize
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -39,8 +39,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         n = materialize(_small_star(_large_star(e)), "links")
         now = n.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if e.inputFiles():
-            delete(e.sparkSession, folder_of(e))
+        drop(e)
         e = n
         if now == state:
             break

@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veridian.llm._shared import materialize, read_table, release, shuffle_partitions
+from veridian.llm._shared import drop, materialize, read_table, shuffle_partitions
 from veridian.llm._textbytes import Words, mix64, row_blocks
 from veridian.llm.components import components
 
@@ -496,8 +496,8 @@ def ngram_components(docs: DataFrame, percent: int = 80, block_rows: int = 4096,
 
     keys = _keys(docs, sketch, name, percent, block_rows).repartition(shuffle_partitions(spark), "key", "slice").sortWithinPartitions("key", "slice", "cls")
     shared = materialize(keys.mapInArrow(_shared_rows, "key long, cls long"), "shared")
-    release(spark)
     members = materialize(_blocks_of(shared), "members")
+    drop(shared)
     vectors = facts.join(members.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("vec").alias("vec"))
     vectors = materialize(vectors, "vectors")
 
@@ -525,15 +525,18 @@ def ngram_components(docs: DataFrame, percent: int = 80, block_rows: int = 4096,
                     yield pa.record_batch([pa.array(keep, pa.int64()), pa.array(sets, pa.binary())], names=["cls", "shingles"])
 
         sets = docs.mapInArrow(to_sets, "cls long, shingles binary").join(classes, "cls", "left_semi")
-        return _verified(pairs, materialize(sets.dropDuplicates(["cls"]), "sets"), percent)
+        sets = materialize(sets.dropDuplicates(["cls"]), "sets")
+        out = materialize(_verified(pairs, sets, percent), "tested")
+        drop(sets)
+        return out
 
-    tested = materialize(verified(materialize(_bounded(_star_pairs(members, stars), vectors, percent), "stars")), "tested")
+    tested = verified(materialize(_bounded(_star_pairs(members, stars), vectors, percent), "stars"))
     links = tested.filter("linked").select("a", "b")
     label = materialize(components(links), "labels")
     tiles = _tiles(_open_members(members, label, block_rows).join(vectors.select("cls", "n", "vec"), "cls"), block_rows, percent)
     tiles = tiles.repartition(shuffle_partitions(spark), "leader", "deal", "tile").sortWithinPartitions("leader", "key", "tile", "n", "cls")
     rest = tiles.mapInArrow(_all_survivors(percent), PAIR).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    rest = materialize(verified(materialize(rest, "pairs")), "tested")
+    rest = verified(materialize(rest, "pairs"))
     label = materialize(components(links.union(rest.filter("linked").select("a", "b"))), "labels")
     rows = facts.join(label, F.col("cls") == F.col("node"), "left")
     rows = rows.select("doc_id", F.col("n").alias("n_shingles"), "cls", F.coalesce("label", "cls").alias("label"))
