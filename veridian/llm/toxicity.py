@@ -14,8 +14,10 @@ E = K n exp(-lambda S): lambda solves sum p(s) exp(lambda s) = 1 over the scores
 tokens, K fits the tail of clean texts.  A text's score is a logistic function, fitted on the
 calibration half, of -ln E summed over its segments.
 
-Defined cases: null and empty texts have no segment, and all texts without one get the same score; repeated tokens count each time; very long texts are read whole; with no
-labelled row of a class every score is the smoothed rate of the other rows; an empty table gives
+Defined cases: null and empty texts have no segment, and all texts without one get the same score; repeated
+tokens count each time; a row that repeats a ``doc_id`` is labelled like it, and equal rows are learned from once; of
+several labels of one id the largest counts; ties in the sample's hash go to the smaller id; very long texts are
+read whole; with no labelled row of a class every score is the smoothed rate of the other rows; an empty table gives
 no row; other columns are kept or ignored as the function says.
 """
 
@@ -30,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veridian.llm._shared import read_table
+from veridian.llm._shared import materialize, read_table
 from veridian.llm._textbytes import NOT_LETTER, Words, row_blocks
 from veridian.llm.language_id import held_out
 
@@ -158,10 +160,14 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 8000, prior: floa
     if len(rate) < 2:
         n = sum(rate.values())
         return Scorer(np.zeros(0, np.uint64), np.zeros(0), -drift, base=(rate.get(1, 0) + 0.5) / (n + 1))
-    by = W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= per_class).select("doc_id", "toxic", F.when(F.col("r") % 3 == 2, 1).otherwise(0).alias("half"))
-    # at most 2 * per_class rows of three numbers
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", "half")
+    # the smallest hashes of a class lie among about 1.5 times as many candidates, so only those meet
+    least_hash = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    share = F.when(F.col("toxic") == 1, min(1.0, 1.5 * per_class / rate[1])).otherwise(min(1.0, 1.5 * per_class / rate[0]))
+    by = W.partitionBy("toxic").orderBy(least_hash, "doc_id")
+    chosen = known.filter(least_hash <= share * (1 << 30)).withColumn("r", F.row_number().over(by)).filter(F.col("r") <= per_class).select("doc_id", "toxic", F.when(F.col("r") % 3 == 2, 1).otherwise(0).alias("half"))
+    # chosen: at most 2 * per_class rows of three numbers; equal rows of a document are learned from once
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text"]).select("text", "toxic", "half")
+    sample = materialize(sample, "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each token, the rows of each label that hold it; token 0 counts the rows."""
