@@ -11,8 +11,8 @@ one of their rarest signatures; the others are pruned before an intersection is
 Defined cases: null counts as empty; a text without a signature takes chains that start at every
 word; one with fewer than CHAIN words takes all its words as one signature; without words
 the set is empty, and two empty sets are alike (1.0); repeated ``doc_id`` rows follow each other by
-text; the only document is followed by itself; other columns are ignored; an empty table gives no
-row.
+text, equal rows are interchangeable; the only document is followed by itself; very long texts are read whole; columns of other
+names are ignored; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -120,14 +121,14 @@ def with_successors(docs: DataFrame, shards_each: int = 4) -> DataFrame:
     ids = docs.select("doc_id").filter("doc_id is not null")
     n = shuffle_partitions(spark)
     cuts = sorted(set(ids.approxQuantile("doc_id", [i / (n * shards_each) for i in range(1, n * shards_each)], 0.1 / (n * shards_each))))
-    cuts = [int(c) for c in cuts]
-    shard = F.when(F.col("doc_id").isNull(), 0)
-    if cuts:
-        marks = F.array(*map(F.lit, cuts))
-        shard = shard.otherwise(F.size(F.filter(marks, lambda c: c <= F.col("doc_id"))))
-    else:
-        shard = F.lit(0)
-    dealt = docs.withColumn("shard", shard.cast("int"))
+    marks = spark.sparkContext.broadcast(np.array([int(c) for c in cuts], dtype=np.int64))
+
+    @F.pandas_udf("int")
+    def range_of(doc_id: pd.Series) -> pd.Series:
+        """By binary search; only ids go to Python."""
+        return pd.Series(np.searchsorted(marks.value, doc_id.to_numpy(np.int64), side="right").astype(np.int32))
+
+    dealt = docs.withColumn("shard", F.when(F.col("doc_id").isNull(), 0).otherwise(range_of(F.coalesce("doc_id", F.lit(0)))))
     # one row for each range: the ranges are as many as the shuffle's partitions, times shards_each
     first = dealt.groupBy("shard").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("first")).select("shard", F.col("first.doc_id").alias("doc_id"))
     order = [r.shard for r in first.select("shard").orderBy("shard").collect()]

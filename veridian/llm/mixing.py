@@ -123,7 +123,7 @@ def mixing_plan(rows: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGH
     return out.select("doc_id", "source", "size", "tie", "source_size", "target", "copies")
 
 
-def _hashed(field: T.StructField) -> Column:
+def hashable(field: T.StructField) -> Column:
     """A column as something that can be hashed: maps have no order of their own, so they and what holds them go as JSON."""
     column = F.col(f"`{field.name}`")
     return F.to_json(F.struct(column)) if "map<" in field.dataType.simpleString() or "variant" in field.dataType.simpleString() else column
@@ -134,7 +134,7 @@ def mix_documents(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEI
 
     Texts move once, to the cell of their source, size and hash digits.
     """
-    tie = F.xxhash64(*map(_hashed, docs.schema.fields))
+    tie = F.xxhash64(*map(hashable, docs.schema.fields))
     # a whole row goes as one value, so no column can clash with those made here
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), tie.alias("tie"))
     rows = rows.withColumn("h", _digest(seed, F.col("doc_id"), F.col("tie"))).withColumn("salt", F.substring("h", 1, 2))

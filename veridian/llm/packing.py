@@ -1,9 +1,12 @@
 """Lexical retrieval packing (operator 2).
 
-Documents are encoded where they are scanned (no shuffle).  Each task cuts its rows into index
-shards of about ``shard_tokens`` ids and builds a BM25 inverted index over every shard: terms are
-token ids, weights use k1 and b with the non-negative Robertson-Sparck Jones idf, so terms that
-most of the shard holds weigh nothing and have no postings.
+Documents are encoded once, where they are scanned; from then on only ids move.  They are ordered by two
+min-hashes of their rarer terms (term ids from ``common`` on, for a BPE file numbers its frequent pieces
+first) and dealt out by ranges of that order, so documents that share much stand together whatever file they
+come from, and a term that any share of all rows has in common is still split.  Each task cuts its rows into
+index shards of about ``shard_tokens`` ids and builds a BM25 inverted index over every shard: terms are token
+ids, weights use k1 and b with the non-negative Robertson-Sparck Jones idf, so terms that most of the shard
+holds weigh nothing and have no postings.  A seed meets the neighbours of its shard.
 
 A window starts with a seed, the rest of the document cut at the end of the last window or else
 the next unused document.  The index returns the unused neighbours of the seed by score; they fill
@@ -15,8 +18,8 @@ powers of two: nothing is padded.
 Every id lies in exactly one piece.  ``sequence_id`` is unique, (task << 32) + number.
 
 Defined cases: null text counts as empty (the end id alone); repeated rows are packed each on its
-own; ties in score go to the earlier row; an empty table gives no row; other columns are ignored.
-A document longer than a window fills windows of its own first.
+own; ties in score go to the earlier row of the shard; an empty table gives no row; columns of other names are
+ignored.  A document longer than a window fills windows of its own first.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridian.llm._bpe import default_tokenizer, encoder
-from veridian.llm._shared import read_table
-from veridian.llm._textbytes import row_blocks
+from veridian.llm._shared import materialize, read_table, shuffle_partitions
+from veridian.llm._textbytes import mix64, row_blocks
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -153,29 +156,51 @@ class Packer:
         return out
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, window: int = 4096, end_id: int = 2, shard_tokens: int = 1 << 19) -> DataFrame:
+TOKENS = "doc_id long, first long, second long, ids binary"
+
+
+def encoded(docs: DataFrame, path: str, end_id: int, common: int) -> DataFrame:
+    """doc_id, ids (two or four bytes each) and two min-hashes of the rarer terms of ``docs`` (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        term = np.arange(np.iinfo(np.uint16).max + 1 if enc.dtype == np.uint16 else enc.tokenizer.get_vocab_size(True) + 1, dtype=np.uint64)
+        # frequent terms count only where a document has no other
+        rank = [(mix64(term * np.uint64(2) + np.uint64(k)) >> np.uint64(2)) | np.where(term < common, np.uint64(1 << 62), np.uint64(0)) for k in (0, 1)]
+        for batch in batches:
+            for block in row_blocks(batch, "text", 2 << 20):
+                ids, bounds = enc.encode(block.column(1), end_id)
+                if not block.num_rows:
+                    continue
+                least = [np.minimum.reduceat(r[ids], bounds[:-1]).view(np.int64) for r in rank]
+                data = np.ascontiguousarray(ids)
+                parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), block.num_rows, [None, pa.py_buffer((bounds * data.itemsize).astype(np.int64)), pa.py_buffer(data)])
+                yield pa.record_batch([block.column(0), *map(pa.array, least), parts.cast(pa.binary())], names=["doc_id", "first", "second", "ids"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, TOKENS)
+
+
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, window: int = 4096, end_id: int = 2, shard_tokens: int = 1 << 19, common: int = 1 << 15) -> DataFrame:
     """Pieces of all ``docs`` (doc_id, text), packed into sequences of ``window`` ids."""
     path = tokenizer or default_tokenizer()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        dtype = encoder(path).dtype
         packer = Packer(window, TaskContext.get().partitionId())
-        held: list[tuple[list, np.ndarray, np.ndarray]] = []
+        names, held, n = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            names = [d for part in held for d in part[0]]
-            ids = np.concatenate([part[1] for part in held])
-            lens = np.concatenate([np.diff(part[2]) for part in held])
-            packer.shard(names, ids, np.append(0, np.cumsum(lens)))
+            lens = [len(x) for x in held]
+            packer.shard(names, np.concatenate(held), np.append(0, np.cumsum(lens)))
+            names.clear()
             held.clear()
             return packer.drain()
 
-        n = 0
         for batch in batches:
-            for block in row_blocks(batch, "text", 2 << 20):
-                ids, bounds = enc.encode(block.column(1), end_id)
-                held.append((block.column(0).to_pylist(), ids, bounds))
-                n += len(ids)
+            for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                names.append(doc_id)
+                held.append(np.frombuffer(data.as_buffer(), dtype=dtype))
+                n += len(held[-1])
                 if n >= shard_tokens:
                     yield flush()
                     n = 0
@@ -184,7 +209,10 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, window: int =
         packer.finish()
         yield packer.drain()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pack, PIECES)
+    tokens = materialize(encoded(docs, path, end_id, common), "tokens")
+    order = ["first", "second", F.xxhash64("doc_id")]
+    dealt = tokens.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order, "doc_id")
+    return dealt.select("doc_id", "ids").mapInArrow(pack, PIECES)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

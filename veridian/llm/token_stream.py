@@ -4,8 +4,8 @@ Documents are put in ascending ``doc_id`` order by a range shuffle (ties: by tex
 agree), encoded, and written as one pair of files for each range:
 
 * ``part-NNNNN.arrow``: record batches of two fixed-size-list columns, ``ids`` and ``mask``, one
-  row for each sequence of ``seq_len`` ids.  The lists have no offsets, so sequence ``i`` lies at a
-  fixed place of the mapped file and is read without copying.  The last sequence of a file is
+  row for each sequence of ``seq_len`` ids.  The lists have no offsets and masks have a byte for each id, so
+  sequence and mask ``i`` lie at a fixed place of the mapped file and are read without copying.  The last sequence of a file is
   padded; its mask says where the ids end.
 * ``part-NNNNN.index.arrow``: ``doc_id``, ``start`` (ids before it in this file), ``n_tokens``.
 
@@ -13,7 +13,8 @@ Files appear under a temporary name and are moved into place when complete, unde
 depends on the range only, so a task that runs again replaces its own file.
 
 Defined cases: null text counts as empty (the end id alone); repeated ``doc_id`` rows each keep
-their own ids, one after another; an empty table writes no file; other columns are ignored.
+their own ids, one after another in the order of their texts; equal rows are interchangeable; very long texts run over as
+many sequences as they need; an empty table writes no file; columns of other names are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ READ_BACK = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 def _schema(seq_len: int, width: int) -> pa.Schema:
     kind = pa.uint16() if width == 2 else pa.uint32()
-    return pa.schema([("ids", pa.list_(kind, seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))])
+    return pa.schema([("ids", pa.list_(kind, seq_len)), ("mask", pa.list_(pa.uint8(), seq_len))])
 
 
 class SequenceFile:
@@ -63,7 +64,7 @@ class SequenceFile:
 
     def _write(self, flat: np.ndarray, used: int) -> None:
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(flat), self.seq_len)]
-        lists.append(pa.FixedSizeListArray.from_arrays(pa.array(np.arange(len(flat)) < used), self.seq_len))
+        lists.append(pa.FixedSizeListArray.from_arrays(pa.array((np.arange(len(flat)) < used).view(np.uint8)), self.seq_len))
         self.writer.write_batch(pa.record_batch(lists, schema=self.schema))
         self.n_sequences += len(flat) // self.seq_len
 
@@ -87,10 +88,10 @@ class SequenceReader:
         self.per_batch = self.file.get_batch(0).num_rows if self.file.num_record_batches else 1
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (zero-copy) and mask of sequence ``i``."""
+        """Ids and mask of sequence ``i``, both views of the file."""
         batch, k = self.file.get_batch(i // self.per_batch), i % self.per_batch
-        ids = batch.column(0).flatten().to_numpy()[k * self.seq_len : (k + 1) * self.seq_len]
-        return ids, batch.column(1)[k].values.to_numpy(zero_copy_only=False)
+        ids, mask = (batch.column(c).values.to_numpy()[k * self.seq_len : (k + 1) * self.seq_len] for c in (0, 1))
+        return ids, mask.view(np.bool_)
 
     def flat_batches(self) -> Iterator[np.ndarray]:
         """The ids that the masks keep, batch by batch."""
@@ -98,7 +99,7 @@ class SequenceReader:
         for i in range(last + 1):
             batch = self.file.get_batch(i)
             ids = batch.column(0).flatten().to_numpy()
-            yield ids[batch.column(1).flatten().to_numpy(zero_copy_only=False)] if i == last else ids
+            yield ids[batch.column(1).flatten().to_numpy().view(np.bool_)] if i == last else ids
 
 
 def write_token_stream(docs: DataFrame, folder: str, tokenizer: str | None = None, seq_len: int = 2048, end_id: int = 2) -> DataFrame:
