@@ -14,8 +14,8 @@ Parquet and read again as the next one's ``docs``.  All but the last keep the co
 4. mixture: sources are repeated or thinned to their target weights.
 5. packing: everything left is packed into sequences of at most 4096 ids.
 
-Null texts count as empty; an empty table passes through every stage; columns beyond those of
-``documents`` are kept up to packing.
+Null texts count as empty; very long texts are read whole; an empty table passes through every stage; columns
+beyond those of ``documents`` are kept up to packing, whatever their names and types.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from veridian.llm._shared import materialize, read_table
 from veridian.llm.language_id import UNDETERMINED, held_out, identify
-from veridian.llm.mixing import mix_documents
+from veridian.llm.mixing import hashable, mix_documents
 from veridian.llm.ngram_join import ngram_components
 from veridian.llm.packing import pack_documents
 from veridian.llm.toxicity import THRESHOLD, score_toxicity, train
@@ -36,16 +36,18 @@ LEAST_LANGUAGE = 0.4
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a known language."""
-    training = docs.select("doc_id", "text", "lang").filter(~held_out(F.col("doc_id"), 4))
-    told = identify(docs, training)
-    return told.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") >= LEAST_LANGUAGE)).select(*map(_name, docs.columns))
+    plain = _plain(docs)
+    training = plain.select("doc_id", "text", "lang").filter(~held_out(F.col("doc_id"), 4))
+    told = identify(plain, training)
+    return told.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") >= LEAST_LANGUAGE)).select(*plain.columns).toDF(*docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents below the toxicity threshold."""
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out(F.col("doc_id"), 4))
-    scored = score_toxicity(docs, train(docs.select("doc_id", "text"), labels), spans=False)
-    return scored.filter(F.col("toxic_score") < THRESHOLD).select(*map(_name, docs.columns))
+    plain = _plain(docs)
+    scored = score_toxicity(plain, train(plain.select("doc_id", "text"), labels), spans=False)
+    return scored.filter(F.col("toxic_score") < THRESHOLD).select(*plain.columns).toDF(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,12 +64,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     single = least.filter("_rows = 1").select("_row").union(rows.filter("_group is null").select("_row"))
     several = least.filter("_rows > 1").select(F.col("_group").alias("_g"), F.col("_doc").alias("_d"))
     several = rows.join(several, (F.col("_group") == F.col("_g")) & F.col("_doc").eqNullSafe(F.col("_d"))).select("_row", "_group")
-    keyed = docs.withColumn("_row", key)
+    plain = _plain(docs)
+    keyed = plain.withColumn("_row", key)
     tied = keyed.join(several, "_row")
-    order = [F.col(_name(c)) for c in ["text", *[c for c in docs.columns if c != "text"]]]
+    order = [F.col("text"), *[hashable(f) for f in plain.schema.fields if f.name != "text"]]
     tied = tied.withColumn("_first", F.row_number().over(W.partitionBy("_group").orderBy(*order))).filter("_first = 1")
-    names = [*map(_name, docs.columns)]
-    return keyed.join(single, "_row", "left_semi").select(*names).union(tied.select(*names))
+    return keyed.join(single, "_row", "left_semi").select(*plain.columns).union(tied.select(*plain.columns)).toDF(*docs.columns)
 
 
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,8 +82,10 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pack_documents(docs)
 
 
-def _name(column: str) -> str:
-    return f"`{column}`"
+def _plain(docs: DataFrame) -> DataFrame:
+    """``docs`` with the columns that stages read under their own names and all others numbered, so none can clash with what is added."""
+    known = ("doc_id", "text", "lang", "source")
+    return docs.toDF(*[c if c in known else f"other{i}" for i, c in enumerate(docs.columns)])
 
 
 STAGES = [
