@@ -46,6 +46,29 @@ def attention_pool(tokens: DataFrame, queries: DataFrame, key: str, size: int) -
     return out.select(key, F.transform("pooled", lambda x: x / norm(F.col("pooled"))).alias("pooled"), (dot(F.col("pooled"), F.col("mean")) / (norm(F.col("pooled")) * norm(F.col("mean")))).alias("attention"))
 
 
+def top_tokens(tokens: DataFrame, queries: DataFrame, key: str, token: str, k: int) -> DataFrame:
+    """The k tokens of each object that are most similar to any query, ties to the smaller token (O2).
+
+    ``queries`` (query_id, query) is a handful of rows; only the best k of each object leave a task.
+    """
+    best = tokens.join(F.broadcast(queries), F.lit(True)).groupBy(key, token).agg(F.round(F.max(dot(F.col("emb"), F.col("query"))), 9).alias("similarity"))
+    rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc("similarity"), token))
+    return best.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def aggregate_maps(cells: DataFrame, by: tuple[str, ...] = ("y", "x"), value: str = "w") -> DataFrame:
+    """Largest, mean and median value of each place over all maps or images."""
+    return cells.groupBy(*by).agg(F.max(value).alias("largest"), F.avg(value).alias("mean"), F.median(value).alias("median"))
+
+
+def mask_axes(pixels: DataFrame, key: str) -> DataFrame:
+    """Minor and major axis of the ellipse with a mask's second moments: four roots of the eigenvalues of its (population) covariance."""
+    m = pixels.groupBy(key).agg(F.var_pop("x").alias("_a"), F.var_pop("y").alias("_b"), F.covar_pop("x", "y").alias("_c"))
+    middle, spread = (F.col("_a") + F.col("_b")) / 2, F.sqrt(F.pow((F.col("_a") - F.col("_b")) / 2, 2) + F.pow("_c", F.lit(2)))
+    axis = lambda e: 4.0 * F.sqrt(F.greatest(e, F.lit(0.0)))
+    return m.select(key, axis(middle - spread).alias("minor"), axis(middle + spread).alias("major"))
+
+
 def principal_direction(x: np.ndarray, k: int) -> tuple[np.ndarray, float]:
     """Eigenvalue-weighted direction of the first k components, each turned towards the mean; and their share of variance (V6)."""
     mean = x.mean(axis=0)

@@ -160,3 +160,38 @@ def tile_grid(slides: DataFrame, size: int, overlap: int) -> DataFrame:
     axis = lambda n: F.sequence(F.lit(0), F.col(n) - 1, F.lit(step))
     rows = slides.withColumn("y", F.explode(axis("height"))).withColumn("x", F.explode(axis("width")))
     return rows.withColumn("tile", (F.col("y") / step * F.ceil(F.col("width") / step) + F.col("x") / step).cast("long")).withColumn("size", F.lit(size))
+
+
+MINED = """slide string, dataset string, object_idx int, mask binary, mask_h int, mask_w int, mask_area int, point struct<x:int,y:int>, topleft struct<x:int,y:int>,
+x1 int, y1 int, x2 int, y2 int, confidence float, elapsed_s float, token_idx array<int>, nms_status string"""
+FILTERED = MINED + ", confidence_refined float, class_id int, class_prob float, class_name string"
+RUN = "slide string, step int, metric string, value double"
+
+
+def read_mined(spark: SparkSession, path: str, filtered: bool = False) -> DataFrame:
+    """Objects of a mining or filtered store in its Parquet layout, one row for each; fields that a store lacks are null.
+
+    ``dataset`` comes from the folder.  Class names that a filtered store lacks are ``class_<id>``.
+    """
+    rows = spark.read.schema(FILTERED if filtered else MINED).parquet(path)
+    if not filtered:
+        return rows
+    return rows.withColumn("class_name", F.coalesce("class_name", F.when(F.col("class_id").isNotNull(), F.concat(F.lit("class_"), "class_id"))))
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The run arrays of a mining store (entropy, its drops, confidences), a row for each step (S3)."""
+    return spark.read.schema(RUN).parquet(path)
+
+
+MATRIX = "datasets map<string, struct<slides array<string>, species array<string>, total_samples long>>"
+
+
+def read_truth_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """(slide, dataset) of a cross-dataset matrix; no rows if the file is missing or not JSON; of a slide in several the last by name."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], "slide string, dataset string")
+    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", MATRIX).alias("m"))
+    rows = doc.select(F.explode("m.datasets").alias("dataset", "info")).select("dataset", F.explode("info.slides").alias("slide"))
+    return rows.groupBy("slide").agg(F.max("dataset").alias("dataset"))

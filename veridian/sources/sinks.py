@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -43,3 +44,10 @@ def write_csv(rows: DataFrame, path: str, lists: tuple[str, ...] = ()) -> None:
     """CSV with list columns joined by a double bar."""
     flat = rows.select(*[F.array_join(c, "||").alias(c) if c in lists else F.col(c) for c in rows.columns])
     flat.write.mode("overwrite").csv(path, header=True)
+
+
+def write_runs(rows: DataFrame, path: str, order: str, metrics: tuple[str, ...]) -> None:
+    """Run arrays as rows (slide, step, metric, value): the columns ``metrics`` in the order of ``order`` within a slide (K1)."""
+    step = (F.row_number().over(W.partitionBy("slide").orderBy(order)) - 1).alias("step")
+    wide = rows.select(F.col("slide").cast("string").alias("slide"), step, *[F.col(m).cast("double").alias(m) for m in metrics])
+    wide.unpivot(["slide", "step"], list(metrics), "metric", "value").filter("value is not null").write.mode("overwrite").parquet(path)
