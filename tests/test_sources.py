@@ -111,3 +111,21 @@ def test_mining_and_prototype(spark):
     assert np.allclose(out, near[np.argmax(near @ near.sum(axis=0))])
     smoothed = mining.smooth(cells.select("slide", F.col("tok_y").alias("y"), F.col("tok_x").alias("x"), "w"))
     assert smoothed.agg(F.sum("w")).first()[0] == pytest.approx(cells.agg(F.sum("w")).first()[0])
+
+
+def test_lines_are_numbered_in_each_file(spark, tmp_path):
+    for name, n in (("a.jsonl", 3), ("b.jsonl", 4)):
+        (tmp_path / name).write_text("\n".join(["", *[f'{{"caption": "{name} {i}"}}' for i in range(n)]]) + "\n")
+    got = sorted((r.file, r.pair_key) for r in readers.read_captions(spark, str(tmp_path)).collect())
+    assert got == [("a", f"row:{i:08d}") for i in range(1, 4)] + [("b", f"row:{i:08d}") for i in range(1, 5)]
+
+
+def test_long_files_are_numbered_over_their_splits(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("".join(f'{{"caption": "c{i} {"x" * 200}"}}\n' for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        rows = readers.read_captions(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() > 1
+        assert all(r.caption.startswith(f"c{r.line} ") for r in rows.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
