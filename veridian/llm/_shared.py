@@ -72,3 +72,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def partitions_for(spark: SparkSession, n_bytes: int, each: int = 64 << 20) -> int:
+    """As many partitions as the session asks for, or more if a task would read over ``each`` bytes."""
+    return max(shuffle_partitions(spark), -(-n_bytes // each))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridian.llm._bpe import default_tokenizer, encoder
-from veridian.llm._shared import materialize, read_table, shuffle_partitions
+from veridian.llm._shared import materialize, partitions_for, read_table
 from veridian.llm._textbytes import mix64, row_blocks
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -210,8 +210,9 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, window: int =
         yield packer.drain()
 
     tokens = materialize(encoded(docs, path, end_id, common), "tokens")
+    n_bytes = tokens.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
     order = ["first", "second", F.xxhash64("doc_id")]
-    dealt = tokens.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order, "doc_id")
+    dealt = tokens.repartitionByRange(partitions_for(docs.sparkSession, n_bytes), *order).sortWithinPartitions(*order, "doc_id")
     return dealt.select("doc_id", "ids").mapInArrow(pack, PIECES)
 
 
