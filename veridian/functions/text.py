@@ -61,17 +61,15 @@ def leaks_taxon(words: Column, names: Column, unknown: tuple[str, ...] = ("unkno
 
 def content_words(words: Column, least: int = 3) -> Column:
     """Words that are no function words and not short."""
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(words, lambda w: (F.length(w) >= least) & ~F.array_contains(stop, w))
+    return F.filter(words, lambda w: (F.length(w) >= least) & ~w.isin(STOP_WORDS))
 
 
 def bigrams(text: Column) -> Column:
     """Neighbouring words, letters and hyphens only, neither empty nor a function word."""
-    stop = F.array(*map(F.lit, STOP_WORDS))
     words = F.transform(F.split(F.lower(text), r"[ \t\n\r\f\x0B]+"), lambda w: F.regexp_replace(w, "[^a-z-]", ""))
     least = F.greatest(F.size(words) - 1, F.lit(0))
     pairs = F.arrays_zip(F.slice(words, 1, least), F.slice(words, 2, least))
-    good = F.filter(pairs, lambda p: (p["0"] != "") & (p["1"] != "") & ~F.array_contains(stop, p["0"]) & ~F.array_contains(stop, p["1"]))
+    good = F.filter(pairs, lambda p: (p["0"] != "") & (p["1"] != "") & ~p["0"].isin(STOP_WORDS) & ~p["1"].isin(STOP_WORDS))
     return F.transform(good, lambda p: F.concat_ws(" ", p["0"], p["1"]))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from veridian.functions.draws import draw
 from veridian.functions.vectors import dot, mean_vector
+from veridian.session import scratch
 
 #: Queries are broadcast in blocks of about this many rows.
 MOST_BROADCAST_QUERIES = 20_000
@@ -95,9 +96,13 @@ def macro_mean(metrics: DataFrame, value: str, inner: str, outer: str) -> DataFr
 def hierarchical_bootstrap(metrics: DataFrame, value: str, outer: str, inner: str, key: str, replicates: int, seed: int = 42) -> DataFrame:
     """Mean with a 95 % interval from replicates that draw outer groups, inner groups in them and rows in those, each with replacement.
 
-    ``metrics`` holds one row for each query, a bounded number; draws are hashed, so reruns agree.
+    ``metrics`` holds one row for each query, a bounded number, and is written once, for every step below reads it;
+    draws are hashed, so reruns agree.
     """
-    m = metrics.select(outer, inner, key, value)
+    spark = metrics.sparkSession
+    folder = scratch(spark, "metrics")
+    metrics.select(outer, inner, key, value).write.parquet(folder)
+    m = spark.read.parquet(folder)
     outers = m.select(outer).distinct().withColumn("o", F.row_number().over(W.orderBy(outer)) - 1)
     inners = m.select(outer, inner).distinct().withColumn("i", F.row_number().over(W.partitionBy(outer).orderBy(inner)) - 1)
     rows = m.withColumn("q", F.row_number().over(W.partitionBy(outer, inner).orderBy(key)) - 1)
