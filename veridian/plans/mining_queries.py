@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from veridian.functions import geometry as G
 from veridian.operators import mining as M
+from veridian.operators import pixels as P
 from veridian.operators import ranking as R
 from veridian.operators import sampling as S
 from veridian.operators import tables as T
@@ -193,11 +194,37 @@ def encoded(spark: SparkSession, d: str) -> DataFrame:
 
 ENCODED_SQL = "SELECT page_id, to_base64(encode(html)) AS encoded FROM pages"
 
+
+
+def shifted(spark: SparkSession, d: str) -> DataFrame:
+    """M9: regions moved over a grid of five by five offsets."""
+    return P.shift_grid(B.regions(spark, d), 2, 14)
+
+
+SHIFTED_SQL = f"SELECT region, slide, x1 + i * 14 AS x1, y1 + j * 14 AS y1, x2 + i * 14 AS x2, y2 + j * 14 AS y2, (i * 14)::INT AS dx, (j * 14)::INT AS dy FROM ({B._regions()}), range(-2, 3) a(i), range(-2, 3) b(j)"
+
+
+def crop_names(spark: SparkSession, d: str) -> DataFrame:
+    """K18."""
+    b = B.detections(spark, d)
+    return b.select("id", "slide", P.crop_name(F.concat(F.lit("slide"), "slide"), F.col("id"), *[F.col(c) for c in ("x1", "y1", "x2", "y2")]).alias("name"))
+
+
+NAMES_SQL = f"SELECT id, slide, concat_ws('_', 'slide' || slide, 'pollen', id, x1, y1, x2 - x1, y2 - y1) AS name FROM ({B.DETECTIONS})"
+
+
+def json_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows as JSON; a time stamp, which JSON has not, goes as text."""
+    return read(spark, d, "orders").select("o_orderkey", F.to_json(F.struct(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("at"))).alias("json"))
+
+
+JSON_SQL = "SELECT o_orderkey, to_json({'key': o_orderkey, 'status': o_orderstatus, 'at': strftime(o_orderdate, '%Y-%m-%d')})::VARCHAR AS json FROM orders"
+
 QUERIES = {
     "j15_token_pool": token_pool, "j16_grid_lookup": grid_lookup, "v7_attention": attention, "o2_top_tokens": top_tokens, "a18_map_aggregates": maps, "g11_smoothed": smoothed, "g13_entropy_drop": entropy_drop,
-    "g8_mask_axes": axes, "g4_iou": ious, "a27_region_stats": region_stats, "e17_coverage": coverage, "j7_aligned": aligned, "f8_classifier_gate": gated, "s1_tile_grid": tiles, "t22_base64": encoded,
+    "g8_mask_axes": axes, "g4_iou": ious, "a27_region_stats": region_stats, "e17_coverage": coverage, "j7_aligned": aligned, "f8_classifier_gate": gated, "s1_tile_grid": tiles, "t22_base64": encoded, "m9_shift_grid": shifted, "k18_crop_names": crop_names, "n4_json_rows": json_rows,
 }
 ORACLES = {
     "j15_token_pool": POOL_SQL, "j16_grid_lookup": LOOKUP_SQL, "v7_attention": ATTENTION_SQL, "o2_top_tokens": TOP_SQL, "a18_map_aggregates": MAPS_SQL, "g11_smoothed": SMOOTH_SQL, "g13_entropy_drop": DROP_SQL,
-    "g8_mask_axes": AXES_SQL, "g4_iou": IOU_SQL, "a27_region_stats": STATS_SQL, "e17_coverage": COVERAGE_SQL, "j7_aligned": ALIGNED_SQL, "f8_classifier_gate": GATED_SQL, "s1_tile_grid": TILES_SQL, "t22_base64": ENCODED_SQL,
+    "g8_mask_axes": AXES_SQL, "g4_iou": IOU_SQL, "a27_region_stats": STATS_SQL, "e17_coverage": COVERAGE_SQL, "j7_aligned": ALIGNED_SQL, "f8_classifier_gate": GATED_SQL, "s1_tile_grid": TILES_SQL, "t22_base64": ENCODED_SQL, "m9_shift_grid": SHIFTED_SQL, "k18_crop_names": NAMES_SQL, "n4_json_rows": JSON_SQL,
 }
