@@ -138,7 +138,8 @@ def write_token_stream(docs: DataFrame, folder: str, tokenizer: str | None = Non
 
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .repartitionByRange(shuffle_partitions(spark), "doc_id")
+        # the beginning of the text parts rows that share an id
+        .repartitionByRange(shuffle_partitions(spark), "doc_id", F.substring("text", 1, 32))
         .sortWithinPartitions("doc_id", "text")
     )
     manifest = materialize(ordered.mapInArrow(write, MANIFEST), "manifest")
