@@ -8,7 +8,7 @@ path template:
    its place in the tree it is common (``COMMON`` URLs at least, and 1 in ``SHARE``); else it becomes
    a wildcard, which keeps a file extension.  What is deeper becomes one mark.
 2. Labels are the URLs that rules decide.  Templates of one host that have the same shape start as one
-   branch; ``ROUNDS`` times each template's rate of blocked labels is held against that of the rest of its
+   branch, but those without a label are a branch of their own, for nothing says what they are like; ``ROUNDS`` times each template's rate of blocked labels is held against that of the rest of its
    branch, and those that differ significantly (two-proportion z of ``Z``), above or below, leave for
    branches of their own.  Templates that stay together are merged.
 3. Purity: the blocked share of a branch's own labels, smoothed with ``STRENGTH`` labels at the rate of its
@@ -89,7 +89,7 @@ def template_purity(rows: DataFrame) -> DataFrame:
     """host, template, branch, purity of ``rows`` (host, template, shape, verdict); ``verdict`` is null where no rule fits."""
     blocked = F.sum(F.when(F.col("verdict") == "block", 1).otherwise(0))
     t = rows.groupBy("host", "shape", "template").agg(blocked.alias("b"), F.count("verdict").alias("l"))
-    t = t.withColumn("branch", F.lit(""))
+    t = t.withColumn("branch", F.when(F.col("l") == 0, "0").otherwise(""))
     whole = W.partitionBy("host", "shape", "branch")
     for _ in range(ROUNDS):
         t = t.withColumn("bb", F.sum("b").over(whole)).withColumn("bl", F.sum("l").over(whole))
@@ -147,7 +147,7 @@ t{i} AS (SELECT host, shape, template, b, l, branch || CASE WHEN gap >= need THE
 WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '{parts}', 1, 's'), '{UPPER}', '{LOWER}'), '') AS host, coalesce(regexp_extract(url, '{parts}', 2, 's'), '') AS path FROM pages),
 l0 AS (SELECT *, CASE {fits} END AS fit, CASE WHEN path = '' THEN []::VARCHAR[] ELSE string_split(regexp_replace(path, '^/', ''), '/') END AS segments, '' AS template, '' AS shape FROM p),{",".join(levels)},
 r AS (SELECT page_id, host, path, fit.rule AS rule, fit.verdict AS verdict, template || d AS template, shape || d AS shape FROM (SELECT *, CASE WHEN len(segments) > {DEPTH} THEN '/**' ELSE '' END AS d FROM {last})),
-t AS (SELECT host, shape, template, count(*) FILTER (WHERE verdict = 'block') AS b, count(verdict) AS l, '' AS branch FROM r GROUP BY host, shape, template),
+t AS (SELECT host, shape, template, count(*) FILTER (WHERE verdict = 'block') AS b, count(verdict) AS l, CASE WHEN count(verdict) = 0 THEN '0' ELSE '' END AS branch FROM r GROUP BY host, shape, template),
 {",".join(rounds)},
 w AS (SELECT host, shape, template, sum(b) OVER (PARTITION BY host, shape, branch)::DOUBLE AS bb, sum(l) OVER (PARTITION BY host, shape, branch)::DOUBLE AS bl, sum(b) OVER (PARTITION BY shape)::DOUBLE AS sb, sum(l) OVER (PARTITION BY shape)::DOUBLE AS sl FROM {last_round}),
 u AS (SELECT host, template, (bb + {STRENGTH}::DOUBLE * least(0.5::DOUBLE, (sb + {STRENGTH}::DOUBLE * 0.5::DOUBLE) / (sl + {STRENGTH}::DOUBLE))) / (bl + {STRENGTH}::DOUBLE) AS purity FROM w)
