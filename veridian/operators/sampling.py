@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -24,6 +24,19 @@ def cap(rows: DataFrame, group: Sequence[str], key: str, most: int, seed: int =
     return rows.withColumn("_r", r).filter(F.col("_r") <= most).drop("_r")
 
 
+def crop_sample(rows: DataFrame, positive: Column, key: str, most: int = 1000, seed: int = 42) -> DataFrame:
+    """At most ``most`` positive rows and no more negative ones than those, with ``is_positive``.
+
+    Rows that are neither (null) go.  Only the first ``most`` of each kind are ordered.
+    """
+    marked = rows.withColumn("is_positive", positive).filter(F.col("is_positive").isNotNull())
+    rank = F.row_number().over(W.partitionBy("is_positive").orderBy(draw(seed, F.col(key)), key))
+    ranked = marked.withColumn("_r", rank).filter(F.col("_r") <= most)
+    # one number
+    taken = ranked.agg(F.count_if("is_positive").alias("_n"))
+    return ranked.join(F.broadcast(taken), F.lit(True)).filter(F.col("_r") <= F.col("_n")).drop("_r", "_n")
+
+
 def simple_sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows without replacement, all if there are fewer."""
     return rows.orderBy(draw(seed, F.col(key)), key).limit(n)

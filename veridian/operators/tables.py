@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,20 @@ def side_flags(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFr
     return a.join(b, list(keys), "full_outer").select(*keys, side.alias("side"))
 
 
+def model_consistency(left: DataFrame, right: DataFrame, group: str, key: str) -> DataFrame:
+    """For each group, ids of both sides and of one only, and whether the sets are equal."""
+    sides = side_flags(left, right, [group, key])
+    counts = [F.count_if(F.col("side") == s).alias(n) for s, n in (("both", "common"), ("left", "only_left"), ("right", "only_right"))]
+    return sides.groupBy(group).agg(*counts).withColumn("consistent", (F.col("only_left") == 0) & (F.col("only_right") == 0))
+
+
+def run_summary(results: DataFrame, config: dict[str, str]) -> DataFrame:
+    """One row about a run (id, caption, retry_attempts): totals, done, failed, retries, success in percent, and its settings as JSON (K6)."""
+    total, done = F.count(F.lit(1)), F.count("caption")
+    one = results.agg(total.alias("total"), done.alias("completed"), (total - done).alias("failed"), F.coalesce(F.sum("retry_attempts"), F.lit(0)).alias("retries"), F.round(F.coalesce(100.0 * F.try_divide(done, total), F.lit(0.0)), 2).alias("success_pct"))
+    return one.withColumn("config", F.lit(json.dumps(config, sort_keys=True)))
+
+
 def require_same_ids(left: DataFrame, right: DataFrame, key: str) -> None:
     """Unique ids on each side and equal id sets, or an error."""
     for side, name in ((left, "left"), (right, "right")):

@@ -261,13 +261,46 @@ def channels(spark: SparkSession, d: str) -> DataFrame:
 
 CHANNELS_SQL = "SELECT event_type, round(avg(value), 6) AS mean, round(sqrt(greatest(0.0, avg(value * value) - avg(value) * avg(value))), 6) AS std, round(median(value), 6) AS median, max(value) AS max FROM events GROUP BY event_type"
 
+
+
+def crops(spark: SparkSession, d: str) -> DataFrame:
+    """Toxic documents as positive crops, 150 at most."""
+    kind = F.when(F.col("quality") == 0, F.lit(None)).otherwise(F.col("toxic") == 0)
+    return S.crop_sample(read(spark, d, "labels").select("doc_id", "toxic", "quality"), kind, "doc_id", 150).select("doc_id", "is_positive")
+
+
+CROPS_SQL = f"""WITH r AS (SELECT doc_id, toxic = 0 AS is_positive, row_number() OVER (PARTITION BY toxic = 0 ORDER BY {H.format("doc_id")}, doc_id) AS r FROM labels WHERE quality <> 0 AND toxic IS NOT NULL)
+SELECT doc_id, is_positive FROM r WHERE r <= 150 AND r <= (SELECT count(*) FROM r WHERE is_positive AND r <= 150)"""
+
+
+def consistency(spark: SparkSession, d: str) -> DataFrame:
+    """Documents against labelled ones, by source."""
+    docs = read(spark, d, "documents").select("source", "doc_id")
+    return T.model_consistency(docs, docs.join(read(spark, d, "labels").select("doc_id"), "doc_id", "left_semi"), "source", "doc_id")
+
+
+CONSISTENCY_SQL = """WITH s AS (SELECT source, count(*) FILTER (WHERE l) AS common, count(*) FILTER (WHERE NOT l) AS only_left FROM (SELECT DISTINCT source, doc_id, doc_id IN (SELECT doc_id FROM labels) AS l FROM documents) GROUP BY source)
+SELECT source, common, only_left, 0 AS only_right, only_left = 0 AS consistent FROM s"""
+
+
+def summary(spark: SparkSession, d: str) -> DataFrame:
+    """K6: orders as captions, open ones failed."""
+    rows = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") != "O", "done").alias("caption"), (F.col("o_orderkey") % 3).alias("retry_attempts"))
+    return T.run_summary(rows, {"model": "m", "batch": "10000"})
+
+
+SUMMARY_SQL = """SELECT count(*) AS total, count(*) FILTER (WHERE o_orderstatus <> 'O') AS completed, count(*) FILTER (WHERE o_orderstatus = 'O') AS failed, sum(o_orderkey % 3)::BIGINT AS retries,
+round(100.0::DOUBLE * count(*) FILTER (WHERE o_orderstatus <> 'O') / count(*), 2) AS success_pct, '{"batch": "10000", "model": "m"}' AS config FROM orders"""
+
 QUERIES = {
+    "r12_crop_sample": crops, "e16_model_consistency": consistency, "k6_run_summary": summary,
     "r1_group_split": split, "a20_split_counts": split_counts, "e15_split_verdict": split_verdict, "r6_capped_sample": capped, "r11_simple_sample": simple, "r3_balanced_resample": balanced, "r4_weighted_sample": weighted, "r5_budget_sample": budget,
     "w1_entropy_series": entropy, "w3_moving_averages": moving_average, "w10_reservoir": reservoir, "w5_status_share": status_share,
     "a22_seed_summary": seeds, "k13_seed_columns": wide_seeds, "e18_variant_delta": deltas, "f19_resume": resume, "j19_side_flags": sides, "j8_three_way": three_way, "j18_zero_default": zero_default, "j10_stem_match": stems,
     "j17_siblings": sibling_pairs, "u4_group_overlap": overlap, "j12_taxonomy": taxonomy, "a28_best_row": best, "w18_offsets": csr, "n1_json_props": props, "a16_channel_stats": channels,
 }
 ORACLES = {
+    "r12_crop_sample": CROPS_SQL, "e16_model_consistency": CONSISTENCY_SQL, "k6_run_summary": SUMMARY_SQL,
     "r1_group_split": SPLIT_SQL, "a20_split_counts": SPLIT_COUNTS_SQL, "e15_split_verdict": VERDICT_SQL, "r6_capped_sample": CAPPED_SQL, "r11_simple_sample": SIMPLE_SQL, "r3_balanced_resample": BALANCED_SQL, "r4_weighted_sample": WEIGHTED_SQL, "r5_budget_sample": BUDGET_SQL,
     "w1_entropy_series": ENTROPY_SQL, "w3_moving_averages": AVERAGE_SQL, "w10_reservoir": RESERVOIR_SQL, "w5_status_share": SHARE_SQL,
     "a22_seed_summary": SEEDS_SQL, "k13_seed_columns": WIDE_SQL, "e18_variant_delta": DELTAS_SQL, "f19_resume": RESUME_SQL, "j19_side_flags": SIDES_SQL, "j8_three_way": THREE_SQL, "j18_zero_default": ZERO_SQL, "j10_stem_match": STEMS_SQL,
