@@ -1,7 +1,7 @@
 """Toxicity by maximum-scoring segments (operator 10).
 
-Training uses a bounded sample of labelled rows: at most ``per_class`` rows of each label, those
-with the smallest hash.  Two thirds give log-odds with an informative Dirichlet prior (the prior
+Training uses a bounded sample of labelled rows: about ``per_class`` rows of each label at most, those
+whose hash lies in that share of all hashes.  Two thirds give log-odds with an informative Dirichlet prior (the prior
 of a token is its share of both classes, so rare tokens are drawn to zero); the last third gives
 the calibration.  A token is known by its word and by the word's first 4, 5 and 6 bytes, so
 inflected forms share what is learned of their stem; the strongest of these speaks for it.
@@ -16,7 +16,7 @@ calibration half, of -ln E summed over its segments.
 
 Defined cases: null and empty texts have no segment, and all texts without one get the same score; repeated
 tokens count each time; a row that repeats a ``doc_id`` is labelled like it, and equal rows are learned from once; of
-several labels of one id the largest counts; ties in the sample's hash go to the smaller id; very long texts are
+several labels of one id the largest counts; very long texts are
 read whole; with no labelled row of a class every score is the smoothed rate of the other rows; an empty table gives
 no row; other columns are kept or ignored as the function says.
 """
@@ -28,7 +28,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -160,12 +159,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 8000, prior: floa
     if len(rate) < 2:
         n = sum(rate.values())
         return Scorer(np.zeros(0, np.uint64), np.zeros(0), -drift, base=(rate.get(1, 0) + 0.5) / (n + 1))
-    # the smallest hashes of a class lie among about 1.5 times as many candidates, so only those meet
-    least_hash = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    share = F.when(F.col("toxic") == 1, min(1.0, 1.5 * per_class / rate[1])).otherwise(min(1.0, 1.5 * per_class / rate[0]))
-    by = W.partitionBy("toxic").orderBy(least_hash, "doc_id")
-    chosen = known.filter(least_hash <= share * (1 << 30)).withColumn("r", F.row_number().over(by)).filter(F.col("r") <= per_class).select("doc_id", "toxic", F.when(F.col("r") % 3 == 2, 1).otherwise(0).alias("half"))
-    # chosen: at most 2 * per_class rows of three numbers; equal rows of a document are learned from once
+    # a row is in or out by its own hash, so nothing is ordered
+    share = F.when(F.col("toxic") == 1, min(1.0, per_class / rate[1])).otherwise(min(1.0, per_class / rate[0]))
+    chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= share * (1 << 30))
+    chosen = chosen.select("doc_id", "toxic", F.when(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 2, 1).otherwise(0).alias("half"))
+    # chosen: about 2 * per_class rows of three numbers at most; equal rows of a document are learned from once
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text"]).select("text", "toxic", "half")
     sample = materialize(sample, "sample")
 
