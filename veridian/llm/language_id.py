@@ -25,11 +25,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veridian.llm._shared import materialize, read_table
+from veridian.llm._shared import read_table
 from veridian.llm._textbytes import NOT_LETTER, Words, mix64, row_blocks, segment_sums
 
 N_GRAMS = (1, 2, 3, 4)
@@ -87,19 +86,13 @@ class Grams:
 def train(rows: DataFrame, per_language: int = 3000, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
     """Languages and their log-likelihood tables (slot x language) from ``rows`` (doc_id, text, lang).
 
-    At most ``per_language`` rows of each language are learned from, those with the smallest hash; equal rows once.
+    About ``per_language`` rows of each language at most are learned from, those whose hash lies in that share of all hashes;
+    equal rows once.
     """
     chosen = rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 40)).alias("_h"))
     chosen = chosen.filter("lang is not null and length(text) > 0")
-    # rows of one hash are counted as one, so a repeated row takes one place; the smallest hashes of a language lie among
-    # about 1.5 times as many candidates, so only those meet
-    each = chosen.groupBy("lang", "_h").agg(F.count(F.lit(1)).alias("n"))
-    each = materialize(each, "hashes")
-    sizes = each.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
-    near = each.join(F.broadcast(sizes), "lang").filter(F.col("_h") <= F.least(F.lit(1.0), 1.5 * per_language / F.col("_n")) * (1 << 40))
-    keys = near.withColumn("_r", F.row_number().over(W.partitionBy("lang").orderBy("_h"))).filter(F.col("_r") <= per_language)
-    # the hash that the last chosen row of each language has: one row for each language
-    limits = keys.groupBy("lang").agg(F.max("_h").alias("_limit"))
+    # a row is in or out by its own hash, so nothing is ordered; one row for each language
+    limits = chosen.groupBy("lang").agg((F.least(F.lit(1.0), per_language / F.count(F.lit(1))) * (1 << 40)).alias("_limit"))
     sample = chosen.join(F.broadcast(limits), "lang").filter("_h <= _limit").dropDuplicates(["lang", "_h", "text"]).select("lang", "text")
     schema = "lang string, part int, counts binary"
     width = 1 << 12
