@@ -315,3 +315,22 @@ def test_urls_are_rejected_by_their_own_labels_only(spark):
     assert got[0].verdict == "block" and got[7].verdict == "allow"
     assert all(got[100 + i].verdict == "allow" and got[100 + i].purity <= 0.5 for i in range(40))
     assert got[300].verdict == "allow"
+
+
+def test_sequences_and_masks_are_views(tmp_path):
+    from veridian.llm.token_stream import SequenceFile, SequenceReader
+
+    path, ids = tmp_path / "x.arrow", np.arange(1, 1000, dtype=np.uint16)
+    with open(path, "wb") as f:
+        out = SequenceFile(f, 64, np.uint16, rows=4)
+        for part in np.array_split(ids, 7):
+            out.add(part)
+        out.close()
+    reader = SequenceReader(f"file://{path}")
+    assert out.n_sequences == 16 and (np.concatenate(list(reader.flat_batches())) == ids).all()
+    kept = []
+    for i in range(16):
+        sequence, mask = reader.sequence(i)
+        assert len(sequence) == len(mask) == 64 and not sequence.flags.owndata and not mask.flags.owndata
+        kept.append(sequence[mask])
+    assert (np.concatenate(kept) == ids).all()

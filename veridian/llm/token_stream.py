@@ -3,10 +3,10 @@
 Documents are put in ascending ``doc_id`` order by a range shuffle (ties: by text, so reruns
 agree), encoded, and written as one pair of files for each range:
 
-* ``part-NNNNN.arrow``: record batches of two fixed-size-list columns, ``ids`` and ``mask``, one
-  row for each sequence of ``seq_len`` ids.  The lists have no offsets and masks have a byte for each id, so
-  sequence and mask ``i`` lie at a fixed place of the mapped file and are read without copying.  The last sequence of a file is
-  padded; its mask says where the ids end.
+* ``part-NNNNN.arrow``: record batches of a fixed-size-list column ``ids``, one row for each sequence of
+  ``seq_len`` ids, and ``length``, how many of them count.  The lists have no offsets, so sequence ``i`` lies
+  at a fixed place of the mapped file and is read without copying; its mask is ``length`` ones and then
+  zeros, a view of one constant row.  Only the last sequence of a file is padded.
 * ``part-NNNNN.index.arrow``: ``doc_id``, ``start`` (ids before it in this file), ``n_tokens``.
 
 Files appear under a temporary name and are moved into place when complete, under a name that
@@ -39,7 +39,7 @@ READ_BACK = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 def _schema(seq_len: int, width: int) -> pa.Schema:
     kind = pa.uint16() if width == 2 else pa.uint32()
-    return pa.schema([("ids", pa.list_(kind, seq_len)), ("mask", pa.list_(pa.uint8(), seq_len))])
+    return pa.schema([("ids", pa.list_(kind, seq_len)), ("length", pa.int32())])
 
 
 class SequenceFile:
@@ -63,9 +63,8 @@ class SequenceFile:
             self.held, self.n_held = [flat[cut:]], len(flat) - cut
 
     def _write(self, flat: np.ndarray, used: int) -> None:
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(flat), self.seq_len)]
-        lists.append(pa.FixedSizeListArray.from_arrays(pa.array((np.arange(len(flat)) < used).view(np.uint8)), self.seq_len))
-        self.writer.write_batch(pa.record_batch(lists, schema=self.schema))
+        lengths = np.clip(used - np.arange(0, len(flat), self.seq_len), 0, self.seq_len).astype(np.int32)
+        self.writer.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(flat), self.seq_len), pa.array(lengths)], schema=self.schema))
         self.n_sequences += len(flat) // self.seq_len
 
     def close(self) -> None:
@@ -85,21 +84,22 @@ class SequenceReader:
         self.source = pa.memory_map(at) if isinstance(store, fs.LocalFileSystem) else store.open_input_file(at)
         self.file = ipc.open_file(self.source)
         self.seq_len = self.file.schema.field("ids").type.list_size
+        # a mask is ones and then zeros, so every mask is a stretch of this
+        self.masks = np.arange(2 * self.seq_len) < self.seq_len
         self.per_batch = self.file.get_batch(0).num_rows if self.file.num_record_batches else 1
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence ``i``, both views of the file."""
+        """Ids and mask of sequence ``i``, both views: of the file, and of one row of ones and zeros."""
         batch, k = self.file.get_batch(i // self.per_batch), i % self.per_batch
-        ids, mask = (batch.column(c).values.to_numpy()[k * self.seq_len : (k + 1) * self.seq_len] for c in (0, 1))
-        return ids, mask.view(np.bool_)
+        length = batch.column(1)[k].as_py()
+        return batch.column(0).values.to_numpy()[k * self.seq_len : (k + 1) * self.seq_len], self.masks[self.seq_len - length : 2 * self.seq_len - length]
 
     def flat_batches(self) -> Iterator[np.ndarray]:
         """The ids that the masks keep, batch by batch."""
-        last = self.file.num_record_batches - 1
-        for i in range(last + 1):
+        for i in range(self.file.num_record_batches):
             batch = self.file.get_batch(i)
-            ids = batch.column(0).flatten().to_numpy()
-            yield ids[batch.column(1).flatten().to_numpy().view(np.bool_)] if i == last else ids
+            # only the last sequence of a file is padded
+            yield batch.column(0).values.to_numpy()[: int(batch.column(1).to_numpy().sum(dtype=np.int64))]
 
 
 def write_token_stream(docs: DataFrame, folder: str, tokenizer: str | None = None, seq_len: int = 2048, end_id: int = 2) -> DataFrame:
