@@ -6,6 +6,7 @@ from veridian.llm.ann_tree import op8_ann_tree
 from veridian.llm.fingerprints import op5_fingerprints
 from veridian.llm.language_id import op4_language_id
 from veridian.llm.language_model import op9_lm_scoring
+from veridian.llm.minhash import op13_minhash
 from veridian.llm.mixing import op3_mixing, op3_sql
 from veridian.llm.ngram_join import op6_ngram_join
 from veridian.llm.packing import op2_packing
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_ann_tree": op8_ann_tree,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_toxicity": op10_toxicity,
+    "op13_minhash": op13_minhash,
 }
 
 ORACLES = {"op1_url_filter": op1_sql(), "op3_mixing": op3_sql()}
