@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from veridian.llm.ann_tree import op8_ann_tree
+from veridian.llm.collocations import op12_collocations, op12_sql
 from veridian.llm.conversation_trie import op11_conversation_trie, op11_sql
 from veridian.llm.fingerprints import op5_fingerprints
 from veridian.llm.language_id import op4_language_id
@@ -27,7 +28,8 @@ QUERIES = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_toxicity": op10_toxicity,
     "op11_conversation_trie": op11_conversation_trie,
+    "op12_collocations": op12_collocations,
     "op13_minhash": op13_minhash,
 }
 
-ORACLES = {"op1_url_filter": op1_sql(), "op3_mixing": op3_sql(), "op11_conversation_trie": op11_sql()}
+ORACLES = {"op1_url_filter": op1_sql(), "op3_mixing": op3_sql(), "op11_conversation_trie": op11_sql(), "op12_collocations": op12_sql()}
