@@ -85,6 +85,11 @@ def test_nothing_frequent(spark):
     assert found(co.collocations(spark.createDataFrame([("word " * 40, "en")], schema))) == [("en", 1, "word word word word", 37, 40, 38, 40, 948717)]
 
 
+def test_blocks_with_few_words(spark):
+    for text in ("a", "a b", "a b c", "a b c d"):
+        assert found(co.collocations(spark.createDataFrame([(text, "en")], "text string, lang string"), least=1)) == plain([(text, "en")], 1)
+
+
 def test_a_very_long_text(spark):
     long = "alpha beta gamma " * 100_000
     got = found(co.collocations(spark.createDataFrame([(long, "en")], "text string, lang string")))

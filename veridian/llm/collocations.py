@@ -4,12 +4,14 @@ Texts are lower-cased (A-Z), split at ``[.,;:!?\x0A-\x0D]`` into pieces and thos
 Everything is counted per language: n is the number of words, f(phrase) all contiguous occurrences inside
 pieces, overlaps included.
 
-1. Level 1 counts all words.  Level k reads the texts again and emits the k-grams whose first and last k - 1
-   words are both frequent (f >= ``least``): no other k-gram can be frequent.  The frequent (k-1)-grams are
-   broadcast as a bitmap of their hashes with a fixed largest size, so what is broadcast does not grow with the
-   corpus; a gram that the bitmap lets pass by chance is counted and dropped with its count.
-2. Grams are counted for each block of texts first (by 64-bit hashes within the block), then as strings by
-   partial sums, so a very common word or pair costs one row for each block.
+1. Level 1 counts all words.  Level k counts the k-grams whose first and last k - 1 words are both frequent
+   (f >= ``least``): no other k-gram can be frequent.  The frequent (k-1)-grams are broadcast as a bitmap of
+   their hashes with a fixed largest size, so what is broadcast does not grow with the corpus; a gram that the
+   bitmap lets pass by chance is counted and dropped with its count.
+2. A level counts 64-bit hashes first, in rows of two numbers; only grams whose hash reaches ``least`` become
+   strings, in the pass that counts the next level's hashes, and the strings are counted themselves, so a
+   shared hash costs a row and changes no result.  Every block of texts is counted before rows leave it: a
+   very common word or pair costs one row for each block.
 3. A candidate has 2 to ``most`` words and f >= ``least``.  Cutting it after k words gives l = f(first part),
    r = f(rest) from the level tables, and the score floor(2000000 a / (l + r)); the lowest-scoring cut counts,
    ties to the smallest k.  Products are decimals of 38 digits.
@@ -99,57 +101,57 @@ class Grams:
         return pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
 
 
-COUNTS = "lang string, phrase string, f long"
+#: A gram by its string, or by its hash alone.
+COUNTS = "lang string, phrase string, h long, f long"
 #: Grams in one Arrow batch.
 GIVEN = 1 << 17
+_SCHEMA = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("h", pa.int64()), ("f", pa.int64())])
 
 
-def _counted(grams: Grams, starts: np.ndarray, key: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
-    """One row for each distinct gram of a block, with its occurrences."""
+def _strings(grams: Grams, starts: np.ndarray, key: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """One row for each distinct gram of k words of a block that starts at ``starts``, with its occurrences."""
     _, first, n = np.unique(key[starts], return_index=True, return_counts=True)
     names = pa.array(grams.names, pa.string())
     for i in range(0, len(first), GIVEN):
         at = starts[first[i : i + GIVEN]]
-        yield pa.record_batch([names.take(pa.array(grams.lang[at])), grams.strings(at, k), pa.array(n[i : i + GIVEN].astype(np.int64))], names=["lang", "phrase", "f"])
+        f = pa.array(n[i : i + GIVEN].astype(np.int64))
+        yield pa.record_batch([names.take(pa.array(grams.lang[at])), grams.strings(at, k), pa.nulls(len(at), pa.int64()), f], schema=_SCHEMA)
+
+
+def _hashes(grams: Grams, starts: np.ndarray, key: np.ndarray, named: bool = False) -> pa.RecordBatch:
+    """One row for each distinct hash of a block, with its occurrences; ``named``: with the language."""
+    h, first, n = np.unique(key[starts], return_index=True, return_counts=True)
+    lang = pa.array(grams.names, pa.string()).take(pa.array(grams.lang[starts[first]])) if named else pa.nulls(len(h), pa.string())
+    return pa.record_batch([lang, pa.nulls(len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], schema=_SCHEMA)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Grams]:
     for batch in batches:
         for block in row_blocks(batch, "text"):
-            yield Grams(block)
+            grams = Grams(block)
+            if grams.count:
+                yield grams
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for grams in _blocks(batches):
-        if grams.count:
-            yield from _counted(grams, np.arange(grams.count), grams.hashes(1), 1)
+        yield _hashes(grams, np.arange(grams.count), grams.hashes(1), named=True)
 
 
-def _longer(shared, k: int):
-    """Grams of k words whose two grams of k - 1 words are in the bitmap ``shared``."""
+def _level(shared, k: int, longer: bool):
+    """The grams of k words in the bitmap ``shared`` as strings and, if ``longer``, the hashes of those of k + 1 whose both parts are in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for grams in _blocks(batches):
             if grams.count < k:
                 continue
-            at = _marks(grams.hashes(k - 1).view(np.int64), len(bits))
-            frequent = (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-            starts = np.flatnonzero(frequent[:-1] & frequent[1:] & (grams.room[: len(frequent) - 1] >= k - 1))
-            if len(starts):
-                yield from _counted(grams, starts, grams.hashes(k), k)
-
-    return run
-
-
-def _hashed(k: int):
-    """The hash of each row (lang, phrase) of k words, as :class:`Grams` has it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in row_blocks(batch, "phrase"):
-                grams = Grams(block)
-                yield pa.record_batch([pa.array(grams.hashes(k)[::k].view(np.int64))], names=["h"])
+            key = grams.hashes(k)
+            at = _marks(key.view(np.int64), len(bits))
+            frequent = (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool) & (grams.room[: len(key)] >= k - 1)
+            yield from _strings(grams, np.flatnonzero(frequent), key, k)
+            if longer:
+                yield _hashes(grams, np.flatnonzero(frequent[:-1] & frequent[1:] & (grams.room[: len(key) - 1] >= k)), grams.hashes(k + 1))
 
     return run
 
@@ -161,16 +163,17 @@ def frequent_grams(docs: DataFrame, least: int = LEAST, most: int = MOST) -> tup
     """
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    total = lambda rows: rows.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-    words = materialize(total(docs.mapInArrow(_words, COUNTS)), "words")
+    words = materialize(docs.mapInArrow(_words, COUNTS).groupBy("lang", "h").agg(F.sum("f").alias("f")), "words")
     sizes = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    levels = [words.filter(F.col("f") >= least)]
-    for k in range(2, most + 1):
-        bits = id_filter(levels[-1].select("lang", "phrase").mapInArrow(_hashed(k - 1), "h long"))
+    hashes, levels = words.filter(F.col("f") >= least).select("h"), []
+    for k in range(1, most + 1):
+        bits = id_filter(hashes)
         if bits is None:
             break
-        shared = spark.sparkContext.broadcast(bits)
-        levels.append(materialize(total(docs.mapInArrow(_longer(shared, k), COUNTS)).filter(F.col("f") >= least), "grams"))
+        counted = docs.mapInArrow(_level(spark.sparkContext.broadcast(bits), k, k < most), COUNTS).groupBy("lang", "phrase", "h").agg(F.sum("f").alias("f"))
+        counted = materialize(counted.filter(F.col("f") >= least), "grams")
+        levels.append(counted.filter("phrase is not null").select("lang", "phrase", "f"))
+        hashes = counted.filter("h is not null").select("h")
     return sizes, levels
 
 
@@ -199,7 +202,7 @@ def _outermost(candidates: DataFrame, percent: int) -> DataFrame:
 def collocations(docs: DataFrame, least: int = LEAST, most: int = MOST, top: int = TOP, percent: int = 80) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of the best phrases of each language of ``docs`` (lang, text)."""
     sizes, levels = frequent_grams(docs, least, most)
-    if len(levels) == 1:
+    if len(levels) < 2:
         return docs.sparkSession.createDataFrame([], "lang string, rank long, phrase string, a long, l long, r long, n long, score long")
     candidates = reduce(DataFrame.union, levels[1:])
     scored = _cuts(_outermost(candidates, percent), reduce(DataFrame.union, levels))
