@@ -1,16 +1,30 @@
-"""Greedy suppression of overlapping boxes.
+"""Greedy suppression of overlapping boxes, by rounds over a table of overlaps.
 
-A slide is one group: what a box suppresses depends on all better boxes that it overlaps, wherever
-a border would lie.  Within a slide the boxes go through in blocks, best first; a block is compared
-with the kept boxes of the grid cells that it touches and then with itself, so no slide is compared
-all with all.
+A box stays unless a better box that stays overlaps it by more than the threshold.  So a box that no undecided
+better box overlaps stays, what it covers goes, and the next round looks at what is left; rounds are
+written tables.  Neither a slide nor a grid cell is ever in one task as a whole:
+
+1. Boxes with the same sides overlap alike, so only the best of them takes part, and the others go.
+2. While some grid cell holds more than ``crowd`` boxes, the best box of every cell that is the best in all the
+   cells it touches stays, and takes with it what it covers: one box for each cell meets the rest of it, so a pile
+   of boxes on one place never makes all its pairs.
+3. The overlaps of the rest are found by grid cells, each pair once, and decided by rounds.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from veridian.functions import geometry as G
+from veridian.operators.spatial import grid_cells
+from veridian.sources.stages import forget, written
+
+SIDES = ("x1", "y1", "x2", "y2")
 
 
 def greedy(boxes: np.ndarray, threshold: float) -> np.ndarray:
@@ -30,69 +44,83 @@ def greedy(boxes: np.ndarray, threshold: float) -> np.ndarray:
     return keep
 
 
-def _touched(boxes: np.ndarray, cell: float, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row of ``boxes`` and number of the grid cell, for every cell that a box touches."""
-    first = np.floor((boxes[:, :2] - low) / cell).astype(np.int64)
-    wide, high = (np.floor((boxes[:, 2:] - low) / cell).astype(np.int64) - first + 1).T
-    n = wide * high
-    row = np.repeat(np.arange(len(boxes)), n)
-    k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    return row, ((first[row, 0] + k % wide[row]) << 32) + first[row, 1] + k // wide[row]
-
-
-def _covered(boxes: np.ndarray, cells: np.ndarray, kept: np.ndarray, cell: float, low: np.ndarray, threshold: float, most: int = 1 << 20) -> np.ndarray:
-    """Which of ``boxes`` overlap one of ``kept`` by more than the threshold; ``cells`` are the sorted cells of ``kept``."""
-    row, own = _touched(boxes, cell, low)
-    lo = np.searchsorted(cells, own, side="left")
-    n = np.searchsorted(cells, own, side="right") - lo
-    if n.sum() > most and len(boxes) > 1:
-        half = len(boxes) // 2
-        return np.concatenate([_covered(part, cells, kept, cell, low, threshold, most) for part in (boxes[:half], boxes[half:])])
-    a = boxes[np.repeat(row, n)]
-    b = kept[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-    w = np.minimum(a[:, 2], b[:, 2]) - np.maximum(a[:, 0], b[:, 0])
-    h = np.minimum(a[:, 3], b[:, 3]) - np.maximum(a[:, 1], b[:, 1])
-    both = np.maximum(w, 0) * np.maximum(h, 0)
-    area = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
-    out = np.zeros(len(boxes), dtype=bool)
-    out[np.repeat(row, n)[both > threshold * (area(b) + area(a) - both)]] = True
-    return out
-
-
-def greedy_in_blocks(boxes: np.ndarray, threshold: float, block: int = 1024) -> np.ndarray:
-    """As :func:`greedy`, for many boxes.  Boxes with a missing side stay and suppress nothing."""
-    keep = np.ones(len(boxes), dtype=bool)
-    at = np.flatnonzero(np.isfinite(boxes).all(axis=1))
-    boxes = boxes[at]
-    if not len(boxes):
-        return keep
-    low = boxes[:, :2].min(axis=0)
-    side = (boxes[:, 2:] - boxes[:, :2]).max(axis=1)
-    cell = max(2 * float(np.sqrt(np.mean(side**2))), float((boxes[:, 2:].max(axis=0) - low).max()) / (1 << 20)) or 1.0
-    cells, kept = np.zeros(0, np.int64), np.zeros((0, 4))
-    for start in range(0, len(boxes), block):
-        part = np.arange(start, min(start + block, len(boxes)))
-        left = part[~_covered(boxes[part], cells, kept, cell, low, threshold)]
-        stay = left[greedy(boxes[left], threshold)]
-        keep[at[part]] = False
-        keep[at[stay]] = True
-        row, own = _touched(boxes[stay], cell, low)
-        order = np.argsort(own, kind="stable")
-        to = np.searchsorted(cells, own[order])
-        cells, kept = np.insert(cells, to, own[order]), np.insert(kept, to, boxes[stay][row[order]], axis=0)
-    return keep
+def _covers(a: G.Box, b: G.Box, threshold: float) -> Column:
+    """Whether two boxes overlap by more than ``threshold`` of their union."""
+    area = lambda x: (x[2] - x[0]) * (x[3] - x[1])
+    both = F.greatest(F.least(a[2], b[2]) - F.greatest(a[0], b[0]), F.lit(0.0)) * F.greatest(F.least(a[3], b[3]) - F.greatest(a[1], b[1]), F.lit(0.0))
+    return both > threshold * (area(a) + area(b) - both)
+
 
+def _cell_size(boxes: DataFrame) -> int:
+    """Twice the usual side of a box; a box of the largest side touches some 33 cells along it at most."""
+    side = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    usual, largest = boxes.agg(F.sqrt(F.avg(side * side)), F.max(side)).first()
+    return max(1, int(np.ceil(max(2 * (usual or 0.0), (largest or 0.0) / 32))))
 
-def suppress(boxes: DataFrame, group: list[str], key: str, score: str, threshold: float) -> DataFrame:
-    """``kept`` for every box; the order is score descending, then key (W8).  ``group`` must hold all boxes of a slide."""
-    schema = boxes.select(*group, key).schema.add("kept", "boolean")
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([score, key], ascending=[False, True], kind="stable")
-        part["kept"] = greedy_in_blocks(part[["x1", "y1", "x2", "y2"]].to_numpy(np.float64), threshold)
-        return part[[*group, key, "kept"]]
+def _box(id_: str) -> G.Box:
+    return tuple(F.col(f"{id_}.{c}") for c in SIDES)
 
-    return boxes.groupBy(*group).applyInPandas(run, schema)
+
+def _thinned(touched: DataFrame, place: list[str], threshold: float, crowd: int, most_rounds: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``touched`` (a row for each cell of a box) without the boxes decided by crowded cells, and tables of those that went."""
+    gone: list[DataFrame] = []
+    for _ in range(most_rounds):
+        cells = written(touched.groupBy(*place, "cell").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows")), "cells")
+        if cells.filter(F.col("rows") > crowd).isEmpty():
+            forget(cells)
+            break
+        leads = cells.groupBy(*place, "id").agg(F.count(F.lit(1)).alias("led"))
+        stay = written(touched.join(leads, [*place, "id"]).filter("led = cells").select(*touched.columns), "stay")
+        lead = stay.select(*place, "cell", F.col("id").alias("lead"))
+        lost = touched.join(lead, [*place, "cell"]).filter((F.col("id") != F.col("lead")) & _covers(_box("id"), _box("lead"), threshold)).select(*place, "id").distinct()
+        lost = written(lost, "lost")
+        gone.append(lost)
+        rest = written(touched.join(lost.unionByName(stay.select(*place, "id").distinct()), [*place, "id"], "left_anti"), "touched")
+        forget(touched, stay, cells)
+        touched = rest
+    return touched, gone
+
+
+def suppress(boxes: DataFrame, group: Sequence[str], key: str, score: str, threshold: float, crowd: int = 512, most_rounds: int = 16) -> DataFrame:
+    """``kept`` for every box of a ``group`` (a slide); the order is score descending (null last), key, sides.
+
+    Boxes with a missing side, or without an area, stay and suppress nothing.  Keys may repeat; rows that are
+    equal in all of these are one box and share its outcome.
+    """
+    place = list(group)
+    order = -F.coalesce(F.col(score).cast("double"), F.lit(float("-inf")))
+    rows = boxes.select(*place, F.struct(order.alias("order"), F.col(key).alias("key"), *(F.col(c).cast("double").alias(c) for c in SIDES)).alias("id"))
+    x1, y1, x2, y2 = _box("id")
+    whole = reduce(lambda a, b: a & b, [F.abs(c) < float("inf") for c in (x1, y1, x2, y2)]) & (x2 > x1) & (y2 > y1)
+    whole = F.coalesce(whole, F.lit(False)) if threshold < 1 else F.lit(False)
+    # of boxes with the same sides the best takes part
+    best = rows.filter(whole).groupBy(*place, *(c.alias(n) for c, n in zip((x1, y1, x2, y2), SIDES))).agg(F.min("id").alias("id"))
+    best = written(best.select(*place, "id", *SIDES), "boxes")
+    size = _cell_size(best)
+    touched = best.select(*place, "id", grid_cells(G.box(), size).alias("_cells")).select(*place, "id", F.size("_cells").alias("cells"), F.explode("_cells").alias("cell"))
+    touched, gone = _thinned(written(touched, "touched"), place, threshold, crowd, most_rounds)
+
+    a, b = touched.select(*place, "cell", F.col("id").alias("better")), touched.select(*place, "cell", F.col("id").alias("worse"))
+    first = (F.col("cell.i") == F.floor(F.greatest("better.x1", "worse.x1") / size)) & (F.col("cell.j") == F.floor(F.greatest("better.y1", "worse.y1") / size))
+    pairs = a.join(b, [*place, "cell"]).filter((F.col("better") < F.col("worse")) & first & _covers(_box("better"), _box("worse"), threshold))
+    pairs = written(pairs.select(*place, "better", "worse"), "overlaps")
+    forget(touched)
+    while not pairs.isEmpty():
+        worse, ends = pairs.select(*place, F.col("worse").alias("better")).distinct(), [*place, "better"]
+        lost = written(pairs.join(worse, ends, "left_anti").select(*place, F.col("worse").alias("id")).distinct(), "lost")
+        gone.append(lost)
+        # boxes that have lost, and those that stay, decide nothing any more
+        rest = pairs.join(worse, ends, "left_semi").join(lost.withColumnRenamed("id", "better"), ends, "left_anti").join(lost.withColumnRenamed("id", "worse"), [*place, "worse"], "left_anti")
+        rest = written(rest.select(*place, "better", "worse"), "overlaps")
+        forget(pairs)
+        pairs = rest
+
+    stay = best.select(*place, "id")
+    if gone:
+        stay = stay.join(reduce(DataFrame.unionByName, gone), [*place, "id"], "left_anti")
+    out = rows.filter(whole).join(stay.withColumn("kept", F.lit(True)), [*place, "id"], "left").select(*place, "id", F.coalesce("kept", F.lit(False)).alias("kept"))
+    return out.union(rows.filter(~whole).withColumn("kept", F.lit(True))).select(*place, F.col("id.key").alias(key), "kept")
 
 
 def flush_statuses(boxes: np.ndarray, scores: np.ndarray, every: int, threshold: float) -> list[str]:

@@ -166,6 +166,24 @@ def nms(spark: SparkSession, d: str) -> DataFrame:
     return N.suppress(detections(spark, d).select("slide", "id", "score", "x1", "y1", "x2", "y2"), ["slide"], "id", "score", 0.1)
 
 
+#: Rounds over the overlaps: a box without an undecided better one stays (1), one with a better one that stays goes (2).
+NMS_SQL = f"""WITH RECURSIVE d AS (SELECT slide, id, score, x1, y1, x2, y2 FROM ({DETECTIONS})),
+b AS (SELECT *, row_number() OVER (ORDER BY slide, score DESC, id, x1, y1, x2, y2) AS r FROM (SELECT DISTINCT * FROM d)),
+c AS (SELECT *, unnest(range(x1 // 200, x2 // 200 + 1)) AS i FROM b), e AS (SELECT *, unnest(range(y1 // 200, y2 // 200 + 1)) AS j FROM c),
+o AS (SELECT p.r AS better, q.r AS worse, greatest(least(p.x2, q.x2) - greatest(p.x1, q.x1), 0) * greatest(least(p.y2, q.y2) - greatest(p.y1, q.y1), 0) AS inner_area,
+ (p.x2 - p.x1) * (p.y2 - p.y1) + (q.x2 - q.x1) * (q.y2 - q.y1) AS areas FROM e p JOIN e q ON p.slide = q.slide AND p.i = q.i AND p.j = q.j AND p.r < q.r),
+pairs AS (SELECT DISTINCT better, worse FROM o WHERE inner_area > 0.1 * (areas - inner_area)),
+state AS (
+ SELECT 0 AS round, r, 0 AS s FROM b
+ UNION ALL
+ SELECT n.round + 1, n.r, CASE WHEN n.s > 0 THEN n.s WHEN coalesce(p.any_stays, 0) = 1 THEN 2 WHEN coalesce(p.all_gone, 1) = 1 THEN 1 ELSE 0 END
+ FROM state n LEFT JOIN (SELECT worse, max(CASE WHEN t.s = 1 THEN 1 ELSE 0 END) AS any_stays, min(CASE WHEN t.s = 2 THEN 1 ELSE 0 END) AS all_gone
+  FROM pairs JOIN state t ON t.r = pairs.better GROUP BY worse) p ON p.worse = n.r
+ WHERE EXISTS (SELECT 1 FROM state u WHERE u.s = 0)
+)
+SELECT d.slide, d.id, s = 1 AS kept FROM d JOIN b USING (slide, id, score, x1, y1, x2, y2) JOIN state USING (r) WHERE round = (SELECT max(round) FROM state)"""
+
+
 def detection_scores(spark: SparkSession, d: str) -> DataFrame:
     """TP, FP, FN of each slide from return flags, rolled up by nation and region."""
     rows = detections(spark, d)
@@ -213,4 +231,5 @@ ORACLES = {
     "p2_crop_windows": CROPS_SQL,
     "g9_median_density": DENSITY_SQL,
     "a13_detection_scores": SCORES_SQL,
+    "w8_greedy_nms": NMS_SQL,
 }
