@@ -68,10 +68,44 @@ def test_entropy_is_the_same_in_steps(spark):
     assert got == pytest.approx(sum(term(n) - term(o) for _, o, n in steps))
 
 
+def in_order(spark, values, schema="g int, i int, v double"):
+    rows = [(g, i, v) for g in (1, 2) for i, v in enumerate(values)]
+    return spark.createDataFrame(rows[::-1], schema).repartition(3)
+
+
 def test_flat_counter(spark):
-    rows = spark.createDataFrame([([3.0, 3.0, 1.0, 2.0, 3.0, 0.0, 0.0],)], "v array<double>")
-    out = rows.select(series.flat_counter(F.col("v"), 2.0).alias("c")).first()["c"]
-    assert out == [1, 2, 0, 0, 1, 0, 0]
+    out = series.flat_counter(in_order(spark, [9.0, 9.0, 3.0, 3.0, 1.0, 2.0, 3.0, 0.0, 0.0, 3.0]), ["g"], ["i"], "v", 2.0, 1).orderBy("g", "i").collect()
+    assert [(r.step, r.counter) for r in out] == 2 * list(zip(range(1, 11), [0, 0, 1, 2, 0, 0, 1, 0, 0, 1]))
+
+
+def test_missing_confidence_counts_as_the_raw_value_before(spark):
+    nan = float("nan")
+    out = series.confidence_average(in_order(spark, [nan, 0.2, 0.8, nan, None, 0.4]), ["g"], ["i"], "v").orderBy("g", "i").collect()
+    average, want = None, []
+    for x in (0.0, 0.2, 0.8, 0.8, 0.8, 0.4):
+        average = x if average is None else 0.9 * average + 0.1 * x
+        want.append((x, average))
+    assert [r.raw for r in out] == 2 * [w[0] for w in want] and [r.average for r in out] == pytest.approx(2 * [w[1] for w in want])
+    out = series.confidence_average(in_order(spark, [0.2, 0.8, nan, 0.4]), ["g"], ["i"], "v").filter("g = 1 and i = 3").first()
+    assert out.average == pytest.approx(0.3226)
+
+
+def test_status_ratios_are_of_all_statuses_so_far(spark):
+    statuses = ["new", "discarded", "new", "new", "discarded", "discarded", "new"]
+    out = series.status_ratios(in_order(spark, statuses, "g int, i int, v string"), ["g"], ["i"], "v", ("discarded",), 3).orderBy("g", "i").collect()
+    first, second = 1 / 3, 3 / 6
+    later = 0.9 * first + 0.1 * second
+    assert [r.discarded_share for r in out] == pytest.approx(2 * ([first] * 3 + [second] * 4))
+    assert [r.discarded_average for r in out] == pytest.approx(2 * ([first] * 3 + [later] * 4))
+    assert {r.discarded_average for r in series.status_ratios(in_order(spark, statuses[:2], "g int, i int, v string"), ["g"], ["i"], "v", ("discarded",), 3).collect()} == {0.0}
+
+
+def test_stop_reasons(spark):
+    rows = [(1, 10, 5, 0.9, 9), (2, 3, 9, 0.0, 0), (3, 20, 0, 0.0, 19), (4, 20, 0, 0.0, 2), (5, 4, 9, 0.9, 0)]
+    df = spark.createDataFrame(rows, "g int, step int, counter int, discarded double, bad int")
+    reason = series.stop_reason(F.col("step"), F.col("counter"), F.col("discarded"), F.col("bad"), 3, 3, 0.3, 12)
+    got = {r.g: (r.stop, r.reason) for r in series.first_stops(df.withColumn("reason", reason), ["g"], "step", "reason").collect()}
+    assert got == {1: (10, "discarded objects"), 2: (None, None), 3: (20, "bad masks"), 4: (None, None), 5: (4, "flat entropy")}
 
 
 def test_region_touching_counts(spark):

@@ -92,34 +92,92 @@ s AS (SELECT *, sum(-n * ln(n + 1e-10) + o * ln(o + 1e-10)) OVER (PARTITION BY u
 SELECT event_id, round(s, 6) AS entropy, round(coalesce(s - lag(s, 3) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0.0), 6) AS delta FROM s"""
 
 
+BY_USER = (["user_id"], ["ts", "event_id"])
+#: Averages of values with few digits fall between two sixth digits exactly; engines round those either way.
+NUDGE = 1e-9
+
+
+def _rounded(name: str):
+    return F.round(F.col(name) + NUDGE, 6).alias(name)
+
+
+#: Values of each user in order; lists of the first k of them.
+PREFIXES = """WITH s AS (SELECT user_id, list(event_id ORDER BY ts, event_id) AS ids, list({value} ORDER BY ts, event_id) AS v FROM events GROUP BY user_id),
+p AS (SELECT user_id, ids, v, unnest(range(1, len(v) + 1)) AS k FROM s)"""
+
+
 def moving_average(spark: SparkSession, d: str) -> DataFrame:
-    s = E.series(read(spark, d, "events"), ["user_id"], ["ts", "event_id"], "value")
-    counter = E.flat_counter(F.col("values"), 20.0)
-    return s.select("user_id", F.round(E.ema(F.col("values"), 0.01), 6).alias("slow"), F.round(E.ema(F.col("values"), 0.1), 6).alias("fast"), F.element_at(counter, -1).alias("flat"), E.first_stop(counter, 3).alias("stop"))
+    e = read(spark, d, "events").select("user_id", "ts", "event_id", "value")
+    slow = E.moving_average(e, *BY_USER, "value", 0.01).withColumnRenamed("average", "slow")
+    return E.moving_average(slow, *BY_USER, "value", 0.1).select("event_id", _rounded("slow"), _rounded("average").alias("fast"))
 
 
-AVERAGE_SQL = """WITH s AS (SELECT user_id, list(value ORDER BY ts, event_id) AS v FROM events GROUP BY user_id),
-c AS (SELECT *, list_reduce(v, lambda s, x: 0.99 * s + 0.01 * x) AS slow, list_reduce(v, lambda s, x: 0.9 * s + 0.1 * x) AS fast,
- list_transform(range(1, len(v) + 1), lambda k: list_reduce(list_prepend(0.0, v[1:k]), lambda s, x: CASE WHEN x > 20 THEN s + 1 WHEN x < 20 THEN greatest(s - 2, 0) ELSE s END)) AS c FROM s)
-SELECT user_id, round(slow, 6) AS slow, round(fast, 6) AS fast, c[-1]::INT AS flat, nullif(coalesce(list_position(list_transform(c, lambda x: x >= 3), true), 0), 0)::BIGINT AS stop FROM c"""
+AVERAGE_SQL = PREFIXES.format(value="value") + """
+SELECT ids[k] AS event_id, round(list_reduce(v[1:k], lambda s, x: 0.99 * s + 0.01 * x) + 1e-9, 6) AS slow, round(list_reduce(v[1:k], lambda s, x: 0.9 * s + 0.1 * x) + 1e-9, 6) AS fast FROM p"""
 
 
-def reservoir(spark: SparkSession, d: str) -> DataFrame:
-    return E.top_k_reservoir(read(spark, d, "events").select("user_id", "event_id", "value"), ["user_id"], "value", "event_id", 5)
+def confidence(spark: SparkSession, d: str) -> DataFrame:
+    """Errors have no value (NaN), nor has any user's first event if it is a signup."""
+    e = read(spark, d, "events").select("user_id", "ts", "event_id", F.when(F.col("event_type").isin("error", "signup"), float("nan")).otherwise(F.col("value")).alias("value"))
+    return E.confidence_average(e, *BY_USER, "value").select("event_id", _rounded("raw"), _rounded("average"))
 
 
-RESERVOIR_SQL = "SELECT * REPLACE (rank::INT AS rank) FROM (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM events) WHERE rank <= 5"
+CONFIDENCE_SQL = """WITH e AS (SELECT user_id, ts, event_id, CASE WHEN event_type IN ('error', 'signup') THEN NULL ELSE value END AS v FROM events),
+r AS (SELECT user_id, ts, event_id, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 0.0) AS raw FROM e),
+s AS (SELECT user_id, list(event_id ORDER BY ts, event_id) AS ids, list(raw ORDER BY ts, event_id) AS v FROM r GROUP BY user_id), p AS (SELECT ids, v, unnest(range(1, len(v) + 1)) AS k FROM s)
+SELECT ids[k] AS event_id, round(v[k] + 1e-9, 6) AS raw, round(list_reduce(v[1:k], lambda s, x: 0.9 * s + (1 - 0.9::DOUBLE) * x) + 1e-9, 6) AS average FROM p"""
+
+
+def flat_counter(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events").select("user_id", "ts", "event_id", "value")
+    return E.flat_counter(e, *BY_USER, "value", 20.0, 3).select("event_id", "step", "counter")
+
+
+FLAT_SQL = PREFIXES.format(value="value") + """
+SELECT ids[k] AS event_id, k::BIGINT AS step, list_reduce(list_prepend(0.0, v[5:k]), lambda s, x: CASE WHEN x > 20 THEN s + 1 WHEN x < 20 THEN greatest(s - 2, 0) ELSE s END)::BIGINT AS counter FROM p"""
+
+
+def _status():
+    return F.when(F.col("event_type") == "error", "discarded").when(F.col("event_type") == "purchase", "replacement").otherwise("new")
 
 
 def status_share(spark: SparkSession, d: str) -> DataFrame:
-    """Moving average of the share of errors in each flush of ten events."""
-    e = read(spark, d, "events").withColumn("flush", F.floor((F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1) / 10))
-    f = e.groupBy("user_id", "flush").agg(F.sum((F.col("event_type") == "error").cast("long")).alias("part"), F.count(F.lit(1)).alias("whole"))
-    return E.class_ratio_ema(f, ["user_id"], ["flush"], "part", "whole").select("user_id", F.round("ratio", 6).alias("ratio"))
+    """Shares of all statuses up to each flush of ten events, and their moving averages, at every event."""
+    e = read(spark, d, "events").select("user_id", "ts", "event_id", _status().alias("status"))
+    shares = E.status_ratios(e, *BY_USER, "status", ("new", "discarded"), 10)
+    return shares.select("event_id", *(_rounded(f"{c}_{v}") for c in ("new", "discarded") for v in ("share", "average")))
+
+
+SHARE_SQL = """WITH e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+g AS (SELECT user_id, k // 10 AS f, sum((event_type NOT IN ('error', 'purchase'))::INT) OVER w / k::DOUBLE AS new_share, sum((event_type = 'error')::INT) OVER w / k::DOUBLE AS discarded_share, k
+ FROM e WINDOW w AS (PARTITION BY user_id ORDER BY k)),
+l AS (SELECT user_id, list(new_share ORDER BY f) AS a, list(discarded_share ORDER BY f) AS b FROM g WHERE k % 10 = 0 GROUP BY user_id),
+p AS (SELECT e.event_id, l.a, l.b, least((e.k + 9) // 10, coalesce(len(l.a), 0)) AS n FROM e LEFT JOIN l USING (user_id))
+SELECT event_id, round(coalesce(a[n], 0.0) + 1e-9, 6) AS new_share, round(coalesce(list_reduce(nullif(a[1:n], []), lambda s, x: 0.9 * s + (1 - 0.9::DOUBLE) * x), 0.0) + 1e-9, 6) AS new_average,
+round(coalesce(b[n], 0.0) + 1e-9, 6) AS discarded_share, round(coalesce(list_reduce(nullif(b[1:n], []), lambda s, x: 0.9 * s + (1 - 0.9::DOUBLE) * x), 0.0) + 1e-9, 6) AS discarded_average FROM p"""
+
+
+def stops(spark: SparkSession, d: str) -> DataFrame:
+    """Rules A, B and C with limits that the events reach: 3 windows of 3 flat steps, 35 % discarded, 30 % bad masks (views) after 12 steps."""
+    e = read(spark, d, "events").select("user_id", "ts", "event_id", "value", _status().alias("status"), (F.col("event_type") == "view").cast("long").alias("bad"))
+    s = E.flat_counter(E.status_ratios(e, *BY_USER, "status", ("discarded",), 10), *BY_USER, "value", 60.0, 3)
+    s = s.withColumn("bad_masks", F.sum("bad").over(W.partitionBy("user_id").orderBy("step")))
+    reason = E.stop_reason(F.col("step"), F.col("counter"), F.col("discarded_average"), F.col("bad_masks"), 3, 3, 0.3, 12, 0.35)
+    return E.first_stops(s.withColumn("reason", reason), ["user_id"], "step", "reason")
+
 
+STOPS_SQL = f"""WITH c AS ({FLAT_SQL.replace("x > 20", "x > 60").replace("x < 20", "x < 60")}), r AS ({SHARE_SQL}),
+e AS (SELECT user_id, event_id, sum((event_type = 'view')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS bad FROM events),
+w AS (SELECT user_id, step, CASE WHEN step > 3 AND counter >= 9 THEN 'flat entropy' WHEN discarded_average > 0.35 THEN 'discarded objects' WHEN step > 12 AND bad / step::DOUBLE > 0.3 THEN 'bad masks' END AS reason
+ FROM e JOIN c USING (event_id) JOIN r USING (event_id))
+SELECT user_id, count(*) AS steps, min(step) FILTER (WHERE reason IS NOT NULL) AS stop, arg_min(reason, step) FILTER (WHERE reason IS NOT NULL) AS reason FROM w GROUP BY user_id"""
 
-SHARE_SQL = """WITH e AS (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 10 AS f FROM events), g AS (SELECT user_id, f, count(*) FILTER (WHERE event_type = 'error') / count(*)::DOUBLE AS r FROM e GROUP BY ALL)
-SELECT user_id, round(list_reduce(list(r ORDER BY f), lambda s, x: (1 - (1 - 0.9::DOUBLE)) * s + (1 - 0.9::DOUBLE) * x), 6) AS ratio FROM g GROUP BY user_id"""
+
+def reservoir(spark: SparkSession, d: str) -> DataFrame:
+    return E.top_k_reservoir(read(spark, d, "events").select("user_id", "event_id", "value"), ["user_id"], "value", "event_id", 5)
+
+
+RESERVOIR_SQL = "SELECT * REPLACE (rank::INT AS rank) FROM (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM events) WHERE rank <= 5"
 
 
 def seeds(spark: SparkSession, d: str) -> DataFrame:
@@ -295,14 +353,14 @@ round(100.0::DOUBLE * count(*) FILTER (WHERE o_orderstatus <> 'O') / count(*), 2
 QUERIES = {
     "r12_crop_sample": crops, "e16_model_consistency": consistency, "k6_run_summary": summary,
     "r1_group_split": split, "a20_split_counts": split_counts, "e15_split_verdict": split_verdict, "r6_capped_sample": capped, "r11_simple_sample": simple, "r3_balanced_resample": balanced, "r4_weighted_sample": weighted, "r5_budget_sample": budget,
-    "w1_entropy_series": entropy, "w3_moving_averages": moving_average, "w10_reservoir": reservoir, "w5_status_share": status_share,
+    "w1_entropy_series": entropy, "w3_moving_averages": moving_average, "w10_reservoir": reservoir, "w5_status_share": status_share, "w4_confidence_average": confidence, "w6_flat_counter": flat_counter, "w7_stop_rules": stops,
     "a22_seed_summary": seeds, "k13_seed_columns": wide_seeds, "e18_variant_delta": deltas, "f19_resume": resume, "j19_side_flags": sides, "j8_three_way": three_way, "j18_zero_default": zero_default, "j10_stem_match": stems,
     "j17_siblings": sibling_pairs, "u4_group_overlap": overlap, "j12_taxonomy": taxonomy, "a28_best_row": best, "w18_offsets": csr, "n1_json_props": props, "a16_channel_stats": channels,
 }
 ORACLES = {
     "r12_crop_sample": CROPS_SQL, "e16_model_consistency": CONSISTENCY_SQL, "k6_run_summary": SUMMARY_SQL,
     "r1_group_split": SPLIT_SQL, "a20_split_counts": SPLIT_COUNTS_SQL, "e15_split_verdict": VERDICT_SQL, "r6_capped_sample": CAPPED_SQL, "r11_simple_sample": SIMPLE_SQL, "r3_balanced_resample": BALANCED_SQL, "r4_weighted_sample": WEIGHTED_SQL, "r5_budget_sample": BUDGET_SQL,
-    "w1_entropy_series": ENTROPY_SQL, "w3_moving_averages": AVERAGE_SQL, "w10_reservoir": RESERVOIR_SQL, "w5_status_share": SHARE_SQL,
+    "w1_entropy_series": ENTROPY_SQL, "w3_moving_averages": AVERAGE_SQL, "w10_reservoir": RESERVOIR_SQL, "w5_status_share": SHARE_SQL, "w4_confidence_average": CONFIDENCE_SQL, "w6_flat_counter": FLAT_SQL, "w7_stop_rules": STOPS_SQL,
     "a22_seed_summary": SEEDS_SQL, "k13_seed_columns": WIDE_SQL, "e18_variant_delta": DELTAS_SQL, "f19_resume": RESUME_SQL, "j19_side_flags": SIDES_SQL, "j8_three_way": THREE_SQL, "j18_zero_default": ZERO_SQL, "j10_stem_match": STEMS_SQL,
     "j17_siblings": SIBLINGS_SQL, "u4_group_overlap": OVERLAP_SQL, "j12_taxonomy": TAXONOMY_SQL, "a28_best_row": BEST_SQL, "w18_offsets": CSR_SQL, "n1_json_props": PROPS_SQL, "a16_channel_stats": CHANNELS_SQL,
 }
