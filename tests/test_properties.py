@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from veridian.functions import geometry as G
 from veridian.functions import text as T
 from veridian.operators import sampling, series
-from veridian.operators.nms import flush_statuses, greedy
+from veridian.operators.miner import Suppression
+from veridian.operators.nms import greedy
 
 boxes = st.lists(st.tuples(st.integers(0, 60), st.integers(0, 60), st.integers(1, 30), st.integers(1, 30)), min_size=1, max_size=40)
 
@@ -41,9 +42,12 @@ def test_suppression_chain():
 @settings(max_examples=50, deadline=None)
 @given(boxes)
 def test_flush_counts_every_box_once(raw):
-    b = np.array([(x, y, x + w, y + h) for x, y, w, h in raw])
-    status = flush_statuses(b, np.arange(len(b), dtype=float), 7, 0.3)
-    assert len(status) == len(b) and set(status) <= {"new", "replacement", "discarded"}
+    objects = Suppression(7, 0.3)
+    for i, (x, y, w, h) in enumerate(raw):
+        objects.add((x, y, x + w, y + h), float(i))
+    done = len(raw) // 7 * 7
+    assert set(objects.status[:done]) <= {"new", "replacement", "discarded"} and set(objects.status[done:]) <= {"pending"}
+    assert len(objects.discarded) == len(raw) and objects.flushed == done
 
 
 @settings(max_examples=200, deadline=None)

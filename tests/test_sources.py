@@ -100,10 +100,8 @@ def test_attention_matches_numpy(spark):
     assert np.allclose(got.pooled, pooled / np.linalg.norm(pooled)) and got.attention == pytest.approx(float(pooled @ q.mean(axis=0) / np.linalg.norm(pooled) / np.linalg.norm(q.mean(axis=0))), rel=1e-5)
 
 
-def test_mining_and_prototype(spark):
+def test_prototype_and_smoothing(spark):
     cells = spark.createDataFrame([("s", 10 * i + j, i, j, float((i * 7 + j * 3) % 11)) for i in range(10) for j in range(10)], "slide string, token int, tok_x int, tok_y int, w double")
-    found = mining.mine(cells, models.box_mask, percentile=50, floor=0.2).collect()
-    assert found and {r.status for r in found} <= {"new", "replacement", "discarded"}
     x = models.hashed_vectors([str(i) for i in range(20)], 4)
     vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, emb array<double>")
     out = mining.refine_prototype(vectors, x[0].tolist(), "id", 0.5, 4)

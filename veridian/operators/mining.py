@@ -1,21 +1,13 @@
-"""Mining of objects from token similarity: attention, prototypes, peaks, and the per-slide loop.
-
-A slide's loop depends on its own order only, so it is one grouped-map call for each slide; masks come from
-a pluggable function.
-"""
+"""Mining of objects from token similarity: attention, prototypes, maps.  The loop itself is in ``miner``."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veridian.functions.vectors import dot
-from veridian.operators.nms import flush_statuses
 
 
 def token_pool(objects: DataFrame, tokens: DataFrame, key: str, slide: str = "slide") -> DataFrame:
@@ -99,60 +91,6 @@ def refine_prototype(vectors: DataFrame, start: list[float], key: str, share: fl
     return current
 
 
-def cluster_state(scores: np.ndarray, vectors: np.ndarray, k: int, similar: float = 0.999) -> tuple[np.ndarray, int | None]:
-    """Reservoir of the k best vectors with its mean, and the step that froze it: k // 10 steadily similar means in a row, or k members."""
-    held: list[tuple[float, int]] = []
-    mean, run, frozen = None, 0, None
-    for i, s in enumerate(scores):
-        if len(held) < k:
-            held.append((s, i))
-        elif s > min(held)[0]:
-            held[held.index(min(held))] = (s, i)
-        else:
-            continue
-        new = vectors[[j for _, j in held]].mean(axis=0)
-        if mean is not None:
-            cos = float(new @ mean / (np.linalg.norm(new) * np.linalg.norm(mean) + 1e-12))
-            run = run + 1 if cos > similar else 0
-        mean = new
-        if run >= max(1, k // 10) or len(held) == k:
-            frozen = i
-            break
-    return mean, frozen
-
-
-Mask = Callable[[int, int], tuple[int, int, int, int, float]]
-FOUND = "slide string, step int, token int, x1 int, y1 int, x2 int, y2 int, confidence double, status string"
-
-
-def mine(similarity: DataFrame, propose: Mask, percentile: float = 95.0, floor: float = 0.5, size_range: tuple[float, float] = (100.0, 10_000.0), every: int = 50, threshold: float = 0.3, stride: int = 14) -> DataFrame:
-    """Objects of each slide from ``similarity`` (slide, token, tok_x, tok_y, w).
-
-    Tokens at or above the percentile are visited best first; a proposal that passes the gates marks the tokens
-    under its box as visited.  A proposal below the confidence floor marks nothing.
-    """
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        cut = np.percentile(part["w"], percentile)
-        part = part[part["w"] >= cut].sort_values(["w", "token"], ascending=[False, True])
-        visited: set[tuple[int, int]] = set()
-        out = []
-        for r in part.itertuples():
-            if (r.tok_x, r.tok_y) in visited:
-                continue
-            x1, y1, x2, y2, confidence = propose(r.tok_x * stride + stride // 2, r.tok_y * stride + stride // 2)
-            area = (x2 - x1 + 1) * (y2 - y1 + 1)
-            if np.isnan(confidence) or confidence < floor or not size_range[0] <= area <= size_range[1]:
-                continue
-            visited.update((i, j) for i in range(x1 // stride, x2 // stride + 1) for j in range(y1 // stride, y2 // stride + 1))
-            out.append((r.slide, len(out), r.token, x1, y1, x2, y2, float(confidence)))
-        frame = pd.DataFrame(out, columns=["slide", "step", "token", "x1", "y1", "x2", "y2", "confidence"])
-        frame["status"] = flush_statuses(frame[["x1", "y1", "x2", "y2"]].to_numpy(), frame["confidence"].to_numpy(), every, threshold) if len(frame) else []
-        return frame
-
-    return similarity.groupBy("slide").applyInPandas(run, FOUND)
-
-
 def smooth(cells: DataFrame, sigma: float = 1.0, radius: int = 4) -> DataFrame:
     """Separable Gaussian smoothing of (slide, y, x, w) on a dense map, edges reflected."""
     weights = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)

@@ -121,27 +121,3 @@ def suppress(boxes: DataFrame, group: Sequence[str], key: str, score: str, thres
         stay = stay.join(reduce(DataFrame.unionByName, gone), [*place, "id"], "left_anti")
     out = rows.filter(whole).join(stay.withColumn("kept", F.lit(True)), [*place, "id"], "left").select(*place, "id", F.coalesce("kept", F.lit(False)).alias("kept"))
     return out.union(rows.filter(~whole).withColumn("kept", F.lit(True))).select(*place, F.col("id.key").alias(key), "kept")
-
-
-def flush_statuses(boxes: np.ndarray, scores: np.ndarray, every: int, threshold: float) -> list[str]:
-    """Status of each box as it arrives in batches.
-
-    After each batch all held boxes are suppressed together.  Kept newcomers are *replacements*, the best
-    ones first, as many as held boxes were dropped; the other kept ones are *new*; the rest is
-    *discarded*.  Statuses belong to boxes, not to places in the buffer.
-    """
-    status = ["pending"] * len(boxes)
-    held = np.zeros(0, dtype=np.int64)
-    for at in range(0, len(boxes), every):
-        fresh = np.arange(at, min(at + every, len(boxes)))
-        pool = np.concatenate([held, fresh])
-        order = pool[np.lexsort((pool, -scores[pool]))]
-        kept = order[greedy(boxes[order].astype(np.float64), threshold)]
-        dropped = len(np.setdiff1d(held, kept))
-        newcomers = [i for i in kept if i >= at]
-        for n, i in enumerate(newcomers):
-            status[i] = "replacement" if n < dropped else "new"
-        for i in np.setdiff1d(fresh, kept):
-            status[i] = "discarded"
-        held = np.sort(kept)
-    return status

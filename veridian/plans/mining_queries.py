@@ -7,9 +7,12 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veridian.functions import geometry as G
+from veridian.functions.vectors import cosine, l2_normalized
+from veridian.operators import miner
 from veridian.operators import mining as M
 from veridian.operators import pixels as P
 from veridian.operators import ranking as R
@@ -42,6 +45,28 @@ POOL_SQL = """WITH o AS (SELECT c_custkey, i::INT AS place, ((c_custkey * 7 + i
 SELECT c_custkey, place, token, round(embedding[1]::DOUBLE, 6) AS e1 FROM o JOIN embeddings ON vec_id = token"""
 
 
+#: Limits that the small maps reach: flushes of 4 objects, windows of 3 steps, a reservoir of 20.
+RULES = miner.Rules(percentile=20.0, mask_area=(50.0, 1500.0), least_confidence=0.83, cluster_confidence=0.86, cluster_size=20, flush_every=4, overlap=0.02, window=3, slope=0.3, patience=2)
+
+
+def propose(x: int, y: int) -> tuple[int, int, int, int, int]:
+    """A box mask around a pixel whose size depends on the place."""
+    half = 7 + 7 * ((x // 14 * 7 + y // 14 * 11) % 4)
+    return x - half, y - half, x + half, y + half, (2 * half + 1) ** 2
+
+
+def mined(spark: SparkSession, d: str) -> DataFrame:
+    """Label and thousand of vec_id as slide, vectors moved towards their slide's mean as tokens on a grid eight wide."""
+    rows = V.corpus(spark, d).withColumn("slide", F.concat_ws("-", "label", F.floor(F.col("vec_id") / 1000)))
+    means = R.class_means(rows, ["slide"], V.SIZE).select("slide", l2_normalized(F.col("query")).alias("query"))
+    at = F.row_number().over(W.partitionBy("slide").orderBy("vec_id")) - 1
+    tokens = rows.withColumn("_at", at).join(means, "slide").select(
+        "slide", F.col("vec_id").alias("token"), (F.col("_at") % 8).alias("tok_x"), F.floor(F.col("_at") / 8).cast("int").alias("tok_y"), F.zip_with("embedding", "query", lambda a, b: a + b).alias("emb"), "query"
+    )
+    tokens = tokens.withColumn("w", F.greatest(F.round(cosine(F.col("emb"), F.col("query")), 9), F.lit(0.0)))
+    return miner.mine(tokens, means, propose, RULES)
+
+
 def grid_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Tokens under detections' corners on a grid of 25 by 20 tokens of 14 pixels."""
     points = B.detections(spark, d).filter("x1 < 600 and y1 < 500").select((F.col("slide") % 5).alias("slide"), "id", F.col("x1").alias("x"), F.col("y1").alias("y"))
@@ -221,6 +246,7 @@ def json_rows(spark: SparkSession, d: str) -> DataFrame:
 JSON_SQL = "SELECT o_orderkey, to_json({'key': o_orderkey, 'status': o_orderstatus, 'at': strftime(o_orderdate, '%Y-%m-%d')})::VARCHAR AS json FROM orders"
 
 QUERIES = {
+    "w12_mining_loop": mined,
     "j15_token_pool": token_pool, "j16_grid_lookup": grid_lookup, "v7_attention": attention, "o2_top_tokens": top_tokens, "a18_map_aggregates": maps, "g11_smoothed": smoothed, "g13_entropy_drop": entropy_drop,
     "g8_mask_axes": axes, "g4_iou": ious, "a27_region_stats": region_stats, "e17_coverage": coverage, "j7_aligned": aligned, "f8_classifier_gate": gated, "s1_tile_grid": tiles, "t22_base64": encoded, "m9_shift_grid": shifted, "k18_crop_names": crop_names, "n4_json_rows": json_rows,
 }
