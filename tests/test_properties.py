@@ -1,6 +1,8 @@
 """Invariants of order-dependent operators, and hand-made cases."""
 
 import math
+import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -50,12 +52,53 @@ def test_flush_counts_every_box_once(raw):
     assert len(objects.discarded) == len(raw) and objects.flushed == done
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.dictionaries(st.text("abc", min_size=1, max_size=3), st.integers(0, 50), min_size=1, max_size=8), st.integers(0, 120))
-def test_capacity_budget(capacity, total):
-    out = sampling.capacity_budget(capacity, total)
-    assert sum(out.values()) == min(total, sum(capacity.values()))
-    assert all(0 <= out[k] <= capacity[k] for k in capacity)
+def shared_out(counts, total, least):
+    """Budgets with a minimum, one unit after another."""
+    budget = dict.fromkeys(counts, 0)
+    for _ in range(least):
+        room = sorted((k for k in counts if budget[k] < counts[k]), key=lambda k: (-counts[k], k))
+        for k in room[: max(0, total - sum(budget.values()))]:
+            budget[k] += 1
+    rest = max(0, min(total, sum(counts.values())) - sum(budget.values()))
+    room = {k: counts[k] - budget[k] for k in counts}
+    rooms = sum(room.values())
+    if rooms:
+        exact = {k: Fraction(rest * room[k], rooms) for k in counts}
+        for k in counts:
+            budget[k] += int(exact[k])
+        for k in sorted(counts, key=lambda k: (int(exact[k]) - exact[k], -room[k], k))[: rest - sum(int(e) for e in exact.values())]:
+            budget[k] += 1
+    return budget
+
+
+def test_budgets_with_minimum_and_capacity(spark):
+    draw = random.Random(4)
+    cases = [({f"k{i}": draw.choice([0, 1, 2, 3, 9, 50]) for i in range(draw.randint(1, 8))}, draw.choice([0, 1, 3, 7, 40, 500])) for _ in range(60)]
+    rows = [(g, k, n, total) for g, (counts, total) in enumerate(cases) for k, n in counts.items()]
+    df = spark.createDataFrame(rows, "g int, k string, n long, total long")
+    for least in (0, 1, 2):
+        got = {(r.g, r.k): r.budget for r in sampling.allocate(df, ["g"], "k", "n", F.col("total"), least).collect()}
+        for g, (counts, total) in enumerate(cases):
+            want = shared_out(counts, total, least)
+            assert {k: got[g, k] for k in counts} == want, (counts, total, least)
+            assert sum(want.values()) == min(total, sum(counts.values()))
+
+
+def test_audit_sample_of_few_rows(spark):
+    rows = spark.createDataFrame([(i, "a" if i < 90 else "b", i % 2) for i in range(100)], "id long, g string, h int")
+    out = sampling.audit_sample(rows, ["g", "h"], "id", 20).orderBy("audit_id").collect()
+    assert len(out) == len({r.id for r in out}) == 20 and [r.audit_id for r in out] == [f"audit_{i:05d}" for i in range(20)]
+    assert {(g, h): sum((r.g, r.h) == (g, h) for r in out) for g in "ab" for h in (0, 1)} == {("a", 0): 9, ("a", 1): 8, ("b", 0): 2, ("b", 1): 1}
+    assert sampling.audit_sample(rows, ["g", "h"], "id", 1000).count() == 100 and sampling.audit_sample(rows.limit(0), ["g"], "id", 5).count() == 0
+
+
+def test_weighted_draws_follow_the_weights(spark):
+    rows = spark.createDataFrame(list(enumerate([0.0, 1.0, 2.0, 0.5, 96.5, None])), "id long, w double")
+    out = sampling.weighted_draws(rows, F.col("w"), ["id"], 4000, 7)
+    n = {r.id: r["count"] for r in out.groupBy("id").count().collect()}
+    assert sum(n.values()) == 4000 == out.select("draw").distinct().count() and set(n) == {1, 2, 3, 4}
+    assert all(abs(n[i] - 40 * w) < 6 * (40 * w) ** 0.5 for i, w in ((1, 1.0), (2, 2.0), (3, 0.5), (4, 96.5)))
+    assert sampling.weighted_draws(rows.filter("w = 0"), F.col("w"), ["id"], 10).count() == 0
 
 
 def test_split_cut(spark):

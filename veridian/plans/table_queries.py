@@ -72,6 +72,46 @@ r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id)
 SELECT p.lang, draw::INT AS draw, doc_id FROM p JOIN r ON r.lang = p.lang AND r.r = {draw_sql("42", "p.lang", "draw")} % n + 1"""
 
 
+def epoch(spark: SparkSession, d: str) -> DataFrame:
+    """One epoch over documents by language, by the inverse of the summed weights."""
+    return S.epoch_draws(read(spark, d, "documents").select("doc_id", "lang"), "lang", ["doc_id"])
+
+
+EPOCH_SQL = f"""WITH n AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), t AS (SELECT lang, n, least(trunc(min(n) OVER () * sqrt(n / min(n) OVER ()::DOUBLE))::BIGINT, n) AS target FROM n),
+w AS (SELECT doc_id, lang, round(target / n::DOUBLE * 1048576)::BIGINT AS w FROM documents JOIN t USING (lang)),
+line AS (SELECT doc_id, lang, sum(w) OVER (ORDER BY lang, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS hi, w FROM w),
+u AS (SELECT i AS draw, (({draw_sql("42", "i", "0")})::HUGEINT * 4294967296 + {draw_sql("42", "i", "1")}) * (SELECT sum(w)::HUGEINT FROM w) // 18446744073709551616::HUGEINT AS at FROM (SELECT unnest(range((SELECT sum(target)::BIGINT FROM t))) AS i))
+SELECT draw, doc_id, lang FROM u ASOF JOIN (SELECT doc_id, lang, (hi - w)::HUGEINT AS lo FROM line) l ON u.at >= l.lo"""
+
+LEVELS = ["source", "lang", "part"]
+
+
+def audit(spark: SparkSession, d: str) -> DataFrame:
+    """An audit sample of 200 by source, language and doc_id mod 5."""
+    rows = read(spark, d, "documents").select("doc_id", "source", "lang", (F.col("doc_id") % 5).alias("part"))
+    return S.audit_sample(rows, LEVELS, "doc_id", 200)
+
+
+def _allocated(level: int) -> str:
+    """Budgets of one level from those above, in SQL."""
+    keys, parent = ", ".join(LEVELS[:level]), LEVELS[: level - 1]
+    by = f"PARTITION BY {', '.join(parent)}" if parent else ""
+    above = f"JOIN b{level - 1} p USING ({', '.join(parent)})" if parent else ""
+    total = "p.budget" if parent else "200"
+    child = LEVELS[level - 1]
+    return f"""c{level} AS (SELECT {keys}, n, {total} AS total FROM (SELECT {keys}, count(*) AS n FROM rows GROUP BY ALL) {above}),
+m{level} AS (SELECT *, (row_number() OVER ({by} ORDER BY n DESC, {child}) <= total)::BIGINT AS one, greatest(total - count(*) OVER ({by}), 0) AS rest FROM c{level}),
+r{level} AS (SELECT *, n - one AS room, sum(n - one) OVER ({by}) AS rooms FROM m{level}),
+f{level} AS (SELECT *, CASE WHEN rooms > 0 THEN least(rest, rooms) * room // rooms ELSE 0 END AS whole, CASE WHEN rooms > 0 THEN least(rest, rooms) * room % rooms ELSE 0 END AS frac FROM r{level}),
+s{level} AS (SELECT *, least(rest, rooms) - sum(whole) OVER ({by}) AS spare, row_number() OVER ({by} ORDER BY frac DESC, room DESC, {child}) AS place FROM f{level}),
+b{level} AS (SELECT {keys}, one + whole + (place <= spare)::BIGINT AS budget FROM s{level})"""
+
+
+AUDIT_SQL = f"""WITH rows AS (SELECT doc_id, source, lang, doc_id % 5 AS part FROM documents), {_allocated(1)}, {_allocated(2)}, {_allocated(3)},
+d AS (SELECT r.*, budget, row_number() OVER (PARTITION BY source, lang, part ORDER BY {H.format("doc_id")}, doc_id) AS place FROM rows r JOIN b3 USING (source, lang, part))
+SELECT doc_id, source, lang, part, 'audit_' || lpad((row_number() OVER (ORDER BY source, lang, part, place) - 1)::VARCHAR, 5, '0') AS audit_id FROM d WHERE place <= budget"""
+
+
 def budget(spark: SparkSession, d: str) -> DataFrame:
     return S.budget_sample(read(spark, d, "documents").select("doc_id", "source"), "source", "doc_id", 240)
 
@@ -352,14 +392,14 @@ round(100.0::DOUBLE * count(*) FILTER (WHERE o_orderstatus <> 'O') / count(*), 2
 
 QUERIES = {
     "r12_crop_sample": crops, "e16_model_consistency": consistency, "k6_run_summary": summary,
-    "r1_group_split": split, "a20_split_counts": split_counts, "e15_split_verdict": split_verdict, "r6_capped_sample": capped, "r11_simple_sample": simple, "r3_balanced_resample": balanced, "r4_weighted_sample": weighted, "r5_budget_sample": budget,
+    "r1_group_split": split, "a20_split_counts": split_counts, "e15_split_verdict": split_verdict, "r6_capped_sample": capped, "r11_simple_sample": simple, "r3_balanced_resample": balanced, "r4_weighted_sample": weighted, "r5_budget_sample": budget, "r4_epoch_draws": epoch, "r5_audit_sample": audit,
     "w1_entropy_series": entropy, "w3_moving_averages": moving_average, "w10_reservoir": reservoir, "w5_status_share": status_share, "w4_confidence_average": confidence, "w6_flat_counter": flat_counter, "w7_stop_rules": stops,
     "a22_seed_summary": seeds, "k13_seed_columns": wide_seeds, "e18_variant_delta": deltas, "f19_resume": resume, "j19_side_flags": sides, "j8_three_way": three_way, "j18_zero_default": zero_default, "j10_stem_match": stems,
     "j17_siblings": sibling_pairs, "u4_group_overlap": overlap, "j12_taxonomy": taxonomy, "a28_best_row": best, "w18_offsets": csr, "n1_json_props": props, "a16_channel_stats": channels,
 }
 ORACLES = {
     "r12_crop_sample": CROPS_SQL, "e16_model_consistency": CONSISTENCY_SQL, "k6_run_summary": SUMMARY_SQL,
-    "r1_group_split": SPLIT_SQL, "a20_split_counts": SPLIT_COUNTS_SQL, "e15_split_verdict": VERDICT_SQL, "r6_capped_sample": CAPPED_SQL, "r11_simple_sample": SIMPLE_SQL, "r3_balanced_resample": BALANCED_SQL, "r4_weighted_sample": WEIGHTED_SQL, "r5_budget_sample": BUDGET_SQL,
+    "r1_group_split": SPLIT_SQL, "a20_split_counts": SPLIT_COUNTS_SQL, "e15_split_verdict": VERDICT_SQL, "r6_capped_sample": CAPPED_SQL, "r11_simple_sample": SIMPLE_SQL, "r3_balanced_resample": BALANCED_SQL, "r4_weighted_sample": WEIGHTED_SQL, "r5_budget_sample": BUDGET_SQL, "r4_epoch_draws": EPOCH_SQL, "r5_audit_sample": AUDIT_SQL,
     "w1_entropy_series": ENTROPY_SQL, "w3_moving_averages": AVERAGE_SQL, "w10_reservoir": RESERVOIR_SQL, "w5_status_share": SHARE_SQL, "w4_confidence_average": CONFIDENCE_SQL, "w6_flat_counter": FLAT_SQL, "w7_stop_rules": STOPS_SQL,
     "a22_seed_summary": SEEDS_SQL, "k13_seed_columns": WIDE_SQL, "e18_variant_delta": DELTAS_SQL, "f19_resume": RESUME_SQL, "j19_side_flags": SIDES_SQL, "j8_three_way": THREE_SQL, "j18_zero_default": ZERO_SQL, "j10_stem_match": STEMS_SQL,
     "j17_siblings": SIBLINGS_SQL, "u4_group_overlap": OVERLAP_SQL, "j12_taxonomy": TAXONOMY_SQL, "a28_best_row": BEST_SQL, "w18_offsets": CSR_SQL, "n1_json_props": PROPS_SQL, "a16_channel_stats": CHANNELS_SQL,
