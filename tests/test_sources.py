@@ -100,13 +100,39 @@ def test_attention_matches_numpy(spark):
     assert np.allclose(got.pooled, pooled / np.linalg.norm(pooled)) and got.attention == pytest.approx(float(pooled @ q.mean(axis=0) / np.linalg.norm(pooled) / np.linalg.norm(q.mean(axis=0))), rel=1e-5)
 
 
+@pytest.mark.parametrize("n, k", [(40, 3), (3, 2), (1, 3)])
+def test_principal_directions_against_svd(spark, n, k):
+    draw = np.random.default_rng(n)
+    groups = {g: draw.normal(size=(n, 6)) * [3, 2, 1, 1, 0.5, 0.1] + draw.normal(size=6) for g in range(3)}
+    rows = [(g, v.tolist()) for g, x in groups.items() for v in x] + [(0, None), (1, [1.0]), (2, [float("nan")] * 6), (7, None)]
+    got = {r.g: r for r in mining.principal_directions(spark.createDataFrame(rows, "g int, v array<double>").repartition(5), "g", "v", 6, k).collect()}
+    assert set(got) == {0, 1, 2}
+    for g, x in groups.items():
+        mean = x.mean(axis=0)
+        _, s, v = np.linalg.svd(x - mean, full_matrices=False)
+        v = v * np.where(v @ mean < 0, -1.0, 1.0)[:, None]
+        want = (v[:k] * (s[:k] ** 2)[:, None]).sum(axis=0) if n > 1 else mean
+        assert np.allclose(got[g].direction, want / np.linalg.norm(want), atol=1e-7) and got[g].members == n
+        assert got[g].share == pytest.approx((s[:k] ** 2).sum() / (s**2).sum() if n > 1 else 0.0, abs=1e-9)
+
+
 def test_prototype_and_smoothing(spark):
     cells = spark.createDataFrame([("s", 10 * i + j, i, j, float((i * 7 + j * 3) % 11)) for i in range(10) for j in range(10)], "slide string, token int, tok_x int, tok_y int, w double")
     x = models.hashed_vectors([str(i) for i in range(20)], 4)
     vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, emb array<double>")
-    out = mining.refine_prototype(vectors, x[0].tolist(), "id", 0.5, 4)
-    near = x[np.argsort(-(x @ np.array(out)), kind="stable")[:10]]
-    assert np.allclose(out, near[np.argmax(near @ near.sum(axis=0))])
+    start = spark.createDataFrame([("a", x[0].tolist()), ("b", x[1].tolist()), ("none", x[1].tolist())], "g string, prototype array<double>")
+    both = vectors.withColumn("g", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    for bins in (4, 4096):
+        out = {r.g: np.array(r.prototype) for r in mining.refine_prototypes(both, start, "g", "id", "emb", 4, 0.5, bins=bins).collect()}
+        assert set(out) == {"a", "b"}
+        for g, first in (("a", x[0]), ("b", x[1])):
+            here = first
+            for _ in range(100):
+                near = x[np.argsort(-(x @ here), kind="stable")[:10]]
+                before, here = here, near[np.argmax(near @ near.sum(axis=0))]
+                if np.linalg.norm(here - before) < 1e-4:
+                    break
+            assert np.allclose(out[g], here, atol=1e-6)
     smoothed = mining.smooth(cells.select("slide", F.col("tok_y").alias("y"), F.col("tok_x").alias("x"), "w"))
     assert smoothed.agg(F.sum("w")).first()[0] == pytest.approx(cells.agg(F.sum("w")).first()[0])
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veridian.functions.vectors import dot
+from veridian.sources.stages import forget, written
 
 
 def token_pool(objects: DataFrame, tokens: DataFrame, key: str, slide: str = "slide") -> DataFrame:
@@ -61,34 +67,95 @@ def mask_axes(pixels: DataFrame, key: str) -> DataFrame:
     return m.select(key, axis(middle - spread).alias("minor"), axis(middle + spread).alias("major"))
 
 
-def principal_direction(x: np.ndarray, k: int) -> tuple[np.ndarray, float]:
-    """Eigenvalue-weighted direction of the first k components, each turned towards the mean; and their share of variance (V6)."""
-    mean = x.mean(axis=0)
-    _, s, v = np.linalg.svd(x - mean, full_matrices=False)
-    s2, v = s**2, v * np.where(v @ mean < 0, -1.0, 1.0)[:, None]
-    direction = (v[:k] * s2[:k, None]).sum(axis=0)
-    n = np.linalg.norm(direction)
-    return (direction / n if n > 0 else mean), float(s2[:k].sum() / s2.sum()) if s2.sum() > 0 else 0.0
-
-
-def refine_prototype(vectors: DataFrame, start: list[float], key: str, share: float, size: int, rounds: int = 100, tolerance: float = 1e-4) -> list[float]:
-    """Medoid of the ``share`` of unit vectors nearest to the prototype, until it stays.
+def vector_moments(vectors: DataFrame, group: str, vector: str, size: int) -> DataFrame:
+    """``group``, ``place``, ``sums``: component sums of each group's vectors (place -1, the count last) and the rows of the sum of their outer products.
 
-    Each round is one ranking and one sum on the cluster; only the prototype itself is on the driver.
+    Every task adds up its own batches, so what is shuffled is ``size`` + 1 rows for each group and task, however many
+    vectors there are, and those are summed in parts as well.  Missing vectors, other lengths and NaN take no part.
+    """
+    kind = dict(vectors.dtypes)[group]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[object, np.ndarray] = {}
+        for batch in batches:
+            keys, lists = batch.column(0), batch.column(1)
+            for key in keys.unique().to_pylist():
+                own = lists.filter(pc.is_null(keys) if key is None else pc.equal(keys, key).fill_null(False))
+                own = own.filter(pc.equal(pc.list_value_length(own), size).fill_null(False))
+                x = np.array(own.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, size)
+                x = x[np.isfinite(x).all(axis=1)]
+                x = np.column_stack([x, np.ones(len(x))])
+                sums[key] = sums.get(key, 0.0) + x.T @ x
+        for key, total in sums.items():
+            rows = np.concatenate([total[-1:], total[:-1]])
+            yield pa.record_batch([pa.array([key] * len(rows), keys.type), pa.array(range(-1, size), pa.int32()), pa.array(list(rows), pa.list_(pa.float64()))], names=[group, "place", "sums"])
+
+    parts = vectors.select(group, vector).mapInArrow(run, f"`{group}` {kind}, place int, sums array<double>")
+    return parts.groupBy(group, "place").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(size + 1)]).alias("sums"))
+
+
+def principal_directions(vectors: DataFrame, group: str, vector: str, size: int, k: int = 3) -> DataFrame:
+    """``direction``, ``share``, ``members`` of each group: its first ``k`` principal components, each turned towards the mean, summed by eigenvalue and normalised, and their share of the variance (V6).
+
+    A group is decomposed from its moments, of one size; its vectors are never gathered.  Without variance the direction is the
+    normalised mean and the share 0; groups without vectors are left out.
+    """
+    kind = dict(vectors.dtypes)[group]
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        rows = np.stack(part.sort_values("place")["sums"].to_list())
+        n = rows[0, -1]
+        if not n:
+            return pd.DataFrame({group: [], "direction": [], "share": [], "members": []}, dtype=object)
+        mean = rows[0, :-1] / n
+        scatter = rows[1:, :-1] - n * np.outer(mean, mean)
+        value, component = np.linalg.eigh(scatter)
+        value, component = np.maximum(value[::-1], 0.0), component[:, ::-1].T
+        total = value.sum()
+        if total <= 1e-12 * max(1.0, float(np.trace(rows[1:, :-1]))):
+            direction, share = mean, 0.0
+        else:
+            turned = component[:k] * np.where(component[:k] @ mean < 0, -1.0, 1.0)[:, None]
+            direction, share = value[:k] @ turned, float(value[:k].sum() / total)
+        length = np.linalg.norm(direction)
+        return pd.DataFrame({group: part[group].iloc[:1], "direction": [(direction / length if length else direction).tolist()], "share": [share], "members": [int(n)]})
+
+    return vector_moments(vectors, group, vector, size).groupBy(group).applyInPandas(run, f"`{group}` {kind}, direction array<double>, share double, members long")
+
+
+def refine_prototypes(vectors: DataFrame, start: DataFrame, group: str, key: str, vector: str, size: int, share: float = 0.25, rounds: int = 100, tolerance: float = 1e-4, bins: int = 4096) -> DataFrame:
+    """``group``, ``prototype``, ``rounds``: the medoid of each group's best ``share`` of unit vectors, taken again from there until it stays.
+
+    All groups go on together and each round is a written table.  The best are found by a histogram of the scores: whole
+    bins above the cut are taken by counting, and only the bin with the cut is ranked (ties to the smaller key).  For unit vectors the
+    medoid has the largest product with the sum of the best, so no pairs are made.  ``start``: group, prototype.
     """
-    n = vectors.count()
-    keep, current = max(1, int(n * share)), start
+    rows = vectors.select(group, F.col(key).alias("_key"), F.col(vector).cast("array<double>").alias("_v")).filter("_v is not null")
+    keep = rows.groupBy(group).agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * share)).cast("long").alias("_keep"))
+    state = written(start.select(group, F.col("prototype").cast("array<double>").alias("prototype"), F.lit(0).alias("rounds"), F.lit(True).alias("moving")).join(keep, group), "prototypes")
     for _ in range(rounds):
-        here = F.array(*map(F.lit, map(float, current)))
-        near = vectors.withColumn("_s", dot(F.col("emb"), here)).orderBy(F.desc("_s"), key).limit(keep)
-        total = near.agg(*[F.sum(F.col("emb")[i]).alias(f"s{i}") for i in range(size)]).first()
-        along = F.array(*map(F.lit, map(float, total)))
-        best = near.withColumn("_m", dot(F.col("emb"), along)).orderBy(F.desc("_m"), key).select("emb").first()["emb"]
-        moved = float(np.linalg.norm(np.array(best) - np.array(current)))
-        current = list(best)
-        if moved < tolerance:
+        if state.filter("moving").isEmpty():
             break
-    return current
+        scored = rows.join(state.filter("moving").select(group, "prototype", "_keep"), group).withColumn("_s", F.round(dot(F.col("_v"), F.col("prototype")), 9))
+        scored = scored.withColumn("_bin", F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((F.col("_s") + 1) / 2 * bins))).cast("int"))
+        counts = scored.groupBy(group, "_bin").agg(F.count(F.lit(1)).alias("_n"), F.first("_keep").alias("_keep"))
+        above = F.sum("_n").over(W.partitionBy(group).orderBy(F.desc("_bin"))) - F.col("_n")
+        cut = counts.withColumn("_above", above).filter("_above < _keep and _above + _n >= _keep").select(group, F.col("_bin").alias("_cut"), (F.col("_keep") - F.col("_above")).alias("_need"))
+        near = scored.join(cut, group)
+        whole = near.filter(F.col("_bin") > F.col("_cut"))
+        edge = near.filter(F.col("_bin") == F.col("_cut"))
+        ranked = edge.select(group, "_key", "_s", "_need").withColumn("_r", F.row_number().over(W.partitionBy(group).orderBy(F.desc("_s"), "_key"))).filter("_r <= _need").select(group, "_key")
+        best = written(whole.select(group, "_key", "_v", "_s").unionByName(edge.join(ranked, [group, "_key"], "left_semi").select(group, "_key", "_v", "_s")), "best")
+        total = best.groupBy(group).agg(F.array(*[F.sum(F.col("_v")[i]) for i in range(size)]).alias("_t"))
+        medoid = best.join(total, group).withColumn("_m", F.round(dot(F.col("_v"), F.col("_t")), 9))
+        medoid = medoid.groupBy(group).agg(F.min(F.struct((-F.col("_m")).alias("m"), (-F.col("_s")).alias("s"), F.col("_key").alias("k"), F.col("_v").alias("v"))).alias("_best"))
+        length = F.sqrt(dot(F.col("_best.v"), F.col("_best.v"))) + F.lit(1e-8)
+        now = state.join(medoid.select(group, F.transform("_best.v", lambda x: x / length).alias("_now")), group, "left")
+        gap = F.sqrt(F.aggregate(F.zip_with("_now", "prototype", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x))
+        now = now.select(group, F.coalesce("_now", "prototype").alias("prototype"), (F.col("rounds") + F.col("moving").cast("int")).alias("rounds"), (F.col("moving") & (gap >= tolerance)).alias("moving"), "_keep")
+        before, state = state, written(now, "prototypes")
+        forget(before, best)
+    return state.select(group, "prototype", "rounds")
 
 
 def smooth(cells: DataFrame, sigma: float = 1.0, radius: int = 4) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from veridian.functions import vectors as V
 from veridian.functions.draws import draw_sql
 from veridian.operators import metrics as M
+from veridian.operators import mining
 from veridian.operators import ranking as R
 from veridian.operators import sampling as S
 from veridian.sources.tables import read
@@ -50,6 +51,37 @@ MEDOIDS_SQL = f"""WITH c AS ({CORPUS}), t AS (SELECT label, {SUM} AS t FROM c GR
 SELECT label, vec_id, s AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) AS r FROM s) WHERE r = 1"""
 
 
+def principal(spark: SparkSession, d: str) -> DataFrame:
+    """V6: the direction of each species by its three first components."""
+    p = mining.principal_directions(corpus(spark, d), "label", "embedding", SIZE, 3)
+    return p.select("label", F.transform("direction", lambda x: F.round(x, 6)).alias("direction"), F.round("share", 6).alias("share"), "members")
+
+
+ROUNDS = 3
+
+
+def prototypes(spark: SparkSession, d: str) -> DataFrame:
+    """Three rounds from the mean vector of each species."""
+    c = corpus(spark, d)
+    start = R.class_means(c, ["label"], SIZE).select("label", F.transform("query", lambda x: F.round(x, 9)).alias("prototype"))
+    p = mining.refine_prototypes(c, start, "label", "vec_id", "embedding", SIZE, 0.25, ROUNDS)
+    return p.select("label", "rounds", *(F.round(F.col("prototype")[i], 6).alias(f"p{i}") for i in range(4)))
+
+
+def _round(i: int) -> str:
+    """One more round; a species whose prototype stayed within the tolerance keeps it."""
+    return f"""s{i} AS (SELECT c.label, vec_id, embedding, round(list_dot_product(embedding, p), 9) AS s, k FROM c JOIN p{i - 1} p ON p.label = c.label AND p.moving JOIN n ON n.label = c.label),
+t{i} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) AS r FROM s{i}) WHERE r <= k),
+u{i} AS (SELECT label, {SUM} AS t FROM t{i} GROUP BY label),
+m{i} AS (SELECT label, list_transform(embedding, lambda x: x / (sqrt(list_dot_product(embedding, embedding)) + 1e-8)) AS v FROM (SELECT t{i}.*, row_number() OVER (PARTITION BY label ORDER BY round(list_dot_product(embedding, t), 9) DESC, s DESC, vec_id) AS m FROM t{i} JOIN u{i} USING (label)) WHERE m = 1),
+p{i} AS (SELECT p.label, coalesce(m.v, p.p) AS p, p.rounds + p.moving::INT AS rounds, p.moving AND list_distance(m.v, p.p) >= 1e-4 AS moving FROM p{i - 1} p LEFT JOIN m{i} m USING (label))"""
+
+
+PROTOTYPES_SQL = f"""WITH c AS ({CORPUS}), n AS (SELECT label, greatest(1, floor(count(*) * 0.25::DOUBLE))::BIGINT AS k FROM c GROUP BY label),
+p0 AS (SELECT label, list_transform({MEAN}, lambda x: round(x, 9)) AS p, 0 AS rounds, true AS moving FROM c GROUP BY label), {", ".join(_round(i + 1) for i in range(ROUNDS))}
+SELECT label, rounds, {", ".join(f"round(p[{i + 1}], 6) AS p{i}" for i in range(4))} FROM p{ROUNDS}"""
+
+
 def norm_check(spark: SparkSession, d: str) -> DataFrame:
     n = V.norm(F.col("embedding"))
     return corpus(spark, d).agg(F.count(F.lit(1)).alias("rows"), F.sum((F.abs(n - 1) > 0.01).cast("long")).alias("off_unit"), F.sum((n <= 1e-6).cast("long")).alias("zero"))
@@ -217,6 +249,8 @@ FUSION_SQL = f"""WITH c AS ({CORPUS}), q AS (SELECT label, {MEAN} AS q FROM c GR
 SELECT vec_id, round(f, 6) AS fused, round(greatest(1 - f, 0.0), 6) AS distance, 64 AS width, round(sqrt(CASE WHEN vec_id % 2 = 0 THEN list_dot_product(e, e) ELSE list_dot_product(e[1:32], e[1:32]) END), 6) AS norm FROM f"""
 
 QUERIES = {
+    "v6_principal_direction": principal,
+    "w13_medoid_prototypes": prototypes,
     "v1_vector_distances": distances,
     "v8_medoids": medoids,
     "v10_norm_check": norm_check,
@@ -234,6 +268,7 @@ QUERIES = {
     "v5_fusion": fusion,
 }
 ORACLES = {
+    "w13_medoid_prototypes": PROTOTYPES_SQL,
     "v1_vector_distances": DISTANCES_SQL,
     "v8_medoids": MEDOIDS_SQL,
     "v10_norm_check": NORM_SQL,
