@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veridian.operators import pixels as P
+from veridian.operators import spatial as S
 
 
 def disc(size=60, at=(30, 30), r=(18, 18)):
@@ -61,13 +62,64 @@ def test_grid_and_names(spark):
     assert name == "s_pollen_3_5_7_4_5"
 
 
-def test_rising_edge(spark):
+def test_rising_edge():
     x = np.concatenate([np.random.default_rng(2).normal(5, 1, 6000), np.random.default_rng(3).normal(14, 2, 6000)])
-    centres, density = P.histogram(spark.createDataFrame([(float(v),) for v in x], "v double"), "v", 120)
-    assert (density * (centres[1] - centres[0])).sum() == pytest.approx(1.0)
+    density, edges = np.histogram(x, bins=120, density=True)
+    centres = (edges[1:] + edges[:-1]) / 2
     smooth = P.smoothed(density, 2.4)
     peak = P.first_peak(smooth)
     assert abs(centres[peak] - 5) < 0.5
     a, mu, width = P.rising_edge(centres, smooth, centres[peak])
     assert abs(mu - 5) < 0.5 and abs(width - 1) < 0.3 and a > 0
     assert P.rising_edge(centres[:3], smooth[:3], 1e9) is None and P.first_peak(np.zeros(10)) is None
+
+
+def plain_fit(values):
+    """Histogram, smoothing and first peak one by one; the edge's points and the peak."""
+    x = sorted(values)
+    n, iqr = len(x), np.percentile(x, 75) - np.percentile(x, 25)
+    bins = max(100, int((x[-1] - x[0]) / (2 * iqr / np.cbrt(n)))) if iqr > 0 else 100
+    count, edges = np.histogram(x, bins=bins, density=True)
+    sigma = max(1.0, bins / 50)
+    reach = int(4 * sigma + 0.5)
+    weight = {o: np.exp(-0.5 * (o / sigma) ** 2) for o in range(-reach, reach + 1)}
+    mirror = lambda i: i if 0 <= i < bins else (-1 - i if i < 0 else 2 * bins - 1 - i)
+    smooth = [sum(w * count[mirror(i + o)] for o, w in weight.items()) / sum(weight.values()) for i in range(bins)]
+    peaks = [i for i in range(1, bins - 1) if smooth[i - 1] < smooth[i] >= smooth[i + 1] and smooth[i] >= 0.1 * max(smooth)]
+    peaks = [i for i in peaks if not any(abs(i - j) < 5 and smooth[j] > smooth[i] for j in peaks)]
+    middle = [(a + b) / 2 for a, b in zip(edges, edges[1:])]
+    if not peaks:
+        return None
+    return np.array(middle[: peaks[0]]), np.array(smooth[: peaks[0]]), middle[peaks[0]]
+
+
+def test_fits_of_groups_and_gates(spark):
+    draw = np.random.default_rng(9)
+    groups = {
+        0: np.concatenate([draw.normal(0.2, 0.03, 3000), draw.normal(0.7, 0.1, 4000)]),
+        1: np.concatenate([draw.normal(0.8, 0.05, 2000), draw.uniform(0, 2, 500)]),
+        2: np.repeat([0.1, 0.3, 0.31], [50, 3000, 20]),
+        3: np.array([0.4, 0.4, 0.4]),
+    }
+    rows = [(g, float(v)) for g, x in groups.items() for v in x] + [(0, None), (1, float("nan")), (4, None)]
+    df = spark.createDataFrame(rows, "g int, d double")
+    fits = {r.g: r for r in S.edge_fits(df, ["g"], "d").collect()}
+    assert set(fits) == {0, 1, 2, 3, 4} and fits[3].middle is None and fits[4].middle is None
+    for g in (0, 1):
+        x, y, peak = plain_fit(groups[g])
+        r = fits[g]
+        error = lambda a, m, w: ((a * np.exp(-0.5 * ((x - m) / w) ** 2) - y) ** 2).sum()  # noqa: E731, B023
+        assert 0.8 * peak <= r.middle <= 1.2 * peak
+        least = min(error(a, m, w) for a in np.linspace(0.5, 1.5, 21) * y.max() for m in np.linspace(0.8, 1.2, 41) * peak for w in np.geomspace(0.005, 1, 60))
+        assert error(r.amplitude, r.middle, r.width) <= least * 1.001
+    gates = {}
+    for r in S.distance_gate(df, S.edge_fits(df, ["g"], "d"), ["g"], "d").collect():
+        gates.setdefault(r.g, []).append((r.d, r.positive, r.negative))
+    m, w = fits[0].middle, fits[0].width
+    for d, positive, negative in gates[0]:
+        inside = d is not None and max(0, m - w) <= d <= m + w
+        assert positive == inside and negative == (d is not None and d > max(0.5, m + 5 * w) and not inside)
+    low, high = np.percentile(groups[1], [20, 80])
+    assert all(p == (d <= low) and n == (d >= high) for d, p, n in gates[1] if d == d)
+    assert not any(p or n for g in (3, 4) for _, p, n in gates[g])
+    assert S.edge_fits(df.limit(0), ["g"], "d").count() == 0

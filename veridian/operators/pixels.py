@@ -139,19 +139,6 @@ def with_test(images: DataFrame, key: str, test: Callable[[np.ndarray], object],
     return images.select(key, "height", "width", "pixels").mapInPandas(run, f"{key} {dict(images.dtypes)[key]}, {name} {kind}")
 
 
-def histogram(values: DataFrame, column: str, bins: int) -> tuple[np.ndarray, np.ndarray]:
-    """Centres and density of ``bins`` equal bins of a column; only the bins reach the driver."""
-    low, high, n = values.agg(F.min(column).cast("double"), F.max(column).cast("double"), F.count(column)).first()
-    if not n or high <= low:
-        return np.zeros(0), np.zeros(0)
-    width = (high - low) / bins
-    at = F.least(F.lit(bins - 1), F.floor((F.col(column) - low) / width)).cast("int")
-    count = np.zeros(bins)
-    for r in values.filter(F.col(column).isNotNull()).groupBy(at.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect():
-        count[r.b] = r.n
-    return low + (np.arange(bins) + 0.5) * width, count / (n * width)
-
-
 def smoothed(density: np.ndarray, sigma: float) -> np.ndarray:
     """Gaussian smoothing with reflected ends."""
     reach = int(4 * sigma + 0.5)
@@ -191,3 +178,10 @@ def rising_edge(centres: np.ndarray, density: np.ndarray, peak: float) -> tuple[
         mu = np.clip(np.linspace(mu[i] - 2 * d, mu[i] + 2 * d, 21), *ends)
         width = np.geomspace(max(1e-3, width[j] / r**2), width[j] * r**2, 21)
     return best
+
+
+def edge_fit(centres: np.ndarray, density: np.ndarray) -> tuple[float, float, float] | None:
+    """The whole fit of a histogram: smoothing, first peak, rising edge; None where a step finds nothing."""
+    smooth = smoothed(density, max(1.0, len(density) / 50))
+    peak = first_peak(smooth)
+    return None if peak is None else rising_edge(centres, smooth, float(centres[peak]))

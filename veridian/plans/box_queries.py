@@ -99,7 +99,7 @@ GATES_SQL = f"SELECT id, (x2 - x1 + 1) * (y2 - y1 + 1) AS area FROM ({DETECTIONS
 
 def distance_window(spark: SparkSession, d: str) -> DataFrame:
     b = detections(spark, d).select("id", "slide", F.round(F.col("l_quantity") / 50, 4).alias("distance"))
-    return S.distance_gate(b, ["slide"], "distance").select("id", "positive", "negative")
+    return S.distance_gate(b, S.distance_moments(b, ["slide"], "distance"), ["slide"], "distance").select("id", "positive", "negative")
 
 
 DISTANCE_SQL = f"""WITH b AS (SELECT id, slide, round(l_quantity / 50, 4) AS d FROM ({DETECTIONS})), s AS (SELECT slide, avg(d) AS m, stddev_pop(d) AS s, quantile_cont(d, 0.2) AS p2, quantile_cont(d, 0.8) AS p8 FROM b GROUP BY slide),

@@ -14,7 +14,8 @@ from veridian.functions.draws import draw_sql
 from veridian.operators import metrics as M
 from veridian.operators import mining
 from veridian.operators import ranking as R
-from veridian.operators import sampling as S
+from veridian.operators import sampling
+from veridian.operators import spatial as S
 from veridian.sources.tables import read
 
 SIZE, KS = 64, (1, 5, 10, 20)
@@ -82,6 +83,24 @@ p0 AS (SELECT label, list_transform({MEAN}, lambda x: round(x, 9)) AS p, 0 AS ro
 SELECT label, rounds, {", ".join(f"round(p[{i + 1}], 6) AS p{i}" for i in range(4))} FROM p{ROUNDS}"""
 
 
+def query_distances(spark: SparkSession, d: str) -> DataFrame:
+    """Cosine distance of every vector to the mean of its species, a third of it for odd ones."""
+    c = corpus(spark, d)
+    far = c.join(R.class_means(c, ["label"], SIZE), "label").withColumn("distance", V.distance(F.col("embedding"), F.col("query")))
+    return far.select("vec_id", "label", F.round(F.col("distance") / (1 + 2 * (F.col("label") % 2)), 9).alias("distance"))
+
+
+def edge_fits(spark: SparkSession, d: str) -> DataFrame:
+    """The fit of each species' distances."""
+    return S.edge_fits(query_distances(spark, d), ["label"], "distance").select("label", *(F.round(c, 6).alias(c) for c in ("amplitude", "middle", "width")))
+
+
+def fitted_gate(spark: SparkSession, d: str) -> DataFrame:
+    """gates around the fits."""
+    rows = query_distances(spark, d)
+    return S.distance_gate(rows, S.edge_fits(rows, ["label"], "distance"), ["label"], "distance").select("vec_id", "positive", "negative")
+
+
 def norm_check(spark: SparkSession, d: str) -> DataFrame:
     n = V.norm(F.col("embedding"))
     return corpus(spark, d).agg(F.count(F.lit(1)).alias("rows"), F.sum((F.abs(n - 1) > 0.01).cast("long")).alias("off_unit"), F.sum((n <= 1e-6).cast("long")).alias("zero"))
@@ -150,7 +169,7 @@ def control(spark: SparkSession, d: str) -> DataFrame:
     real = R.ranking_metrics(scored.select("q_label", "q_origin", "vec_id", "score", "relevant"), ["q_label", "q_origin"], "vec_id", KS).agg(F.avg("mrr").alias("real"))
     out = None
     for seed in (42, 123, 456):
-        other = S.shuffled_labels(corpus(spark, d).select("vec_id", "label", F.lit(0).alias("g")), "label", "vec_id", ["g"], seed).select("vec_id", F.col("label").alias("other"))
+        other = sampling.shuffled_labels(corpus(spark, d).select("vec_id", "label", F.lit(0).alias("g")), "label", "vec_id", ["g"], seed).select("vec_id", F.col("label").alias("other"))
         rows = scored.join(other, "vec_id").withColumn("relevant", (F.col("other") == F.col("q_label")).cast("int"))
         one = R.ranking_metrics(rows.select("q_label", "q_origin", "vec_id", "score", "relevant"), ["q_label", "q_origin"], "vec_id", KS).agg(F.lit(seed).alias("seed"), F.avg("mrr").alias("mrr"))
         out = one if out is None else out.union(one)
@@ -249,6 +268,8 @@ FUSION_SQL = f"""WITH c AS ({CORPUS}), q AS (SELECT label, {MEAN} AS q FROM c GR
 SELECT vec_id, round(f, 6) AS fused, round(greatest(1 - f, 0.0), 6) AS distance, 64 AS width, round(sqrt(CASE WHEN vec_id % 2 = 0 THEN list_dot_product(e, e) ELSE list_dot_product(e[1:32], e[1:32]) END), 6) AS norm FROM f"""
 
 QUERIES = {
+    "w19_edge_fits": edge_fits,
+    "f12_fitted_gate": fitted_gate,
     "v6_principal_direction": principal,
     "w13_medoid_prototypes": prototypes,
     "v1_vector_distances": distances,
