@@ -6,11 +6,12 @@ is darker than Otsu's threshold is its mask, and its largest connected part is t
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Weights of red, green and blue in a grey value.
@@ -106,6 +107,31 @@ def normalised(rgb: np.ndarray, mean: np.ndarray, std: np.ndarray) -> np.ndarray
     return np.clip(np.rint((x - own) / np.where(spread > 0, spread, 1.0) * std + mean), 0, 255).astype(np.uint8)
 
 
+def aligned(x: Column, mean: Column, std: Column, to_mean: Column, to_std: Column, alpha: float = 1.0) -> Column:
+    """A value brought from one mean and deviation to another, mixed with itself by ``alpha``, cut to a byte (M8)."""
+    moved = (x - mean) / (std + F.lit(1e-8)) * to_std + to_mean
+    return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), alpha * moved + (1 - alpha) * x))).cast("int")
+
+
+def level_map(content: DataFrame, reference: DataFrame, channel: Sequence[str], level: str) -> DataFrame:
+    """``channel``..., ``level``, ``matched``: the smallest level whose share of reference values at or below it is not less than that of the content's (M8).
+
+    Levels are few (256 for bytes): values are counted first, and the two cumulative histograms of a channel are what is
+    joined.  Channels without a reference keep their levels; missing values are left out.
+    """
+    keys = list(channel)
+
+    def cumulated(values: DataFrame) -> DataFrame:
+        counts = values.filter(F.col(level).isNotNull()).groupBy(*keys, level).agg(F.count(F.lit(1)).alias("_n"))
+        by = W.partitionBy(*keys)
+        return counts.select(*keys, level, F.sum("_n").over(by.orderBy(level)).alias("_to"), F.sum("_n").over(by).alias("_all"))
+
+    own, other = cumulated(content), cumulated(reference).select(*keys, F.col(level).alias("_level"), F.col("_to").alias("_r_to"), F.col("_all").alias("_r_all"))
+    reached = F.when(F.col("_to").cast("decimal(38,0)") * F.col("_r_all") <= F.col("_r_to").cast("decimal(38,0)") * F.col("_all"), F.col("_level"))
+    out = own.join(other, keys, "left").groupBy(*keys, level).agg(F.min(reached).alias("matched"))
+    return out.select(*keys, level, F.coalesce("matched", level).alias("matched"))
+
+
 def turned(rgb: np.ndarray) -> list[np.ndarray]:
     """The eight turns and mirrored turns of an image (M9)."""
     return [np.rot90(side, k) for side in (rgb, rgb[:, ::-1]) for k in range(4)]

@@ -212,6 +212,24 @@ TILES_SQL = """WITH s AS (SELECT n_nationkey AS slide, n_nationkey * 37 + 300 AS
 SELECT slide, (i * 224)::INT AS x, (j * 224)::INT AS y, j * ceil(w / 224.0)::BIGINT + i AS tile FROM s, range(10) a(i), range(10) b(j) WHERE i * 224 < w AND j * 224 < h"""
 
 
+def matched(spark: SparkSession, d: str) -> DataFrame:
+    """M8: values of views as bytes, brought to the histogram and to the mean and deviation of purchases, by user mod 3."""
+    e = read(spark, d, "events").select("event_id", "event_type", (F.col("user_id") % 3).alias("channel"), F.least(F.floor("value"), F.lit(255)).cast("int").alias("level"))
+    content, reference = e.filter("event_type = 'view'"), e.filter("event_type = 'purchase'")
+    stats = lambda rows, p: rows.groupBy("channel").agg(F.round(F.avg("level"), 6).alias(f"{p}m"), F.round(F.stddev_pop("level"), 6).alias(f"{p}s"))
+    out = content.join(P.level_map(content, reference, ["channel"], "level"), ["channel", "level"]).join(stats(content, "c"), "channel").join(stats(reference, "r"), "channel")
+    moved = P.aligned(F.col("level").cast("double"), F.col("cm"), F.col("cs"), F.col("rm"), F.col("rs"), 0.8)
+    return out.select("event_id", "channel", "level", "matched", moved.alias("aligned"))
+
+
+MATCHED_SQL = """WITH e AS (SELECT event_id, event_type AS t, user_id % 3 AS channel, least(floor(value), 255)::INT AS level FROM events),
+h AS (SELECT t, channel, level, sum(count(*)) OVER (PARTITION BY t, channel ORDER BY level) AS c, sum(count(*)) OVER (PARTITION BY t, channel) AS n FROM e GROUP BY t, channel, level),
+m AS (SELECT a.channel, a.level, min(b.level) AS matched FROM h a JOIN h b ON a.channel = b.channel AND a.t = 'view' AND b.t = 'purchase' AND a.c * b.n <= b.c * a.n GROUP BY ALL),
+s AS (SELECT t, channel, round(avg(level), 6) AS m, round(stddev_pop(level), 6) AS s FROM e GROUP BY t, channel)
+SELECT event_id, channel, level, matched, floor(greatest(0.0, least(255.0, 0.8::DOUBLE * ((level - c.m) / (c.s + 1e-8) * r.s + r.m) + (1 - 0.8::DOUBLE) * level)))::INT AS aligned
+FROM e JOIN m USING (channel, level) JOIN s c ON c.channel = e.channel AND c.t = 'view' JOIN s r ON r.channel = e.channel AND r.t = 'purchase' WHERE e.t = 'view'"""
+
+
 def encoded(spark: SparkSession, d: str) -> DataFrame:
     """Bytes as base64 text, on one line."""
     return read(spark, d, "pages").select("page_id", F.translate(F.base64(F.encode("html", "UTF-8")), "\r\n", "").alias("encoded"))
@@ -248,9 +266,9 @@ JSON_SQL = "SELECT o_orderkey, to_json({'key': o_orderkey, 'status': o_orderstat
 QUERIES = {
     "w12_mining_loop": mined,
     "j15_token_pool": token_pool, "j16_grid_lookup": grid_lookup, "v7_attention": attention, "o2_top_tokens": top_tokens, "a18_map_aggregates": maps, "g11_smoothed": smoothed, "g13_entropy_drop": entropy_drop,
-    "g8_mask_axes": axes, "g4_iou": ious, "a27_region_stats": region_stats, "e17_coverage": coverage, "j7_aligned": aligned, "f8_classifier_gate": gated, "s1_tile_grid": tiles, "t22_base64": encoded, "m9_shift_grid": shifted, "k18_crop_names": crop_names, "n4_json_rows": json_rows,
+    "g8_mask_axes": axes, "g4_iou": ious, "a27_region_stats": region_stats, "e17_coverage": coverage, "j7_aligned": aligned, "f8_classifier_gate": gated, "s1_tile_grid": tiles, "t22_base64": encoded, "m9_shift_grid": shifted, "k18_crop_names": crop_names, "n4_json_rows": json_rows, "m8_matched_levels": matched,
 }
 ORACLES = {
     "j15_token_pool": POOL_SQL, "j16_grid_lookup": LOOKUP_SQL, "v7_attention": ATTENTION_SQL, "o2_top_tokens": TOP_SQL, "a18_map_aggregates": MAPS_SQL, "g11_smoothed": SMOOTH_SQL, "g13_entropy_drop": DROP_SQL,
-    "g8_mask_axes": AXES_SQL, "g4_iou": IOU_SQL, "a27_region_stats": STATS_SQL, "e17_coverage": COVERAGE_SQL, "j7_aligned": ALIGNED_SQL, "f8_classifier_gate": GATED_SQL, "s1_tile_grid": TILES_SQL, "t22_base64": ENCODED_SQL, "m9_shift_grid": SHIFTED_SQL, "k18_crop_names": NAMES_SQL, "n4_json_rows": JSON_SQL,
+    "g8_mask_axes": AXES_SQL, "g4_iou": IOU_SQL, "a27_region_stats": STATS_SQL, "e17_coverage": COVERAGE_SQL, "j7_aligned": ALIGNED_SQL, "f8_classifier_gate": GATED_SQL, "s1_tile_grid": TILES_SQL, "t22_base64": ENCODED_SQL, "m9_shift_grid": SHIFTED_SQL, "k18_crop_names": NAMES_SQL, "n4_json_rows": JSON_SQL, "m8_matched_levels": MATCHED_SQL,
 }
