@@ -53,13 +53,34 @@ def first_violation(boxes: DataFrame, regions: DataFrame, key: str, region: str,
     return region_hits(boxes, regions, key, region, slide).groupBy(key, slide).agg(F.min(region).alias(region))
 
 
-def region_pairs(left: DataFrame, right: DataFrame, slide: str = "slide") -> DataFrame:
-    """Region pairs on shared slides with overlap area and its share of the smaller."""
-    b = right.select(slide, F.col("region").alias("other"), *[F.col(c).alias(f"r_{c}") for c in ("x1", "y1", "x2", "y2")])
-    pairs = left.join(b, slide).filter(G.intersects(G.box(), G.box("r_")))
+def region_pairs(left: DataFrame, right: DataFrame, slide: str = "slide", cell: int = 2048) -> DataFrame:
+    """Region pairs on shared slides with overlap area and its share of the smaller (J3, G3), by grid cells."""
+    pairs = region_hits(left, right.withColumnRenamed("region", "other"), "region", "other", slide, cell=cell)
     return pairs.select(slide, "region", "other", G.overlap_area(G.box(), G.box("r_")).alias("overlap"), F.round(G.overlap_percent(G.box(), G.box("r_")), 6).alias("overlap_pct"))
 
 
+def verify_splits(samples: DataFrame, test_regions: DataFrame, other_regions: DataFrame, key: str, slide: str = "slide", split: str = "split", cell: int = 2048) -> DataFrame:
+    """``check``, ``critical``, ``violations``, ``passed``, a row for each check and one for the verdict.
+
+    Critical are train samples that meet a test region of their slide, val samples that do, and keys of a slide that are in
+    both; the verdict is that none of them is violated.  Pairs of overlapping regions of the two test sets are told only.
+    Samples without bounds meet no region; ``split`` is train or val.
+    """
+    boxes = samples.filter(F.col("x1").isNotNull() & F.col("y1").isNotNull() & F.col("x2").isNotNull() & F.col("y2").isNotNull())
+    hits = region_hits(boxes.withColumn("_key", F.struct(key, split)), test_regions, "_key", "region", slide, cell=cell).select(slide, "_key").distinct()
+    met = hits.groupBy(F.col(f"_key.{split}").alias("split")).agg(F.count(F.lit(1)).alias("n"))
+    both = samples.groupBy(slide, key).agg(F.count_distinct(split).alias("n")).filter("n > 1")
+    counts = (
+        met.select(F.concat(F.col("split"), F.lit("_vs_test")).alias("check"), "n")
+        .unionByName(both.agg(F.count(F.lit(1)).alias("n")).withColumn("check", F.lit("train_vs_val")))
+        .unionByName(region_pairs(test_regions, other_regions, slide, cell).agg(F.count(F.lit(1)).alias("n")).withColumn("check", F.lit("test_vs_test")))
+    )
+    names = samples.sparkSession.createDataFrame([("train_vs_test", True), ("val_vs_test", True), ("train_vs_val", True), ("test_vs_test", False)], "check string, critical boolean")
+    checks = names.join(F.broadcast(counts), "check", "left").select("check", "critical", F.coalesce("n", F.lit(0)).alias("violations"))
+    verdict = checks.filter("critical").agg(F.sum("violations").cast("long").alias("violations")).select(F.lit("verdict").alias("check"), F.lit(True).alias("critical"), "violations")
+    return checks.unionByName(verdict).withColumn("passed", F.col("violations") == 0)
+
+
 def iqr_filter(boxes: DataFrame, group: Sequence[str], size: Sequence[str], least: float = 0.0, k: float = 1.0) -> DataFrame:
     """Rows with every size within the quartiles widened by k times their distance."""
     stats = [F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"_q_{c}") for c in size]

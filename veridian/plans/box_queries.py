@@ -76,6 +76,22 @@ OVERLAPS_SQL = f"""WITH b AS ({_regions()}), r AS ({_regions(250)}), o AS (SELEC
 SELECT slide, region, other, overlap, round(100.0::DOUBLE * overlap / (600 * 500), 6) AS overlap_pct FROM o"""
 
 
+def split_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Detections of even orders as train, of odd ones as val, some in both; suppliers' regions as test sets."""
+    b = detections(spark, d).withColumn("split", F.when(F.floor(F.col("id") / 100) % 2 == 0, "train").otherwise("val"))
+    again = b.filter("id % 7 = 0").withColumn("split", F.when(F.col("split") == "train", "val").otherwise("train"))
+    return S.verify_splits(b.unionByName(again), regions(spark, d), regions(spark, d, 250), "id")
+
+
+CHECKS_SQL = f"""WITH d AS ({DETECTIONS}), b AS (SELECT *, CASE WHEN id // 100 % 2 = 0 THEN 'train' ELSE 'val' END AS split FROM d UNION ALL SELECT *, CASE WHEN id // 100 % 2 = 0 THEN 'val' ELSE 'train' END FROM d WHERE id % 7 = 0),
+r AS ({_regions()}), o AS ({_regions(250)}),
+m AS (SELECT split, count(*) AS n FROM (SELECT DISTINCT b.slide, b.id, b.split FROM b JOIN r ON r.slide = b.slide AND {HIT.format(m=0)}) GROUP BY split),
+c AS (SELECT split || '_vs_test' AS "check", true AS critical, n AS violations FROM m
+ UNION ALL SELECT 'train_vs_val', true, count(*) FROM (SELECT slide, id FROM b GROUP BY slide, id HAVING count(DISTINCT split) > 1)
+ UNION ALL SELECT 'test_vs_test', false, count(*) FROM (SELECT b.region FROM r b JOIN o r ON r.slide = b.slide AND {HIT.format(m=0)}))
+SELECT *, violations = 0 AS passed FROM (SELECT * FROM c UNION ALL SELECT 'verdict', true, sum(violations)::BIGINT FROM c WHERE critical)"""
+
+
 def size_filter(spark: SparkSession, d: str) -> DataFrame:
     b = detections(spark, d).withColumn("w", (F.col("x2") - F.col("x1")).cast("double")).withColumn("h", (F.col("y2") - F.col("y1")).cast("double"))
     return S.iqr_filter(b, ["slide"], ["w", "h"], 10.0).select("id", "slide", "w", "h")
@@ -215,6 +231,7 @@ QUERIES = {
     "p2_crop_windows": crops,
     "g9_median_density": density,
     "w8_greedy_nms": nms,
+    "e15_split_checks": split_checks,
     "a13_detection_scores": detection_scores,
 }
 ORACLES = {
@@ -232,4 +249,5 @@ ORACLES = {
     "g9_median_density": DENSITY_SQL,
     "a13_detection_scores": SCORES_SQL,
     "w8_greedy_nms": NMS_SQL,
+    "e15_split_checks": CHECKS_SQL,
 }

@@ -208,6 +208,23 @@ SELECT nth::VARCHAR AS turn_no, CASE WHEN grouping(nth) = 0 THEN 'turn_no' ELSE
   count(*) FILTER (WHERE in_a AND NOT in_b) AS only_a, count(*) FILTER (WHERE in_b AND NOT in_a) AS only_b FROM p GROUP BY GROUPING SETS ((), (nth))"""
 
 
+def last_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Two turns of a role share a key; the last one counts, the others are told."""
+    keys = ["conv_id", "pair"]
+    a, b = (A.last_of_each(side.withColumn("pair", F.floor(F.col("nth") / 2)), keys, "nth") for side in _sides(spark, d))
+    told = a.select(*keys, F.col("duplicates").alias("duplicates_a")).join(b.select(*keys, F.col("duplicates").alias("duplicates_b")), keys, "full_outer")
+    pairs = A.with_jaccard(A.pair_join(a, b, keys, "text")).join(told, keys)
+    return pairs.select(*keys, "matched", F.round("jaccard", 6).alias("jaccard"), F.coalesce("duplicates_a", F.lit(0)).alias("duplicates_a"), F.coalesce("duplicates_b", F.lit(0)).alias("duplicates_b"))
+
+
+LAST_PAIRS_SQL = f"""WITH n AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS nth FROM conversations WHERE role IN ('user', 'assistant')),
+k AS (SELECT conv_id, nth // 2 AS pair, role, arg_max(text, nth) AS text, count(*) - 1 AS duplicates FROM n GROUP BY ALL),
+j AS (SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.pair, b.pair) AS pair, a.text AS ta, b.text AS tb, a.conv_id IS NOT NULL AND b.conv_id IS NOT NULL AS matched, coalesce(a.duplicates, 0) AS duplicates_a, coalesce(b.duplicates, 0) AS duplicates_b
+ FROM (SELECT * FROM k WHERE role = 'user') a FULL JOIN (SELECT * FROM k WHERE role = 'assistant') b USING (conv_id, pair)),
+s AS (SELECT *, list_distinct({TOKENS.format("ta")}) AS wa, list_distinct({TOKENS.format("tb")}) AS wb FROM j)
+SELECT conv_id, pair, matched, round(CASE WHEN matched AND len(wa) > 0 AND len(wb) > 0 THEN len(list_intersect(wa, wb)) / len(list_distinct(wa || wb))::DOUBLE END, 6) AS jaccard, duplicates_a, duplicates_b FROM s"""
+
+
 def vocabulary_matrix(spark: SparkSession, d: str) -> DataFrame:
     pairs = A.group_vocabulary_pairs(read(spark, d, "documents"), "text", "source")
     return A.symmetric_matrix(pairs, "a", "b", "jaccard").select("a", "b", F.round("jaccard", 6).alias("jaccard"))
@@ -255,6 +272,7 @@ QUERIES = {
     "t13_string_functions": string_functions,
     "t15_prompts": prompts,
     "j4_pair_agreement": pair_report,
+    "j4_last_pairs": last_pairs,
     "a11_vocabulary_matrix": vocabulary_matrix,
     "r9_shuffled_control": shuffled_control,
 }
@@ -274,6 +292,7 @@ ORACLES = {
     "t13_string_functions": STRINGS_SQL,
     "t15_prompts": PROMPTS_SQL,
     "j4_pair_agreement": PAIR_REPORT_SQL,
+    "j4_last_pairs": LAST_PAIRS_SQL,
     "a11_vocabulary_matrix": MATRIX_SQL,
     "r9_shuffled_control": CONTROL_SQL,
 }
