@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from veridian import registry
 from veridian.operators import pixels as P
 from veridian.operators import spatial as S
 
@@ -123,3 +124,52 @@ def test_fits_of_groups_and_gates(spark):
     assert all(p == (d <= low) and n == (d >= high) for d, p, n in gates[1] if d == d)
     assert not any(p or n for g in (3, 4) for _, p, n in gates[g])
     assert S.edge_fits(df.limit(0), ["g"], "d").count() == 0
+
+
+def test_image_kernels_against_plain_loops():
+    draw = np.random.default_rng(1)
+    g = draw.integers(0, 256, (19, 23)).astype(np.uint8)
+    inside = lambda i, n: max(0, min(n - 1, i))
+    # blur of five, borders mirrored without the border itself
+    w = np.array([1, 4, 6, 4, 1]) / 16
+    mirror = lambda i, n: -i if i < 0 else 2 * n - 2 - i if i >= n else i
+    plain = [[sum(w[a] * w[b] * float(g[mirror(i + a - 2, 19), mirror(j + b - 2, 23)]) for a in range(5) for b in range(5)) for j in range(23)] for i in range(19)]
+    assert np.allclose(P.weighted_mean(g, w, "reflect"), plain)
+    # local threshold
+    k = np.exp(-0.5 * ((np.arange(11) - 5) / 2.0) ** 2)
+    k /= k.sum()
+    means = [[sum(k[a] * k[b] * float(g[inside(i + a - 5, 19), inside(j + b - 5, 23)]) for a in range(11) for b in range(11)) for j in range(23)] for i in range(19)]
+    assert (P.edges(g) == (g <= np.rint(means) - 2)).all()
+    # closing
+    mask = draw.random((19, 23)) < 0.2
+    for size in (3, 4):
+        lo, hi = size // 2, size - 1 - size // 2
+        grown = {(i, j) for i in range(19) for j in range(23) if any(0 <= i + a < 19 and 0 <= j + b < 23 and mask[i + a, j + b] for a in range(-lo, hi + 1) for b in range(-lo, hi + 1))}
+        shrunk = {(i, j) for i in range(19) for j in range(23) if all((i + a, j + b) in grown or not (0 <= i + a < 19 and 0 <= j + b < 23) for a in range(-hi, lo + 1) for b in range(-hi, lo + 1))}
+        assert {tuple(map(int, p)) for p in np.argwhere(P.closed(mask, size))} == shrunk and (P.closed(mask, size) | ~mask).all()
+    ring = np.zeros((9, 9), bool)
+    ring[2:7, 2:7] = True
+    ring[3:6, 3:6] = False
+    assert P.without_holes(ring).sum() == 25
+    ring[2, 4] = False
+    assert P.without_holes(ring).sum() == 15
+
+
+def test_equalisation_by_tiles():
+    draw = np.random.default_rng(2)
+    g = (draw.integers(0, 40, (32, 32)) + 100).astype(np.uint8)
+    out = P.equalised(g, 4, 40.0)
+    assert out.shape == g.shape and int(out.max()) - int(out.min()) > 200  # contrast spread over all levels
+    # the middle of a tile corner region depends on that tile alone: plain equalisation of the first tile
+    tile = g[:8, :8]
+    level = {v: (tile <= v).sum() * 255 / 64 for v in np.unique(tile)}
+    assert abs(int(out[0, 0]) - level[g[0, 0]]) <= 1 and abs(int(out[3, 3]) - level[g[3, 3]]) <= 1
+    flat = P.equalised(np.full((16, 16), 9, np.uint8))
+    assert len(np.unique(flat)) == 1
+
+
+def test_round_grains_follow_their_axes(spark):
+    got = {r.p_partkey: r for r in registry.QUERIES["f16_round_grains"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == 200
+    for k, r in got.items():
+        assert r.circular == (k % 3 < 2 and k % 7 > 0), (k, r)

@@ -85,19 +85,83 @@ def refined_box(rgb: np.ndarray, box: tuple[int, int, int, int]) -> tuple[int, i
     return int(box[0] + left), int(box[1] + top), int(box[0] + right), int(box[1] + bottom)
 
 
+def equalised(g: np.ndarray, tiles: int = 8, clip: float = 2.0) -> np.ndarray:
+    """Grey levels equalised tile by tile: histograms are cut at ``clip`` times their mean, what is cut is spread evenly, and a pixel's level is interpolated between the four tiles around it (F16)."""
+    high, wide = (-(-n // tiles) for n in g.shape)
+    full = np.pad(g, ((0, high * tiles - g.shape[0]), (0, wide * tiles - g.shape[1])), mode="symmetric")
+    row, col = np.arange(full.shape[0]) // high, np.arange(full.shape[1]) // wide
+    count = np.bincount(((row[:, None] * tiles + col) * 256 + full).ravel(), minlength=tiles * tiles * 256).reshape(-1, 256)
+    limit = max(1, int(clip * high * wide / 256))
+    over = np.maximum(count - limit, 0).sum(axis=1)
+    level = np.cumsum(np.minimum(count, limit) + over[:, None] / 256.0, axis=1).reshape(tiles, tiles, 256) * (255.0 / (high * wide))
+
+    def around(n: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = (np.arange(n) + 0.5) / size - 0.5
+        low = np.floor(at).astype(int)
+        return np.clip(low, 0, tiles - 1), np.clip(low + 1, 0, tiles - 1), at - low
+
+    (y0, y1, fy), (x0, x1, fx) = around(g.shape[0], high), around(g.shape[1], wide)
+    fy, fx = fy[:, None], fx[None, :]
+    of = lambda y, x: level[y[:, None], x[None, :], g]
+    mixed = (of(y0, x0) * (1 - fx) + of(y0, x1) * fx) * (1 - fy) + (of(y1, x0) * (1 - fx) + of(y1, x1) * fx) * fy
+    return np.clip(np.rint(mixed), 0, 255).astype(np.uint8)
+
+
+def weighted_mean(g: np.ndarray, weights: np.ndarray, border: str) -> np.ndarray:
+    """Separable weighted mean around every pixel."""
+    reach = len(weights) // 2
+    out = np.pad(g.astype(np.float64), reach, mode=border)
+    for axis in (0, 1):
+        n = out.shape[axis] - 2 * reach
+        out = sum(w * np.take(out, np.arange(i, i + n), axis=axis) for i, w in enumerate(weights))
+    return out
+
+
+def edges(g: np.ndarray, block: int = 11, below: float = 2.0) -> np.ndarray:
+    """Pixels at least ``below`` levels darker than the Gaussian mean of the block around them (F16)."""
+    sigma = 0.3 * ((block - 1) * 0.5 - 1) + 0.8
+    w = np.exp(-0.5 * ((np.arange(block) - block // 2) / sigma) ** 2)
+    return g <= np.rint(weighted_mean(g, w / w.sum(), "edge")) - below
+
+
+def closed(mask: np.ndarray, size: int) -> np.ndarray:
+    """The mask grown and shrunk by a square of ``size``; the outside of the image neither grows nor shrinks it (F16)."""
+    near = (size // 2, size - 1 - size // 2)
+    grow = lambda m, fill, ends: np.lib.stride_tricks.sliding_window_view(np.pad(m, (ends, ends), constant_values=fill), (size, size))
+    return grow(grow(mask, False, near).any(axis=(2, 3)), True, near[::-1]).all(axis=(2, 3))
+
+
+def without_holes(mask: np.ndarray) -> np.ndarray:
+    """The mask and all that it encloses: what the outside does not reach through sides of pixels."""
+    outside = np.pad(np.zeros_like(mask), 1, constant_values=True)
+    free = np.pad(~mask, 1, constant_values=True)
+    while True:
+        wide = outside.copy()
+        wide[1:] |= outside[:-1]
+        wide[:-1] |= outside[1:]
+        wide[:, 1:] |= outside[:, :-1]
+        wide[:, :-1] |= outside[:, 1:]
+        wide &= free
+        if (wide == outside).all():
+            return ~outside[1:-1, 1:-1]
+        outside = wide
+
+
 def circular(rgb: np.ndarray, centre: float = 0.1, ratio: tuple[float, float] = (0.85, 1.15), cover: tuple[float, float] = (0.2, 0.8), least: int = 500) -> bool:
-    """Parts of ``least`` pixels together: centred, with nearly equal second-moment axes and a coverage in range (F16).
+    """Whether what the closed edges enclose is round: centred, with nearly equal axes and a coverage in range (F16).
 
-    The mask is Otsu's; contrast equalisation and closing of edges are left to the caller.
+    Contrast is equalised, blurred and parted from its surroundings, edges are closed by a fiftieth of the smaller side (three pixels
+    at least), and enclosed parts of ``least`` pixels count together.  The ratio is the longer second-moment axis over the shorter one.
     """
-    label = parts(object_mask(rgb))
+    mask = closed(edges(np.rint(weighted_mean(equalised(grey(rgb)), np.array([1, 4, 6, 4, 1]) / 16, "reflect"))), max(3, min(rgb.shape[:2]) // 50))
+    label = parts(without_holes(mask))
     n = np.bincount(label.ravel())
     at = np.argwhere(np.isin(label, np.flatnonzero(n >= least)) & (label > 0))
     size = np.array(rgb.shape[:2])
-    if not len(at) or (np.abs(at.mean(axis=0) - size / 2) / size > centre).any():
+    if not len(at) or (np.abs(np.argwhere(mask).mean(axis=0) - size / 2) / size > centre).any():
         return False
     low, high = np.sqrt(np.maximum(np.linalg.eigvalsh(np.cov(at.T, bias=True)), 0))
-    return bool(high > 0 and ratio[0] <= low / high <= ratio[1] and cover[0] <= len(at) / label.size <= cover[1])
+    return bool(low > 0 and ratio[0] <= high / low <= ratio[1] and cover[0] <= len(at) / label.size <= cover[1])
 
 
 def normalised(rgb: np.ndarray, mean: np.ndarray, std: np.ndarray) -> np.ndarray:

@@ -6,6 +6,7 @@ Token = vec_id on slide vec_id mod 5; a similarity map is a vector's 64 componen
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -212,6 +213,26 @@ TILES_SQL = """WITH s AS (SELECT n_nationkey AS slide, n_nationkey * 37 + 300 AS
 SELECT slide, (i * 224)::INT AS x, (j * 224)::INT AS y, j * ceil(w / 224.0)::BIGINT + i AS tile FROM s, range(10) a(i), range(10) b(j) WHERE i * 224 < w AND j * 224 < h"""
 
 
+def _grains(frames):
+    """An image of 72 pixels for each part: an ellipse whose axes, shade and place come from the row."""
+    y, x = np.mgrid[:72, :72]
+    for part in frames:
+        rows = []
+        for key, size, price in zip(part["p_partkey"], part["p_size"], part["p_retailprice"]):
+            a, b = 20 + size % 7, (20 + size % 7) * (1.0, 1.05, 1.4)[key % 3]
+            inside = ((x - 36 - (0, 14)[key % 7 == 0]) / a) ** 2 + ((y - 36) / b) ** 2 <= 1
+            grey = np.where(inside, 90 + int(price) % 40, 220) + (x * 7 + y * 13 + key) % 5
+            rows.append((key, 72, 72, np.repeat(grey.astype(np.uint8)[:, :, None], 3, axis=2).tobytes()))
+        yield pd.DataFrame(rows, columns=["p_partkey", "height", "width", "pixels"])
+
+
+def round_grains(spark: SparkSession, d: str) -> DataFrame:
+    """Which images hold a centred, regular and round grain."""
+    images = read(spark, d, "part").select("p_partkey", "p_size", "p_retailprice").mapInPandas(_grains, "p_partkey long, height int, width int, pixels binary")
+    tests = {"centred": P.centred, "regular": P.regular, "circular": P.circular}
+    return P.with_test(images, "p_partkey", lambda rgb: [bool(t(rgb)) for t in tests.values()], "array<boolean>").select("p_partkey", *(F.col("result")[i].alias(n) for i, n in enumerate(tests)))
+
+
 def matched(spark: SparkSession, d: str) -> DataFrame:
     """M8: values of views as bytes, brought to the histogram and to the mean and deviation of purchases, by user mod 3."""
     e = read(spark, d, "events").select("event_id", "event_type", (F.col("user_id") % 3).alias("channel"), F.least(F.floor("value"), F.lit(255)).cast("int").alias("level"))
@@ -265,6 +286,7 @@ JSON_SQL = "SELECT o_orderkey, to_json({'key': o_orderkey, 'status': o_orderstat
 
 QUERIES = {
     "w12_mining_loop": mined,
+    "f16_round_grains": round_grains,
     "j15_token_pool": token_pool, "j16_grid_lookup": grid_lookup, "v7_attention": attention, "o2_top_tokens": top_tokens, "a18_map_aggregates": maps, "g11_smoothed": smoothed, "g13_entropy_drop": entropy_drop,
     "g8_mask_axes": axes, "g4_iou": ious, "a27_region_stats": region_stats, "e17_coverage": coverage, "j7_aligned": aligned, "f8_classifier_gate": gated, "s1_tile_grid": tiles, "t22_base64": encoded, "m9_shift_grid": shifted, "k18_crop_names": crop_names, "n4_json_rows": json_rows, "m8_matched_levels": matched,
 }
