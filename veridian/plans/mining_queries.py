@@ -24,7 +24,9 @@ from veridian.operators.text_stats import running_stats
 from veridian.plans import box_queries as B
 from veridian.plans import vector_queries as V
 from veridian.sources.readers import tile_grid
+from veridian.session import scratch
 from veridian.sources.tables import read
+from veridian.sources.tiles import read_tiles, write_lines
 
 
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -213,6 +215,27 @@ TILES_SQL = """WITH s AS (SELECT n_nationkey AS slide, n_nationkey * 37 + 300 AS
 SELECT slide, (i * 224)::INT AS x, (j * 224)::INT AS y, j * ceil(w / 224.0)::BIGINT + i AS tile FROM s, range(10) a(i), range(10) b(j) WHERE i * 224 < w AND j * 224 < h"""
 
 
+def tile_pixels(spark: SparkSession, d: str) -> DataFrame:
+    """S1, S2, U-UDF: vectors as lines of 64 grey pixels of their label's image; its tiles without the first column of them, negative."""
+    level = lambda v: F.lpad(F.hex(F.floor((v + 1) * 127).cast("int")), 2, "0")
+    line = F.unhex(F.array_join(F.transform("embedding", lambda v: F.repeat(level(v), 3)), ""))
+    y = F.row_number().over(W.partitionBy("label", F.floor(F.col("vec_id") / 1000)).orderBy("vec_id")) - 1
+    lines = V.corpus(spark, d).select(F.concat_ws("-", "label", F.floor(F.col("vec_id") / 1000)).alias("slide"), y.alias("y"), F.lit(64).alias("width"), line.alias("pixels"))
+    folder = scratch(spark, "lines")
+    write_lines(lines, folder)
+    tiles = read_tiles(spark, folder, 24, 4, (3, 2, 1000, 1000), transforms=[lambda image: 255 - image]).filter("x > 3")
+    key = F.struct("slide", "tile", "x", "y")
+    sums = P.with_test(tiles.select(F.to_json(key).alias("key"), "height", "width", "pixels"), "key", lambda image: int(image.sum()), "long", "total")
+    return sums.select(F.from_json("key", "slide string, tile long, x int, y int").alias("k"), "total").select("k.*", "total")
+
+
+TILE_PIXELS_SQL = f"""WITH l AS (SELECT label || '-' || vec_id // 1000 AS slide, row_number() OVER (PARTITION BY label, vec_id // 1000 ORDER BY vec_id) - 1 AS y, embedding FROM ({V.CORPUS})),
+p AS (SELECT slide, y, unnest(range(0, 64)) AS x, unnest(embedding) AS v FROM l), h AS (SELECT slide, max(y) + 1 AS high FROM l GROUP BY slide),
+t AS (SELECT slide, high, (i + 4 * j)::BIGINT AS tile, 3 + 20 * i AS tx, 2 + 20 * j AS ty FROM h, range(4) a(i), range(200) b(j) WHERE 2 + 20 * j < high AND i > 0),
+s AS (SELECT t.slide, tile, tx, ty, sum(floor((v + 1) * 127)) AS dark FROM t JOIN p ON p.slide = t.slide AND x >= tx AND x < tx + 24 AND y >= ty AND y < ty + 24 GROUP BY ALL)
+SELECT slide, tile, tx::INT AS x, ty::INT AS y, (3 * (255 * 24 * 24 - dark))::BIGINT AS total FROM s"""
+
+
 def _grains(frames):
     """An image of 72 pixels for each part: an ellipse whose axes, shade and place come from the row."""
     y, x = np.mgrid[:72, :72]
@@ -288,9 +311,9 @@ QUERIES = {
     "w12_mining_loop": mined,
     "f16_round_grains": round_grains,
     "j15_token_pool": token_pool, "j16_grid_lookup": grid_lookup, "v7_attention": attention, "o2_top_tokens": top_tokens, "a18_map_aggregates": maps, "g11_smoothed": smoothed, "g13_entropy_drop": entropy_drop,
-    "g8_mask_axes": axes, "g4_iou": ious, "a27_region_stats": region_stats, "e17_coverage": coverage, "j7_aligned": aligned, "f8_classifier_gate": gated, "s1_tile_grid": tiles, "t22_base64": encoded, "m9_shift_grid": shifted, "k18_crop_names": crop_names, "n4_json_rows": json_rows, "m8_matched_levels": matched,
+    "g8_mask_axes": axes, "g4_iou": ious, "a27_region_stats": region_stats, "e17_coverage": coverage, "j7_aligned": aligned, "f8_classifier_gate": gated, "s1_tile_grid": tiles, "s1_tile_pixels": tile_pixels, "t22_base64": encoded, "m9_shift_grid": shifted, "k18_crop_names": crop_names, "n4_json_rows": json_rows, "m8_matched_levels": matched,
 }
 ORACLES = {
     "j15_token_pool": POOL_SQL, "j16_grid_lookup": LOOKUP_SQL, "v7_attention": ATTENTION_SQL, "o2_top_tokens": TOP_SQL, "a18_map_aggregates": MAPS_SQL, "g11_smoothed": SMOOTH_SQL, "g13_entropy_drop": DROP_SQL,
-    "g8_mask_axes": AXES_SQL, "g4_iou": IOU_SQL, "a27_region_stats": STATS_SQL, "e17_coverage": COVERAGE_SQL, "j7_aligned": ALIGNED_SQL, "f8_classifier_gate": GATED_SQL, "s1_tile_grid": TILES_SQL, "t22_base64": ENCODED_SQL, "m9_shift_grid": SHIFTED_SQL, "k18_crop_names": NAMES_SQL, "n4_json_rows": JSON_SQL, "m8_matched_levels": MATCHED_SQL,
+    "g8_mask_axes": AXES_SQL, "g4_iou": IOU_SQL, "a27_region_stats": STATS_SQL, "e17_coverage": COVERAGE_SQL, "j7_aligned": ALIGNED_SQL, "f8_classifier_gate": GATED_SQL, "s1_tile_grid": TILES_SQL, "s1_tile_pixels": TILE_PIXELS_SQL, "t22_base64": ENCODED_SQL, "m9_shift_grid": SHIFTED_SQL, "k18_crop_names": NAMES_SQL, "n4_json_rows": JSON_SQL, "m8_matched_levels": MATCHED_SQL,
 }
