@@ -55,14 +55,18 @@ def text_representatives(queries: DataFrame, relevant: DataFrame, mode: str) ->
     return queries.join(left.groupBy(*by).agg(F.min("slide").alias("slide")).select("slide"), "slide", "left_semi")
 
 
+def slides_of(corpus: DataFrame) -> DataFrame:
+    """slide, species (of its first key), n of a corpus (slide, species, key)."""
+    return corpus.groupBy("slide").agg(F.min_by("species", "key").alias("species"), F.count(F.lit(1)).alias("n"))
+
+
 def pool_composition(searched: DataFrame, query: Sequence[str]) -> DataFrame:
     """For each query, the slides it searched with species, rows and whether they are its target.
 
-    ``searched`` has (query columns, slide, species, key, excluded, target): every corpus row for every query.
+    ``searched`` has (query columns, slide, species, n, excluded, target): every slide of the corpus (:func:`slides_of`) for every query.
     """
-    each = searched.groupBy(*query, "slide").agg(F.min_by("species", "key").alias("species"), F.max("excluded").alias("excluded"), F.count(F.lit(1)).alias("n"), F.first("target").alias("target"))
     kept, is_target = ~F.col("excluded"), F.col("species") == F.col("target")
-    return each.groupBy(*query).agg(
+    return searched.groupBy(*query).agg(
         F.sum(F.when(kept, F.col("n")).otherwise(0)).alias("n_corpus_searched"),
         F.sum(F.when(~kept, F.col("n")).otherwise(0)).alias("n_excluded"),
         F.count_if(kept).alias("n_probed_slides"),

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veridian.functions.draws import draw
+from veridian.operators.tables import numbered
 from veridian.sources.stages import written
 
 
@@ -196,11 +197,14 @@ def budget_sample(rows: DataFrame, group: str, key: str, total: int, seed: int =
 
 
 def shuffled_labels(rows: DataFrame, label: str, key: str, group: Sequence[str], seed: int) -> DataFrame:
-    """Labels permuted within the group."""
-    by = W.partitionBy(*group)
-    a = rows.drop(label).withColumn("_n", F.row_number().over(by.orderBy(key)))
-    b = rows.select(*group, label, F.row_number().over(by.orderBy(draw(seed, F.col(key)), key)).alias("_n"))
-    return a.join(b, [*group, "_n"]).drop("_n")
+    """Labels permuted within the group (R8); ``key`` names a row.
+
+    Rows in the order of (group, key) meet labels in the order of (group, draw): a group has the same places in
+    both, so the numbers are of all rows and no group is ranked by one task.
+    """
+    a = numbered(rows.drop(label), [*group, key], "_n")
+    b = numbered(rows.select(*group, label, draw(seed, F.col(key)).alias("_draw"), F.col(key).alias("_key")), [*group, "_draw", "_key"], "_n")
+    return a.join(b.select("_n", label), "_n").drop("_n")
 
 
 def verify_split(samples: DataFrame, key: str, split_col: str = "split") -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from veridian.sources.stages import written
+
 
 def pending(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not done yet."""
@@ -120,6 +122,21 @@ def offsets(rows: DataFrame, order: str, length: Column, ranges: int = 64) -> Da
     return dealt.withColumn("_own", own).join(totals.select("_part", before.alias("_before")), "_part").select(*rows.columns, (F.col("_own") + F.col("_before")).alias("start"))
 
 
+def numbered(rows: DataFrame, order: Sequence[str | Column], name: str = "number") -> DataFrame:
+    """``rows`` with their place (from 0) in the order of all rows.
+
+    Ranges of the order are sorted by their own tasks and written; a row's place is its place in the range and the
+    number of rows before that, one count for each range.  No window covers all rows.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    ranged = written(ranged, "ranged").withColumn("_range", F.shiftright("_id", 33))
+    heads = ranged.groupBy("_range").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    heads = heads.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n") - F.col("_first")).alias("_shift"))
+    # one row for each partition
+    return ranged.join(F.broadcast(heads), "_range").withColumn(name, F.col("_id") + F.col("_shift")).drop("_id", "_range", "_shift")
+
+
 def dense_labels(rows: DataFrame, label: str, unknown: str = "Unknown") -> DataFrame:
     """Class number of each label in order, the unknown class last."""
     names = rows.select(label).distinct()

@@ -75,11 +75,12 @@ SELECT slide, species, origin, n_grains, 'cross_regional' AS mode FROM r WHERE s
 def pools(spark: SparkSession, d: str) -> DataFrame:
     """A25 in mode full: a query meets neither its slide nor its siblings."""
     q = _queries(spark, d).select(F.col("slide").alias("query"), F.col("species").alias("target"), F.lit(0.0).alias("zero"))
-    rows = _corpus(spark, d).join(F.broadcast(q), F.lit(True))
+    # slides by queries: the corpus itself meets no query
+    rows = E.slides_of(_corpus(spark, d)).join(q, F.lit(True))
     pair = _siblings(spark, d).select(F.col("slide").alias("query"), F.col("sibling").alias("slide"), F.lit(True).alias("is_sibling"))
     rows = rows.join(pair, ["query", "slide"], "left")
     kept = R.exclusion("full", F.col("query"), F.col("slide"), F.lit(0), F.lit(0), F.coalesce("is_sibling", F.lit(False)))
-    pool = E.pool_composition(rows.select("query", "slide", "species", "key", "target", (~kept).alias("excluded")), ["query"])
+    pool = E.pool_composition(rows.select("query", "slide", "species", "n", "target", (~kept).alias("excluded")), ["query"])
     names = lambda c: F.array_join(F.transform(c, lambda s: s.cast("string")), ",")
     shown = F.array_join(F.transform("pool_composition", lambda r: F.concat_ws(":", r["slide"], r["species"], r["n"], r["is_target"])), ",")
     return pool.select("query", "n_corpus_searched", "n_excluded", "n_probed_slides", names("excluded_slides").alias("excluded_slides"), names("target_slides").alias("target_slides"), shown.alias("pool"))
