@@ -16,6 +16,7 @@ from veridian.operators import mining
 from veridian.operators import ranking as R
 from veridian.operators import sampling
 from veridian.operators import spatial as S
+from veridian.sources.stages import written
 from veridian.sources.tables import read
 
 SIZE, KS = 64, (1, 5, 10, 20)
@@ -164,8 +165,8 @@ SELECT round(avg(m), 4) AS mean, round(quantile_cont(m, 0.025), 4) AS low, round
 
 
 def control(spark: SparkSession, d: str) -> DataFrame:
-    """Mean reciprocal rank with real and shuffled labels."""
-    scored = _scored(spark, d, "all")
+    """Mean reciprocal rank with real and shuffled labels; the scores are written once for all of them."""
+    scored = written(_scored(spark, d, "all").select("q_label", "q_origin", "vec_id", "score", "relevant"), "scores")
     real = R.ranking_metrics(scored.select("q_label", "q_origin", "vec_id", "score", "relevant"), ["q_label", "q_origin"], "vec_id", KS).agg(F.avg("mrr").alias("real"))
     out = None
     for seed in (42, 123, 456):
