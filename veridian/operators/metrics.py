@@ -27,6 +27,17 @@ def class_report(rows: DataFrame, label: str = "label", pred: str = "pred") -> D
     return both.withColumn("f1", f1(F.col("precision"), F.col("recall")))
 
 
+def class_breakdown(rows: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
+    """``class``, ``count``, ``accuracy`` (x 100) and ``predicted_as``, a map of predictions and how often, for each class present in truth.
+
+    Rows without a label are left out; a missing prediction is the key ``null``, so predictions are told as text.
+    """
+    counts = rows.filter(F.col(label).isNotNull()).groupBy(label, pred).agg(F.count(F.lit(1)).alias("n"))
+    hits = F.sum(F.when(F.col(label) == F.col(pred), F.col("n")).otherwise(0))
+    told = F.array_sort(F.collect_list(F.struct(F.coalesce(F.col(pred).cast("string"), F.lit("null")).alias("key"), F.col("n").alias("value"))))
+    return counts.groupBy(F.col(label).alias("class")).agg(F.sum("n").alias("count"), (100.0 * hits / F.sum("n")).alias("accuracy"), F.map_from_entries(told).alias("predicted_as"))
+
+
 def overall(rows: DataFrame, label: str = "label", pred: str = "pred", top5: str | None = None) -> DataFrame:
     """Accuracy, macro and weighted scores."""
     report = class_report(rows, label, pred)

@@ -80,6 +80,13 @@ def group_overlap(rows: DataFrame, group: str, item: str) -> DataFrame:
     return a.join(b, item).filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
 
 
+def ranked_overlaps(pairs: DataFrame, a: str = "a", b: str = "b", shared: str = "shared") -> DataFrame:
+    """``rank`` and both directions of each pair of groups that share something, most first, ties by name."""
+    both = pairs.select(a, b, shared).unionByName(pairs.select(F.col(b).alias(a), F.col(a).alias(b), shared)).filter(F.col(shared) > 0)
+    # a row for each pair of groups
+    return both.withColumn("rank", F.row_number().over(W.orderBy(F.desc(shared), a, b)))
+
+
 def seed_summary(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Mean, standard error (0 for one seed) and count."""
     se = F.coalesce(F.stddev_samp(value) / F.sqrt(F.count(value)), F.lit(0.0))

@@ -313,6 +313,14 @@ OVERLAP_SQL = """WITH r AS (SELECT DISTINCT c_mktsegment AS g, l_partkey AS p FR
 SELECT a.g AS a, b.g AS b, count(*) AS shared FROM r a JOIN r b USING (p) WHERE a.g < b.g GROUP BY ALL"""
 
 
+def ranked_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return T.ranked_overlaps(overlap(spark, d))
+
+
+RANKED_SQL = f"""WITH o AS ({OVERLAP_SQL}), u AS (SELECT a, b, shared FROM o UNION ALL SELECT b, a, shared FROM o)
+SELECT a, b, shared, row_number() OVER (ORDER BY shared DESC, a, b)::INT AS rank FROM u WHERE shared > 0"""
+
+
 def taxonomy(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers with species, family, genus and class number."""
     n, r = read(spark, d, "nation"), read(spark, d, "region")
@@ -395,12 +403,12 @@ QUERIES = {
     "r1_group_split": split, "a20_split_counts": split_counts, "e15_split_verdict": split_verdict, "r6_capped_sample": capped, "r11_simple_sample": simple, "r3_balanced_resample": balanced, "r4_weighted_sample": weighted, "r5_budget_sample": budget, "r4_epoch_draws": epoch, "r5_audit_sample": audit,
     "w1_entropy_series": entropy, "w3_moving_averages": moving_average, "w10_reservoir": reservoir, "w5_status_share": status_share, "w4_confidence_average": confidence, "w6_flat_counter": flat_counter, "w7_stop_rules": stops,
     "a22_seed_summary": seeds, "k13_seed_columns": wide_seeds, "e18_variant_delta": deltas, "f19_resume": resume, "j19_side_flags": sides, "j8_three_way": three_way, "j18_zero_default": zero_default, "j10_stem_match": stems,
-    "j17_siblings": sibling_pairs, "u4_group_overlap": overlap, "j12_taxonomy": taxonomy, "a28_best_row": best, "w18_offsets": csr, "n1_json_props": props, "a16_channel_stats": channels,
+    "j17_siblings": sibling_pairs, "u4_group_overlap": overlap, "e20_ranked_overlaps": ranked_overlap, "j12_taxonomy": taxonomy, "a28_best_row": best, "w18_offsets": csr, "n1_json_props": props, "a16_channel_stats": channels,
 }
 ORACLES = {
     "r12_crop_sample": CROPS_SQL, "e16_model_consistency": CONSISTENCY_SQL, "k6_run_summary": SUMMARY_SQL,
     "r1_group_split": SPLIT_SQL, "a20_split_counts": SPLIT_COUNTS_SQL, "e15_split_verdict": VERDICT_SQL, "r6_capped_sample": CAPPED_SQL, "r11_simple_sample": SIMPLE_SQL, "r3_balanced_resample": BALANCED_SQL, "r4_weighted_sample": WEIGHTED_SQL, "r5_budget_sample": BUDGET_SQL, "r4_epoch_draws": EPOCH_SQL, "r5_audit_sample": AUDIT_SQL,
     "w1_entropy_series": ENTROPY_SQL, "w3_moving_averages": AVERAGE_SQL, "w10_reservoir": RESERVOIR_SQL, "w5_status_share": SHARE_SQL, "w4_confidence_average": CONFIDENCE_SQL, "w6_flat_counter": FLAT_SQL, "w7_stop_rules": STOPS_SQL,
     "a22_seed_summary": SEEDS_SQL, "k13_seed_columns": WIDE_SQL, "e18_variant_delta": DELTAS_SQL, "f19_resume": RESUME_SQL, "j19_side_flags": SIDES_SQL, "j8_three_way": THREE_SQL, "j18_zero_default": ZERO_SQL, "j10_stem_match": STEMS_SQL,
-    "j17_siblings": SIBLINGS_SQL, "u4_group_overlap": OVERLAP_SQL, "j12_taxonomy": TAXONOMY_SQL, "a28_best_row": BEST_SQL, "w18_offsets": CSR_SQL, "n1_json_props": PROPS_SQL, "a16_channel_stats": CHANNELS_SQL,
+    "j17_siblings": SIBLINGS_SQL, "u4_group_overlap": OVERLAP_SQL, "e20_ranked_overlaps": RANKED_SQL, "j12_taxonomy": TAXONOMY_SQL, "a28_best_row": BEST_SQL, "w18_offsets": CSR_SQL, "n1_json_props": PROPS_SQL, "a16_channel_stats": CHANNELS_SQL,
 }

@@ -247,6 +247,16 @@ def confusion(spark: SparkSession, d: str) -> DataFrame:
 CONFUSION_SQL = f"{PREDICTIONS}, n AS (SELECT label AS c FROM p UNION SELECT pred FROM p) SELECT a.c AS label, b.c AS pred, count(p.vec_id) AS n FROM n a CROSS JOIN n b LEFT JOIN p ON p.label = a.c AND p.pred = b.c GROUP BY ALL"
 
 
+def class_breakdown(spark: SparkSession, d: str) -> DataFrame:
+    b = M.class_breakdown(predictions(spark, d))
+    told = F.array_join(F.transform(F.array_sort(F.map_entries("predicted_as")), lambda e: F.concat_ws(":", e["key"], e["value"])), ",")
+    return b.select("class", "count", F.round("accuracy", 4).alias("accuracy"), told.alias("predicted_as"))
+
+
+BREAKDOWN_SQL = f"""{PREDICTIONS}, n AS (SELECT label, pred, count(*) AS n FROM p GROUP BY ALL)
+SELECT label AS class, sum(n)::BIGINT AS count, round(100.0::DOUBLE * coalesce(sum(n) FILTER (WHERE label = pred), 0) / sum(n), 4) AS accuracy, string_agg(pred || ':' || n, ',' ORDER BY pred::VARCHAR) AS predicted_as FROM n GROUP BY label"""
+
+
 def class_weights(spark: SparkSession, d: str) -> DataFrame:
     return M.class_weights(read(spark, d, "embeddings"), "label")
 
@@ -285,6 +295,7 @@ QUERIES = {
     "e7_classification": classification,
     "e8_known_only": known_only,
     "e11_class_report": class_report,
+    "e9_class_breakdown": class_breakdown,
     "e10_confusion": confusion,
     "a26_class_weights": class_weights,
     "v5_fusion": fusion,
@@ -303,6 +314,7 @@ ORACLES = {
     "e7_classification": CLASSIFICATION_SQL,
     "e8_known_only": KNOWN_SQL,
     "e11_class_report": CLASS_SQL,
+    "e9_class_breakdown": BREAKDOWN_SQL,
     "e10_confusion": CONFUSION_SQL,
     "a26_class_weights": WEIGHTS_SQL,
     "v5_fusion": FUSION_SQL,
