@@ -83,7 +83,7 @@ def _thinned(touched: DataFrame, place: list[str], threshold: float, crowd: int,
 
 
 def suppress(boxes: DataFrame, group: Sequence[str], key: str, score: str, threshold: float, crowd: int = 512, most_rounds: int = 16) -> DataFrame:
-    """``kept`` for every box of a ``group`` (a slide); the order is score descending (null last), key, sides.
+    """``kept`` for every box (key, sides, score) of a ``group`` (a slide); the order is score descending (null last), key, sides.
 
     Boxes with a missing side, or without an area, stay and suppress nothing.  Keys may repeat; rows that are
     equal in all of these are one box and share its outcome.
@@ -120,4 +120,10 @@ def suppress(boxes: DataFrame, group: Sequence[str], key: str, score: str, thres
     if gone:
         stay = stay.join(reduce(DataFrame.unionByName, gone), [*place, "id"], "left_anti")
     out = rows.filter(whole).join(stay.withColumn("kept", F.lit(True)), [*place, "id"], "left").select(*place, "id", F.coalesce("kept", F.lit(False)).alias("kept"))
-    return out.union(rows.filter(~whole).withColumn("kept", F.lit(True))).select(*place, F.col("id.key").alias(key), "kept")
+    out = out.union(rows.filter(~whole).withColumn("kept", F.lit(True)))
+    return out.select(*place, F.col("id.key").alias(key), *(F.col(f"id.{c}").alias(c) for c in SIDES), F.when(F.col("id.order") < float("inf"), -F.col("id.order")).alias(score), "kept")
+
+
+def refined(boxes: DataFrame, group: Sequence[str], key: str, score: str, threshold: float, least: float) -> DataFrame:
+    """The boxes that suppression leaves and whose score is at least ``least`` (F7): boxes below it still suppress others."""
+    return suppress(boxes, group, key, score, threshold).filter(F.col("kept") & (F.col(score) >= least)).drop("kept")

@@ -179,7 +179,12 @@ SELECT slide, x, y, n FROM r WHERE r = least(greatest(c // 2, floor(c * 0.6::DOU
 
 def nms(spark: SparkSession, d: str) -> DataFrame:
     """Greedy suppression per slide."""
-    return N.suppress(detections(spark, d).select("slide", "id", "score", "x1", "y1", "x2", "y2"), ["slide"], "id", "score", 0.1)
+    return N.suppress(detections(spark, d).select("slide", "id", "score", "x1", "y1", "x2", "y2"), ["slide"], "id", "score", 0.1).select("slide", "id", "kept")
+
+
+def refined_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """kept boxes with a score of 0.4 at least."""
+    return N.refined(detections(spark, d), ["slide"], "id", "score", 0.1, 0.4).select("slide", "id", F.col("x1").cast("long").alias("x1"), F.col("y1").cast("long").alias("y1"), "score")
 
 
 #: Rounds over the overlaps: a box without an undecided better one stays (1), one with a better one that stays goes (2).
@@ -200,6 +205,9 @@ state AS (
 SELECT d.slide, d.id, s = 1 AS kept FROM d JOIN b USING (slide, id, score, x1, y1, x2, y2) JOIN state USING (r) WHERE round = (SELECT max(round) FROM state)"""
 
 
+REFINED_SQL = NMS_SQL.replace("SELECT d.slide, d.id, s = 1 AS kept FROM", "SELECT d.slide, d.id, d.x1::BIGINT AS x1, d.y1::BIGINT AS y1, d.score FROM") + " AND s = 1 AND d.score >= 0.4"
+
+
 def detection_scores(spark: SparkSession, d: str) -> DataFrame:
     """TP, FP, FN of each slide from return flags, rolled up by nation and region."""
     rows = detections(spark, d)
@@ -231,6 +239,7 @@ QUERIES = {
     "p2_crop_windows": crops,
     "g9_median_density": density,
     "w8_greedy_nms": nms,
+    "f7_refined_boxes": refined_boxes,
     "e15_split_checks": split_checks,
     "a13_detection_scores": detection_scores,
 }
@@ -249,5 +258,6 @@ ORACLES = {
     "g9_median_density": DENSITY_SQL,
     "a13_detection_scores": SCORES_SQL,
     "w8_greedy_nms": NMS_SQL,
+    "f7_refined_boxes": REFINED_SQL,
     "e15_split_checks": CHECKS_SQL,
 }
