@@ -1,7 +1,7 @@
 """Tiles of large images as a Spark data source (S1, S2, U-UDF).
 
 Images are kept as their lines of pixels (slide, y, width, pixels), in Parquet folders by a hash of the slide and in order, so a tile row
-reads its lines and no others.  A partition is a run of tiles of one row.
+reads its lines and no others.  A partition is a run of so many tiles, of one row or of several short ones.
 """
 
 from __future__ import annotations
@@ -33,16 +33,22 @@ def write_lines(lines: DataFrame, path: str) -> None:
 
 
 @dataclass
-class TileRun(InputPartition):
+class TileRow:
     """Tiles of one row of one slide: their numbers and left sides."""
 
     slide: str
     y: int
     width: int
-    height: int
     tiles: list[tuple[int, int]]
 
 
+@dataclass
+class TileRun(InputPartition):
+    """What one task reads."""
+
+    rows: list[TileRow]
+
+
 class TileReader(DataSourceReader):
     def __init__(self, options: dict[str, str], transforms: Sequence[Transform]):
         self.path, self.transforms = options["path"], list(transforms)
@@ -65,7 +71,7 @@ class TileReader(DataSourceReader):
         return all(getattr(at[name], test)(value) is True for name, test, value in self.tests if name in at)
 
     def partitions(self) -> Sequence[InputPartition]:
-        out = []
+        rows: list[TileRow] = []
         for slide, wide, high in self.slides:
             if not self._wanted(slide=slide):
                 continue
@@ -73,10 +79,21 @@ class TileReader(DataSourceReader):
             columns = range(x1, x2, self.step)
             for row, y in enumerate(range(y1, y2, self.step)):
                 tiles = [(row * len(columns) + i, x) for i, x in enumerate(columns) if self._wanted(x=x, y=y)]
-                out += [TileRun(slide, y, wide, high, tiles[i : i + self.run]) for i in range(0, len(tiles), self.run)]
+                rows += [TileRow(slide, y, wide, tiles[i : i + self.run]) for i in range(0, len(tiles), self.run)]
+        out, held = [TileRun([])], 0
+        for row in rows:
+            if held and held + len(row.tiles) > self.run:
+                out.append(TileRun([]))
+                held = 0
+            out[-1].rows.append(row)
+            held += len(row.tiles)
         return out
 
     def read(self, partition: TileRun) -> Iterator[tuple]:
+        for row in partition.rows:
+            yield from self._row(row)
+
+    def _row(self, partition: TileRow) -> Iterator[tuple]:
         system, path = fs.FileSystem.from_uri(self.path)
         folder = f"{path}/part={hashlib.sha256(partition.slide.encode()).hexdigest()[:16]}"
         own = (pc.field("slide") == partition.slide) & (pc.field("y") >= partition.y) & (pc.field("y") < partition.y + self.size)
