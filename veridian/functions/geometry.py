@@ -51,11 +51,6 @@ def inclusive_area(a: Box) -> Column:
     return (a[2] - a[0] + 1) * (a[3] - a[1] + 1)
 
 
-def to_global(a: Box, x: Column, y: Column) -> list[Column]:
-    """Tile-local box to slide coordinates."""
-    return [a[0] + x, a[1] + y, a[2] + x, a[3] + y]
-
-
 def crop_window(a: Box, width: Column, height: Column, context: float = 1.2) -> Column:
     """Square window around a box with context, shifted and cut to stay inside the slide."""
     side = F.least((F.greatest(a[2] - a[0], a[3] - a[1]) * context).cast("int"), width.cast("int"), height.cast("int"))

@@ -3,14 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
-Embed = Callable[[list[str]], np.ndarray]
-
 
 def hashed_vectors(texts: list[str], size: int = 384) -> np.ndarray:
     """Stand-in for an embedding model: a unit vector from the hash of the text (M1, M4)."""
@@ -19,36 +15,11 @@ def hashed_vectors(texts: list[str], size: int = 384) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x
 
 
-def box_mask(x: int, y: int, half: int = 20) -> tuple[int, int, int, int, float]:
-    """Stand-in for a mask model: a box around the point, with a confidence from its place (M2, M3)."""
-    h = hashlib.blake2b(f"{x},{y}".encode(), digest_size=4).digest()
-    return max(0, x - half), max(0, y - half), x + half, y + half, int.from_bytes(h, "little") / 2**32
-
-
 def template_caption(prompt: str) -> str:
     """Stand-in for a captioning model (M5)."""
     return f"A grain. {prompt.splitlines()[0] if prompt else ''}".strip()
 
 
-def hashed_class(texts: list[str], classes: int = 52) -> np.ndarray:
-    """Stand-in for a classifier: class probabilities from the hash (M6)."""
-    z = 4 * hashed_vectors(texts, classes)
-    e = np.exp(z - z.max(axis=1, keepdims=True)) if len(z) else z
-    return e / e.sum(axis=1, keepdims=True) if len(z) else e
-
-
-def with_embeddings(rows: DataFrame, key: str, text: str, embed: Embed = hashed_vectors) -> DataFrame:
-    """(key, emb): whole batches go to the model; null texts get a null vector, never a dummy one."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            have = part[text].notna()
-            vectors = iter(embed(part.loc[have, text].tolist()).tolist())
-            yield pd.DataFrame({key: part[key], "emb": [next(vectors) if h else None for h in have]})
-
-    return rows.select(key, text).mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, emb array<double>")
-
-
 def classifier_gate(rows: DataFrame, background: int = 51, least: float = 0.5, keep_background: bool = False) -> DataFrame:
     """Rows with ``class_prob`` at least ``least`` whose class is not the background (F8)."""
     sure = rows.filter(rows["class_prob"] >= least)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -120,6 +121,17 @@ def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.select(F.regexp_extract("_p", part, 1).alias("experiment"), F.regexp_extract("_p", part, 2).alias("seed"), F.regexp_extract("_p", part, 3).alias("evaluation"), "*").drop("_p")
 
 
+def filled(first: DataFrame, *others: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Results of several layouts in one table with ``place`` (0: the first): a later table adds only keys that those before it lack.
+
+    Columns that a table lacks are null.
+    """
+    out = first.withColumn("place", F.lit(0))
+    for i, other in enumerate(others, 1):
+        out = out.unionByName(other.join(out.select(*keys), list(keys), "left_anti").withColumn("place", F.lit(i)), allowMissingColumns=True)
+    return out
+
+
 def read_training_log(spark: SparkSession, path: str, columns: list[str], text: tuple[str, ...] = ("timestamp",)) -> DataFrame:
     """A CSV log; empty and infinite values are null, time stamps stay text."""
     raw = spark.read.schema(", ".join(f"`{c}` string" for c in columns)).csv(path, header=True)
