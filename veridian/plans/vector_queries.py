@@ -168,11 +168,14 @@ def control(spark: SparkSession, d: str) -> DataFrame:
     """Mean reciprocal rank with real and shuffled labels; the scores are written once for all of them."""
     scored = written(_scored(spark, d, "all").select("q_label", "q_origin", "vec_id", "score", "relevant"), "scores")
     real = R.ranking_metrics(scored.select("q_label", "q_origin", "vec_id", "score", "relevant"), ["q_label", "q_origin"], "vec_id", KS).agg(F.avg("mrr").alias("real"))
+    # a row each, written so that no plan holds several rankings
+    real = written(real, "real")
     out = None
     for seed in (42, 123, 456):
         other = sampling.shuffled_labels(corpus(spark, d).select("vec_id", "label", F.lit(0).alias("g")), "label", "vec_id", ["g"], seed).select("vec_id", F.col("label").alias("other"))
         rows = scored.join(other, "vec_id").withColumn("relevant", (F.col("other") == F.col("q_label")).cast("int"))
         one = R.ranking_metrics(rows.select("q_label", "q_origin", "vec_id", "score", "relevant"), ["q_label", "q_origin"], "vec_id", KS).agg(F.lit(seed).alias("seed"), F.avg("mrr").alias("mrr"))
+        one = written(one, "shuffled")
         out = one if out is None else out.union(one)
     return out.crossJoin(F.broadcast(real)).select("seed", F.round("mrr", 6).alias("shuffled"), F.round("real", 6).alias("real"), F.round(F.col("real") - F.col("mrr"), 6).alias("delta"))
 
