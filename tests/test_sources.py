@@ -153,3 +153,15 @@ def test_long_files_are_numbered_over_their_splits(spark, tmp_path):
         assert all(r.caption.startswith(f"c{r.line} ") for r in rows.collect())
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_feature_does_not_carry_its_collection(spark, tmp_path):
+    """A row of the explosion had its whole collection beside it: memory grew with the square of a file's features."""
+    import re
+
+    feature = '{"type":"Feature","geometry":{"type":"Polygon","coordinates":[[[0,0],[%d,0],[0,1]]]},"properties":{"classification":{"name":"Pollen"}}}'
+    (tmp_path / "s.geojson").write_text('{"type":"FeatureCollection","features":[%s]}' % ",".join(feature % (i + 1) for i in range(500)))
+    rows = readers.read_annotations(spark, str(tmp_path))
+    assert rows.filter("problem is null and class = 'Pollen' and slide = 's'").agg({"x2": "sum"}).first()[0] == 500 * 501 / 2
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert not any(re.search(r"\bg#", line.split("],")[0] + line) for line in plan.splitlines() if "Generate explode" in line)

@@ -70,8 +70,9 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     ``problem`` says what is wrong with a feature; good ones have null.
     """
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("_path"))
-    doc = files.withColumn("g", F.from_json("value", GEOJSON)).select(_stem().alias("slide"), "g")
-    f = doc.select("slide", F.col("g.type").alias("kind"), F.explode_outer("g.features").alias("f"))
+    # the features stand in a column of their own: a row of the explosion must not carry its whole collection
+    doc = files.withColumn("g", F.from_json("value", GEOJSON)).select(_stem().alias("slide"), F.col("g.type").alias("kind"), F.col("g.features").alias("features"))
+    f = doc.select("slide", "kind", F.explode_outer("features").alias("f"))
     named = F.from_json("f.properties.classification", "name string")["name"]
     plain = F.when(~F.startswith(F.trim("f.properties.classification"), F.lit("{")), F.col("f.properties.classification"))
     ring = F.get("f.geometry.coordinates", F.lit(0))
