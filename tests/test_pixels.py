@@ -173,3 +173,18 @@ def test_round_grains_follow_their_axes(spark):
     assert len(got) == 200
     for k, r in got.items():
         assert r.circular == (k % 3 < 2 and k % 7 > 0), (k, r)
+
+
+def test_parts_of_a_long_path_take_few_steps(monkeypatch):
+    """A path winds through the image: labels that move one pixel a step needed a step for each of its pixels."""
+    mask = np.zeros((41, 41), bool)
+    mask[::2] = True
+    mask[1::4, -1] = mask[3::4, 0] = True
+    steps, pad = [], np.pad
+    monkeypatch.setattr(np, "pad", lambda *a, **k: steps.append(1) or pad(*a, **k))
+    assert P.parts(mask).max() == 1 and len(steps) < 60
+
+
+def test_images_of_one_file_are_dealt_to_tasks(spark, tmp_path):
+    spark.range(2500).selectExpr("id AS p_partkey", "CAST(id % 50 AS INT) AS p_size", "900D AS p_retailprice").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert registry.QUERIES["f16_round_grains"](spark, str(tmp_path)).rdd.getNumPartitions() == 3
