@@ -66,7 +66,8 @@ def content_words(words: Column, least: int = 3) -> Column:
 
 def bigrams(text: Column) -> Column:
     """Neighbouring words, letters and hyphens only, neither empty nor a function word."""
-    words = F.transform(F.split(F.lower(text), r"[ \t\n\r\f\x0B]+"), lambda w: F.regexp_replace(w, "[^a-z-]", ""))
+    # the whole text is cleaned at once; a word that this empties stays between its two blanks
+    words = F.split(F.regexp_replace(F.regexp_replace(F.lower(text), r"[ \t\n\r\f\x0B]+", " "), "[^a-z -]", ""), " ")
     least = F.greatest(F.size(words) - 1, F.lit(0))
     pairs = F.arrays_zip(F.slice(words, 1, least), F.slice(words, 2, least))
     good = F.filter(pairs, lambda p: (p["0"] != "") & (p["1"] != "") & ~p["0"].isin(STOP_WORDS) & ~p["1"].isin(STOP_WORDS))
