@@ -44,3 +44,20 @@ def test_report_cuts_details_before_a_group_is_whole(spark):
     report = verification_report(spark.createDataFrame(rows, "g string, d string"), "g", "d", 3)
     assert {r.g: (r.violations, r.examples) for r in report.collect()} == {"a": (2000, ["d000", "d001", "d002"]), "b": (1, []), None: (2, ["x"])}
     assert "4096" in report._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_one_file_are_dealt_to_tasks(spark, tmp_path):
+    from veridian import registry
+
+    spark.range(600).selectExpr("id AS s_suppkey", "CAST(id % 2 AS INT) AS s_nationkey").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    pairs = registry.QUERIES["g4_iou"](spark, str(tmp_path))
+    assert pairs.rdd.getNumPartitions() == 3 and pairs.count() == 2 * 300 * 300
+
+
+def test_bigrams_clean_the_text_once(spark):
+    from veridian.functions import text as T
+
+    df = spark.createDataFrame([(" Large \t 12 %% Grain-like wall\u00a0x \n",), ("grain %% wall",), ("",), (None,)], "text string").select(T.bigrams(F.col("text")).alias("b"))
+    assert [r.b for r in df.collect()] == [["grain-like wallx"], [], [], None]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace(lambda" not in plan

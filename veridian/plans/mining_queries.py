@@ -157,7 +157,10 @@ SELECT slide, round(4.0::DOUBLE * sqrt(greatest(m - s, 0.0)), 4) AS minor, round
 def ious(spark: SparkSession, d: str) -> DataFrame:
     """Regions of two test sets on one slide."""
     b = B.regions(spark, d, 250).select("slide", F.col("region").alias("other"), *[F.col(c).alias(f"r_{c}") for c in ("x1", "y1", "x2", "y2")])
-    pairs = B.regions(spark, d).join(b, "slide")
+    a = B.regions(spark, d)
+    # every pair of a slide is wanted, so a task takes 256 regions with all others, not a slide or a file
+    a = a.repartition(-(-a.count() // 256) or 1, "region")
+    pairs = a.join(F.broadcast(b), "slide")
     return pairs.select("slide", "region", "other", F.round(G.iou(G.box(), G.box("r_")), 6).alias("iou"))
 
 
