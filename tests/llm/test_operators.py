@@ -217,6 +217,32 @@ def test_ngram_join_on_a_loose_group(spark):
     assert got == brute_components(made)
 
 
+def test_near_copies_that_do_not_link_are_no_pairs(spark, monkeypatch):
+    """All 1,770 pairs of 60 near copies have count vectors that allow a link; pairs are never rows, and the links are found."""
+    from veridian.llm import ngram_join as N
+
+    rng = np.random.default_rng(2)
+    made = []
+    for i in range(60):
+        words = [f"w{k}" for k in range(1000)]
+        for at in rng.choice(1000, size=17, replace=False):
+            words[at] = f"x{i}_{at}"
+        made.append((i, " ".join(words)))
+    made += [(100 + i, text.replace(f"w{5 * i} ", f"y{i} ")) for i, text in made[:10]]
+    counts, write = {}, N.materialize
+
+    def seen(df, name):
+        out = write(df, name)
+        if {"a", "b"} <= set(out.columns):
+            counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(N, "materialize", seen)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in N.ngram_components(spark.createDataFrame(made, "doc_id long, text string"), stars=1).collect())
+    assert got == brute_components(made)
+    assert max(counts.values()) <= 2 * len(made)
+
+
 def test_ann_tree(spark):
     from veridian.llm.ann_tree import nearest_neighbours
 

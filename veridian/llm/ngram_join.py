@@ -19,15 +19,16 @@ A class is known by 64 bits of a digest; another 64 bits show classes that share
    keys with (one class of each block), the overlap is bounded by the sum of coordinate minima of
    the count vectors, survivors are verified on the complete sets, and verified links are joined
    into components.  So a large group of near copies costs ``stars`` tests for each member.
-4. Then, in every block that still holds several components, an R-tree over the count vectors finds
-   all pairs of different components whose overlap can reach the threshold: the bound is taken
-   for a node's upper corner first, then for its points.  Survivors that were not tested yet are
-   verified.  No pair between different components that could link is left out; pairs inside a
-   component need no test.
+4. Then the blocks that still hold several components are searched, those of one leader together, each
+   class once.  An R-tree over the count vectors finds the members whose overlap with one of another
+   component can reach the threshold: the bound is taken for a node's upper corner first, then for its
+   points.  Only these get their complete sets, and their overlaps are counted inside the tasks, where
+   just the links that join components come out: pairs are never rows.  No pair between different
+   components that could link is left out; pairs inside a component need no test.
 
-Complete sets are made for the classes of bounded pairs only.  Keys that the sketch calls common are
-dealt out in slices, and blocks larger than ``block_rows`` as pairs of slices ordered by set size
-(slices too unlike in size never meet), so no task holds one whole.
+Complete sets are made for the classes of star pairs and those that the search finds only.  Keys that the
+sketch calls common are dealt out in slices, and blocks heavier than ``block_rows`` as pairs of slices ordered
+by set size (slices too unlike in size never meet), so no task holds one whole.
 
 Defined cases: null, empty and blank texts have an empty set and are linked with nothing (not with
 each other); fewer than five words count as one shingle; rows that repeat a ``doc_id`` are
@@ -44,7 +45,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -57,6 +58,8 @@ GROUPS = 256
 SKETCH_BITS = 20
 SKETCH_PARTS = 64
 LEAF = 32
+#: So many shingles weigh as much as a row of a block.
+ROW_SHINGLES = 256
 
 _STEP = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(SHINGLE_WORDS)], dtype=np.uint64)
 
@@ -284,82 +287,113 @@ class CountTree:
         return at
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Columns (vec as a matrix) in runs that end where a key ends; bounds of the keys come first."""
+PAIR = "a long, b long"
+GROUP = ("leader", "deal", "tile")
+MEMBER = "leader long, deal long, tile long, side int, cls long, n int, label long"
+HELD_BYTES = 8 << 20
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Table]]:
+    """Rows in runs that end where a group (leader, deal, tile) ends, and the bounds of the groups in them."""
     held: list[pa.RecordBatch] = []
 
-    def columns(table: pa.Table) -> tuple[np.ndarray, ...]:
-        vec = vectors_of(table["vec"].to_pylist(), table["n"].to_numpy())
-        rest = [table[c].to_numpy() for c in names]
+    def cuts(table: pa.Table) -> np.ndarray:
         new = np.zeros(len(table), dtype=bool)
-        for c in ("key", "tile"):
+        for c in GROUP:
             v = table[c].to_numpy()
             new[1:] |= v[1:] != v[:-1]
-        new[:1] = True
-        return (np.append(np.flatnonzero(new), len(table)), vec, *rest)
+        return np.flatnonzero(new)
 
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
-        if sum(b.num_rows for b in held) < 8192:
+        if sum(b.num_rows for b in held) < 8192 and sum(b.nbytes for b in held) < HELD_BYTES:
             continue
         table = pa.Table.from_batches(held)
-        key, tile = table["key"].to_numpy(), table["tile"].to_numpy()
-        cut = np.flatnonzero((key[1:] != key[:-1]) | (tile[1:] != tile[:-1]))
-        if len(cut):
-            yield columns(table.slice(0, int(cut[-1]) + 1))
-            held = table.slice(int(cut[-1]) + 1).to_batches()
-        else:
-            held = table.to_batches()
+        at = cuts(table)
+        if len(at):
+            yield np.append(0, at), table.slice(0, int(at[-1]))
+            held = table.slice(int(at[-1])).to_batches()
     if held:
-        yield columns(pa.Table.from_batches(held))
-
+        table = pa.Table.from_batches(held)
+        yield np.concatenate([[0], cuts(table), [len(table)]]), table
 
-PAIR = "a long, b long"
-PAIRS_HELD = 1 << 18
 
+def _components_of(label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The component of each member, numbered, and the members that ask: those of the most common one meet only the others."""
+    _, at = np.unique(label, return_inverse=True)
+    return at, np.flatnonzero(at != np.bincount(at).argmax())
 
-def _all_survivors(percent: int):
-    """All pairs of members of different components that may link; ``side`` 0 meets side 1, or all meet all (2).
 
-    Rows come by group: the blocks of one leader, which share many of their pairs.  A pair is given once for
-    each group (again after PAIRS_HELD others, which bounds what a task holds; the caller takes distinct pairs).
-    """
+def _with_partners(percent: int):
+    """The members of groups that may link with one of another component; ``side`` 0 meets side 1, or all meet all (2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, seen, whose = [], set(), None
-
-        def given() -> pa.RecordBatch:
-            a, b = zip(*held)
-            held.clear()
-            return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-        for bounds, vec, cls, n, label, side, group in _blocks(batches, ("cls", "n", "label", "side", "leader")):
+        for bounds, table in _groups(batches):
+            label, side, n = (table[c].to_numpy() for c in ("label", "side", "n"))
+            vec = vectors_of(table["vec"].to_pylist(), n)
+            chosen = np.zeros(len(table), dtype=bool)
             for s, e in zip(bounds[:-1], bounds[1:]):
-                name, at = np.unique(label[s:e], return_inverse=True)
-                if len(name) < 2:
+                at, askers = _components_of(label[s:e])
+                if not len(askers):
                     continue
-                if group[s] != whose or len(seen) > PAIRS_HELD:
-                    seen, whose = set(), group[s]
                 tree = CountTree(vec[s:e], n[s:e])
-                # members of the most common component meet only the others, so only those ask
-                common = np.bincount(at).argmax()
-                for i in np.flatnonzero(at != common):
+                for i in askers:
                     hit = tree.survivors(vec[s + i], int(n[s + i]), percent)
                     hit = hit[(at[hit] != at[i]) & ((side[s + hit] != side[s + i]) | (side[s + i] == 2))]
-                    one = int(cls[s + i])
-                    fresh = {(min(one, c), max(one, c)) for c in cls[s + hit].tolist()} - seen
-                    seen |= fresh
-                    held.extend(fresh)
-                if len(held) >= 8192:
-                    yield given()
-        if held:
-            yield given()
+                    if len(hit):
+                        chosen[s + i] = chosen[s + hit] = True
+            if chosen.any():
+                yield from table.drop_columns(["vec"]).filter(pa.array(chosen)).to_batches()
+
+    return run
+
+
+def _joining_links(percent: int):
+    """The links (a, b) that join components in groups whose members come with their complete sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bounds, table in _groups(batches):
+            for s, e in zip(bounds[:-1], bounds[1:]):
+                part = table.slice(s, e - s)
+                cls, label = part["cls"].to_numpy(), part["label"].to_numpy()
+                links = _links_between(label, [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in part["shingles"]], percent)
+                if links:
+                    a, b = (cls[list(x)] for x in zip(*links))
+                    yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
+def _links_between(label: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Places of linked sets of different components, as many as join all components that links join."""
+    at, askers = _components_of(label)
+    if not len(askers):
+        return []
+    size = np.array([len(x) for x in sets])
+    begin = np.append(0, np.cumsum(size))
+    # who holds each shingle
+    _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+    holders = np.repeat(np.arange(len(sets), dtype=np.int32), size)[np.argsort(shingle, kind="stable")]
+    first = np.append(0, np.cumsum(np.bincount(shingle)))
+    root = np.arange(at.max() + 1)  # of each component, always the root itself
+    links = []
+    for i in askers:
+        own = shingle[begin[i] : begin[i + 1]]
+        held = first[own + 1] - first[own]
+        each = np.repeat(first[own] - (np.cumsum(held) - held), held) + np.arange(held.sum())
+        both = np.bincount(holders[each], minlength=len(sets))
+        for j in np.flatnonzero((100 * both >= percent * (size[i] + size - both)) & (root[at] != root[at[i]])):
+            x, y = root[at[i]], root[at[j]]
+            if x != y:
+                root[root == x] = y
+                links.append((int(i), int(j)))
+        if (root == root[0]).all():
+            break
+    return links
+
+
 def _bounded(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
     """The ``pairs`` (a, b) whose count vectors allow a link."""
 
@@ -446,30 +480,42 @@ def _star_pairs(members: DataFrame, stars: int) -> DataFrame:
     return best.select(F.least("cls", "p.other").alias("a"), F.greatest("cls", "p.other").alias("b")).distinct()
 
 
-def _open_members(members: DataFrame, label: DataFrame, deal_rows: int) -> DataFrame:
-    """Members, with component and leader, of the blocks that hold several components; ``rows`` of the block.
+def _weight() -> Column:
+    """A row weighs one, and one more for every ROW_SHINGLES shingles."""
+    return 1 + F.floor(F.col("n") / ROW_SHINGLES)
 
-    Blocks of one leader go together (``deal``), but no more of them than have about ``deal_rows`` rows.
+
+def _open_members(members: DataFrame, label: DataFrame, sizes: DataFrame, block_rows: int) -> DataFrame:
+    """key, rows, leader, deal, cls, n, label of the blocks that hold several components; ``rows`` is the block's weight.
+
+    Blocks of one leader go together if their distinct classes weigh ``block_rows`` at most, else no more of them
+    (``deal``) than weigh about that.  Heavier blocks go alone.
     """
     own = members.join(label, F.col("cls") == F.col("node"), "left").select("key", "cls", F.coalesce("label", "cls").alias("label"))
     first = F.min(F.struct(F.xxhash64("cls", F.lit(0)).alias("h"), "cls"))["cls"]
-    heads = own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), first.alias("leader"), F.count(F.lit(1)).alias("rows"))
-    heads = heads.filter("low < high").select("key", "leader", "rows")
-    totals = heads.groupBy("leader").agg(F.sum("rows").alias("all")).filter(F.col("all") > deal_rows)
-    deal = F.pmod(F.xxhash64("key"), F.coalesce(F.floor(F.col("all") / deal_rows), F.lit(0)) + 1)
-    return own.join(heads.join(totals, "leader", "left").select("key", "leader", "rows", deal.alias("deal")), "key")
+    heads = own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), first.alias("leader"))
+    rows = own.join(heads.filter("low < high").select("key", "leader"), "key").join(sizes, "cls").withColumn("weight", _weight())
+    rows = materialize(rows, "open")
+    weights = rows.groupBy("key").agg(F.sum("weight").alias("rows"))
+    small = rows.join(weights.filter(F.col("rows") <= block_rows), "key")
+    totals = small.groupBy("leader", "cls").agg(F.first("weight").alias("once"), F.sum("weight").alias("all")).groupBy("leader").agg(F.sum("once").alias("once"), F.sum("all").alias("all"))
+    deal = F.pmod(F.xxhash64("key"), F.coalesce(F.floor(F.col("all") / block_rows), F.lit(0)) + 1)
+    small = small.join(totals.filter(F.col("once") > block_rows), "leader", "left").withColumn("deal", deal)
+    large = rows.join(weights.filter(F.col("rows") > block_rows), "key").withColumn("leader", F.col("key")).withColumn("deal", F.lit(-1).cast("long"))
+    fields = ["key", "rows", "leader", "deal", "cls", "n", "label"]
+    return small.select(fields).union(large.select(fields))
 
 
 def _tiles(members: DataFrame, block_rows: int, percent: int) -> DataFrame:
-    """key, leader, deal, tile, side, cls, n, vec, label: blocks of ``members`` (with n and vec) as they are searched.
+    """key, leader, deal, tile, side, cls, n, label: blocks of ``members`` as they are searched.
 
-    A block of more than ``block_rows`` is cut into slices by set size, ties by a hash, from the counts of
+    A block that weighs more than ``block_rows`` is cut into slices by set size, ties by a hash, from the counts of
     its sizes; two slices meet where their sizes allow a link.
     """
-    fields = ["key", "leader", "deal", "tile", "side", "cls", "n", "vec", "label"]
+    fields = ["key", "leader", "deal", "tile", "side", "cls", "n", "label"]
     small = members.filter(F.col("rows") <= block_rows).withColumn("tile", F.lit(0).cast("long")).withColumn("side", F.lit(2))
     large = members.filter(F.col("rows") > block_rows)
-    sizes = large.groupBy("key", "n").agg(F.count(F.lit(1)).alias("own"))
+    sizes = large.groupBy("key", "n").agg((F.count(F.lit(1)) * _weight()).alias("own"))
     before = F.sum("own").over(W.partitionBy("key").orderBy("n")) - F.col("own")
     at = F.col("before") + F.col("own") * (F.pmod(F.xxhash64("cls"), F.lit(1 << 20)) / (1 << 20))
     large = large.join(sizes.withColumn("before", before), ["key", "n"]).withColumn("slice", F.floor(at / block_rows).cast("long"))
@@ -501,12 +547,11 @@ def ngram_components(docs: DataFrame, percent: int = 80, block_rows: int = 4096,
     vectors = facts.join(members.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("vec").alias("vec"))
     vectors = materialize(vectors, "vectors")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """``pairs`` with ``linked``; complete sets are made for their classes."""
-        classes = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+    def complete_sets(classes: DataFrame) -> DataFrame | None:
+        """cls, shingles of ``classes`` (cls), a written table; None if there are none."""
         wanted = id_filter(vectors.join(classes, "cls", "left_semi").select("doc_id"))
         if wanted is None:
-            return pairs.withColumn("linked", F.lit(False))
+            return None
         asked = spark.sparkContext.broadcast(wanted)
 
         def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -525,19 +570,26 @@ def ngram_components(docs: DataFrame, percent: int = 80, block_rows: int = 4096,
                     yield pa.record_batch([pa.array(keep, pa.int64()), pa.array(sets, pa.binary())], names=["cls", "shingles"])
 
         sets = docs.mapInArrow(to_sets, "cls long, shingles binary").join(classes, "cls", "left_semi")
-        sets = materialize(sets.dropDuplicates(["cls"]), "sets")
-        out = materialize(_verified(pairs, sets, percent), "tested")
-        drop(sets)
-        return out
+        return materialize(sets.dropDuplicates(["cls"]), "sets")
 
-    tested = verified(materialize(_bounded(_star_pairs(members, stars), vectors, percent), "stars"))
-    links = tested.filter("linked").select("a", "b")
+    pairs = materialize(_bounded(_star_pairs(members, stars), vectors, percent), "stars")
+    sets = complete_sets(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
+    links = pairs
+    if sets is not None:
+        links = materialize(_verified(pairs, sets, percent).filter("linked").select("a", "b"), "tested")
+        drop(sets)
     label = materialize(components(links), "labels")
-    tiles = _tiles(_open_members(members, label, block_rows).join(vectors.select("cls", "n", "vec"), "cls"), block_rows, percent)
-    tiles = tiles.repartition(shuffle_partitions(spark), "leader", "deal", "tile").sortWithinPartitions("leader", "key", "tile", "n", "cls")
-    rest = tiles.mapInArrow(_all_survivors(percent), PAIR).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    rest = verified(materialize(rest, "pairs"))
-    label = materialize(components(links.union(rest.filter("linked").select("a", "b"))), "labels")
+    tiles = _tiles(_open_members(members, label, vectors.select("cls", "n"), block_rows), block_rows, percent)
+    fields = [f.split()[0] for f in MEMBER.split(", ")]
+    tiles = tiles.select(fields).distinct().join(vectors.select("cls", "vec"), "cls").select(*fields, "vec")
+    tiles = tiles.repartition(shuffle_partitions(spark), *GROUP).sortWithinPartitions(*GROUP, "n", "cls")
+    asked = materialize(tiles.mapInArrow(_with_partners(percent), MEMBER), "asked")
+    sets = complete_sets(asked.select("cls").distinct())
+    if sets is not None:
+        full = asked.join(sets, "cls").select(*GROUP, "cls", "label", "shingles").repartition(shuffle_partitions(spark), *GROUP).sortWithinPartitions(*GROUP)
+        more = materialize(full.mapInArrow(_joining_links(percent), PAIR).distinct(), "more")
+        drop(sets)
+        label = materialize(components(links.union(more)), "labels")
     rows = facts.join(label, F.col("cls") == F.col("node"), "left")
     rows = rows.select("doc_id", F.col("n").alias("n_shingles"), "cls", F.coalesce("label", "cls").alias("label"))
     named = rows.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
