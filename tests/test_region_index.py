@@ -39,6 +39,25 @@ def test_many_regions_make_few_rows(spark):
     assert S.least_hits(b, r, "id", "region").count() < 5_000
 
 
+def test_counts_of_regions_by_brute_force_without_pairs(spark):
+    boxes = [*drawn(5, 400, 40), (0, 1, 60.0, 10.0, 10.0, 40.0), (1, 2, 16.0, 16.0, 16.0, 16.0), (None, 3, 0.0, 0.0, 9.0, 9.0), (1, 4, None, 0.0, 9.0, 9.0)]
+    boxes += boxes[:20]
+    regions = [*drawn(6, 80, 200), (1, 900, 16.0, 16.0, 80.0, 80.0), (0, 901, 50.0, 0.0, 20.0, 90.0), (0, 902, None, 0.0, 1.0, 1.0)]
+    want = {(r[0], r[1]): n for r in regions if r[2] is not None and (n := sum(b[2] is not None and met(b, r, 0.0) for b in boxes))}
+    b, r = spark.createDataFrame(boxes, BOX.format("id")), spark.createDataFrame(regions, BOX.format("region"))
+    for piece in (1 << 17, 30):
+        got = S.region_counts(b, r, "id", "region", piece=piece)
+        assert {(x.slide, x.region): x.n for x in got.collect()} == want
+    assert S.region_counts(b.limit(0), r, "id", "region").count() == 0
+
+
+def test_region_stats_list_no_pairs(spark):
+    from veridian import registry
+
+    plan = registry.QUERIES["a27_region_stats"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
+
+
 def test_report_cuts_details_before_a_group_is_whole(spark):
     rows = [("a", f"d{i % 500:03d}") for i in range(2000)] + [("b", None), (None, "x"), (None, "x")]
     report = verification_report(spark.createDataFrame(rows, "g string, d string"), "g", "d", 3)

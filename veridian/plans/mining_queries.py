@@ -170,9 +170,9 @@ SELECT slide, region, other, round(o / (600000 - o), 6) AS iou FROM p"""
 
 def region_stats(spark: SparkSession, d: str) -> DataFrame:
     """How many detections each slide's regions hold."""
-    from veridian.operators.spatial import region_hits
+    from veridian.operators.spatial import region_counts
 
-    n = region_hits(B.detections(spark, d), B.regions(spark, d), "id", "region").groupBy("slide", "region").agg(F.count(F.lit(1)).alias("n"))
+    n = region_counts(B.detections(spark, d), B.regions(spark, d), "id", "region")
     return n.groupBy("slide").agg(*running_stats(F.col("n"), "grains"))
 
 
