@@ -334,3 +334,27 @@ def test_sequences_and_masks_are_views(tmp_path):
         assert len(sequence) == len(mask) == 64 and not sequence.flags.owndata and not mask.flags.owndata
         kept.append(sequence[mask])
     assert (np.concatenate(kept) == ids).all()
+
+
+def test_language_counts_are_small_and_read_in_small_blocks():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from veridian.llm import language_id as L
+
+    few = pa.record_batch([pa.array(["en", "de"]), pa.array(["the quick brown fox", "der schnelle fuchs"])], names=["lang", "text"])
+    rows = list(L._slot_counts(iter([few])))
+    # two whole tables take 4 MB
+    assert sum(r.nbytes for r in rows) < 20_000
+    again = [L._add_slots(pa.Table.from_batches([r, r])) for r in rows]
+    assert all(np.array_equal(2 * np.frombuffer(r["counts"][0].as_py()), np.frombuffer(a["counts"][0].as_py())) for r, a in zip(rows, again))
+
+    rng = np.random.default_rng(5)
+    words = ["".join(map(chr, rng.integers(97, 123, 7))) for _ in range(400_000)]
+    many = pa.record_batch([pa.array(["en"] * 400), pa.array([" ".join(words[i :: 400]) for i in range(400)])], names=["lang", "text"])
+    tracemalloc.start()
+    list(L._slot_counts(iter([many])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20, peak

@@ -34,6 +34,11 @@ from veridian.llm._textbytes import NOT_LETTER, Words, mix64, row_blocks, segmen
 N_GRAMS = (1, 2, 3, 4)
 TABLE_BITS = 18
 UNDETERMINED = "und"
+#: Text of a block; its n-grams take some hundred times as much while it is read.
+BLOCK_BYTES = 512 << 10
+#: Slots of a table that go together.
+PART_SLOTS = 1 << 12
+SLOT_COUNTS = "lang string, part int, slots binary, counts binary"
 
 
 def held_out(doc_id, modulus: int, rest: int = 2):
@@ -83,6 +88,38 @@ class Grams:
         self.bounds = np.searchsorted(owner, np.arange(self.n_unique + 1))
 
 
+def _counted(lang: str, part: int, counts: np.ndarray) -> pa.RecordBatch:
+    """A row for the slots of a part that hold anything."""
+    slots = np.flatnonzero(counts)
+    held = [pa.array([x.tobytes()], pa.binary()) for x in (slots.astype(np.uint16), counts[slots].astype(np.float64))]
+    return pa.record_batch([pa.array([lang]), pa.array([part], pa.int32()), *held], names=["lang", "part", "slots", "counts"])
+
+
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each slot occurs in the rows (lang, text) of each language."""
+    tables: dict[str, np.ndarray] = {}
+    for batch in batches:
+        for block in row_blocks(batch, "text", BLOCK_BYTES):
+            g = Grams(block.column(1))
+            lang = np.array(block.column(0).to_pylist(), dtype=object)
+            word_row = np.repeat(np.arange(block.num_rows), np.diff(g.row))
+            for name in sorted(set(lang)):
+                times = np.bincount(g.codes[(lang == name)[word_row]], minlength=g.n_unique)
+                add = np.bincount(g.slots, weights=np.repeat(times, np.diff(g.bounds)), minlength=1 << TABLE_BITS)
+                tables[name] = tables.get(name, 0) + add
+    for name, table in tables.items():
+        for part, counts in enumerate(table.reshape(-1, PART_SLOTS)):
+            if counts.any():
+                yield _counted(name, part, counts)
+
+
+def _add_slots(table: pa.Table) -> pa.Table:
+    total = np.zeros(PART_SLOTS)
+    for slots, counts in zip(table["slots"], table["counts"]):
+        total[np.frombuffer(slots.as_buffer(), dtype=np.uint16)] += np.frombuffer(counts.as_buffer(), dtype=np.float64)
+    return pa.Table.from_batches([_counted(table["lang"][0].as_py(), table["part"][0].as_py(), total)])
+
+
 def train(rows: DataFrame, per_language: int = 3000, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
     """Languages and their log-likelihood tables (slot x language) from ``rows`` (doc_id, text, lang).
 
@@ -94,34 +131,12 @@ def train(rows: DataFrame, per_language: int = 3000, smoothing: float = 0.5) ->
     # a row is in or out by its own hash, so nothing is ordered; one row for each language
     limits = chosen.groupBy("lang").agg((F.least(F.lit(1.0), per_language / F.count(F.lit(1))) * (1 << 40)).alias("_limit"))
     sample = chosen.join(F.broadcast(limits), "lang").filter("_h <= _limit").dropDuplicates(["lang", "_h", "text"]).select("lang", "text")
-    schema = "lang string, part int, counts binary"
-    width = 1 << 12
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for block in row_blocks(batch, "text"):
-                g = Grams(block.column(1))
-                lang = np.array(block.column(0).to_pylist(), dtype=object)
-                word_row = np.repeat(np.arange(block.num_rows), np.diff(g.row))
-                for name in sorted(set(lang)):
-                    times = np.bincount(g.codes[(lang == name)[word_row]], minlength=g.n_unique)
-                    add = np.bincount(g.slots, weights=np.repeat(times, np.diff(g.bounds)), minlength=1 << TABLE_BITS)
-                    tables[name] = tables.get(name, 0) + add
-        for name, t in tables.items():
-            for part in range(len(t) // width):
-                yield pa.record_batch([pa.array([name]), pa.array([part], pa.int32()), pa.array([t[part * width : (part + 1) * width].astype(np.float64).tobytes()], pa.binary())], names=["lang", "part", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(c, dtype=np.float64) for c in table["counts"].to_pylist())
-        return pa.table({"lang": table["lang"][:1], "part": table["part"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
     # a table of fixed size for each language
-    parts = sample.mapInArrow(count, schema).groupBy("lang", "part").applyInArrow(add, schema).collect()
+    parts = sample.mapInArrow(_slot_counts, SLOT_COUNTS).groupBy("lang", "part").applyInArrow(_add_slots, SLOT_COUNTS).collect()
     langs = sorted({p.lang for p in parts})
     counts = np.zeros((1 << TABLE_BITS, len(langs)))
     for p in parts:
-        counts[p.part * width : (p.part + 1) * width, langs.index(p.lang)] = np.frombuffer(p.counts, dtype=np.float64)
+        counts[p.part * PART_SLOTS + np.frombuffer(p.slots, dtype=np.uint16).astype(np.int64), langs.index(p.lang)] = np.frombuffer(p.counts, dtype=np.float64)
     seen = max(1, int((counts.sum(axis=1) > 0).sum())) if len(langs) else 1
     table = np.log((counts + smoothing) / (counts.sum(axis=0) + smoothing * seen)) if len(langs) else counts
     return langs, table.astype(np.float32)
@@ -215,7 +230,7 @@ def identify(docs: DataFrame, training: DataFrame, per_language: int = 3000) ->
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Identifier(*model.value)
         for batch in batches:
-            for block in row_blocks(batch, "text"):
+            for block in row_blocks(batch, "text", BLOCK_BYTES):
                 lang, score = own.predict(block.column(names.index("text")))
                 yield pa.record_batch([*block.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*names, "lang_pred", "lang_score"])
 

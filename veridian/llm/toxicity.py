@@ -35,6 +35,8 @@ from veridian.llm._shared import materialize, read_table
 from veridian.llm._textbytes import NOT_LETTER, Words, row_blocks
 from veridian.llm.language_id import held_out
 
+#: Text of a block; its tokens take some hundred times as much while it is read.
+BLOCK_BYTES = 512 << 10
 THRESHOLD = 0.3
 STEMS = (None, 6, 5, 4)
 
@@ -170,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 8000, prior: floa
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each token, the rows of each label that hold it; token 0 counts the rows."""
         for batch in batches:
-            for block in row_blocks(batch, "text"):
+            for block in row_blocks(batch, "text", BLOCK_BYTES):
                 words = Words(block.column(0), NOT_LETTER)
                 label = block.column(1).to_numpy()
                 row = np.tile(np.repeat(np.arange(block.num_rows), words.counts), len(STEMS))
@@ -202,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 8000, prior: floa
     def clean_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Token score counts of clean rows, on a grid of 1/16."""
         for batch in batches:
-            for block in row_blocks(batch, "text"):
+            for block in row_blocks(batch, "text", BLOCK_BYTES):
                 s = np.rint(model.value.token_scores(Words(block.column(0), NOT_LETTER)) * 16).astype(np.int64)
                 value, times = np.unique(s, return_counts=True)
                 yield pa.record_batch([pa.array(value), pa.array(times)], names=["value", "times"])
@@ -214,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 8000, prior: floa
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Best segment, number of tokens and label of each calibration row."""
         for batch in batches:
-            for block in row_blocks(batch, "text"):
+            for block in row_blocks(batch, "text", BLOCK_BYTES):
                 words = Words(block.column(0), NOT_LETTER)
                 s = model.value.token_scores(words)
                 top = [max((x[2] for x in maximal_segments(s[a:b])), default=0.0) for a, b in zip(words.row[:-1], words.row[1:])]
@@ -229,7 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 8000, prior: floa
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in row_blocks(batch, "text"):
+            for block in row_blocks(batch, "text", BLOCK_BYTES):
                 yield pa.record_batch([pa.array(fitted.value.evidence(block.column(0))[0]), block.column(1)], names=["value", "toxic"])
 
     seen = sample.filter("half = 1").mapInArrow(evidence, "value double, toxic int").toPandas()
@@ -253,7 +255,7 @@ def score_toxicity(docs: DataFrame, scorer: Scorer, spans: bool = True) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         for batch in batches:
-            for block in row_blocks(batch, "text"):
+            for block in row_blocks(batch, "text", BLOCK_BYTES):
                 value, found = own.evidence(block.column(names.index("text")), spans)
                 found = pa.array([x or [] for x in found], kind)
                 yield pa.record_batch([*block.columns, pa.array(own.probability(value)), found], names=[*names, "toxic_score", "toxic_spans"])
