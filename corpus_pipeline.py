@@ -14,6 +14,8 @@ Parquet and read again as the next one's ``docs``.  All but the last keep the co
 4. mixture: sources are repeated or thinned to their target weights.
 5. packing: everything left is packed into sequences of at most 4096 ids.
 
+Batches between Spark and Python are small in all stages (see ``small_batches``), so rows may be long.
+
 Null texts count as empty; very long texts are read whole; an empty table passes through every stage; columns
 beyond those of ``documents`` are kept up to packing, whatever their names and types.
 """
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veridian.llm._shared import materialize, read_table
+from veridian.llm._shared import materialize, read_table, small_batches
 from veridian.llm.language_id import UNDETERMINED, held_out, identify
 from veridian.llm.mixing import hashable, mix_documents
 from veridian.llm.ngram_join import ngram_components
@@ -36,6 +38,7 @@ LEAST_LANGUAGE = 0.4
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a known language."""
+    small_batches(spark)
     plain = _plain(docs)
     training = plain.select("doc_id", "text", "lang").filter(~held_out(F.col("doc_id"), 4))
     told = identify(plain, training)
@@ -44,6 +47,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents below the toxicity threshold."""
+    small_batches(spark)
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out(F.col("doc_id"), 4))
     plain = _plain(docs)
     scored = score_toxicity(plain, train(plain.select("doc_id", "text"), labels), spans=False)
@@ -52,6 +56,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group.  Rows are known by a hash of ``doc_id`` and text, so equal ones have one key."""
+    small_batches(spark)
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     groups = ngram_components(docs.select(key.alias("doc_id"), "text"))
     groups = groups.select(F.col("doc_id").alias("_row"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("_group"))
@@ -74,11 +79,13 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or thins sources to their targets."""
+    small_batches(spark)
     return mix_documents(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences."""
+    small_batches(spark)
     return pack_documents(docs)
 
 

@@ -358,3 +358,53 @@ def test_language_counts_are_small_and_read_in_small_blocks():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 120 << 20, peak
+
+
+def test_stages_pass_small_batches(spark, tmp_path):
+    import corpus_pipeline
+    from veridian.llm._shared import BATCH_BYTES, small_batches
+
+    rows = spark.range(2_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 500).alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "documents"))
+    docs = spark.read.parquet(str(tmp_path / "documents"))
+    before = spark.conf.get(BATCH_BYTES)
+    try:
+        spark.conf.set(BATCH_BYTES, "64m")
+        corpus_pipeline.language_stage(spark, docs, "")
+
+        def sizes(batches):
+            for b in batches:
+                yield pa.record_batch([pa.array([b.nbytes])], names=["bytes"])
+
+        assert docs.mapInArrow(sizes, "bytes long").agg(F.max("bytes")).first()[0] < 3 << 20
+        spark.conf.set(BATCH_BYTES, "100k")
+        small_batches(spark)
+        assert spark.conf.get(BATCH_BYTES) == "100k"
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
+
+
+def test_pieces_are_kept_as_bytes_and_windows_are_small():
+    import tracemalloc
+
+    from veridian.llm import _textbytes as T
+    from veridian.llm._bpe import ColumnEncoder, default_tokenizer
+
+    enc = ColumnEncoder(default_tokenizer())
+    rng = np.random.default_rng(5)
+    texts = [" ".join("".join(map(chr, rng.integers(97, 123, 9))) for _ in range(100)) for _ in range(200)]
+    whole = [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    tracemalloc.start()
+    ids, bounds = enc.encode(pa.array(texts))
+    kept = tracemalloc.get_traced_memory()[0] - ids.nbytes - bounds.nbytes
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == whole
+    # some 58 bytes for the text, 45 for its ids and 40 for its place
+    assert kept < 180 * 20_000, kept
+    T._POWERS.clear()
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    T.Words(pa.array(["some words " * 400_000])).hashes()
+    peak = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    # the words of the text take 40 MB, a window of 1 MB and its powers took 70 more
+    assert peak < 64 << 20, peak

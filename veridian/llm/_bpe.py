@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -53,19 +53,20 @@ _BYTES = _byte_alphabet()
 
 
 class ColumnEncoder:
-    """Encodes string columns with one tokenizer file; keeps a bounded cache of distinct pieces."""
+    """Encodes string columns with one tokenizer file; keeps a bounded cache of distinct pieces, their ids as bytes."""
 
-    def __init__(self, path: str, cache_size: int = 250_000):
+    def __init__(self, path: str, cache_size: int = 1 << 17):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size(True) <= 1 << 16 else np.uint32
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.code = "H" if self.dtype == np.uint16 else "I"
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.cache_size = cache_size
 
-    def _pieces(self, unique: list[str]) -> list[tuple[int, ...]]:
+    def _pieces(self, unique: list[str]) -> list[bytes]:
         if len(self.cache) > self.cache_size // 2:
             self.cache, self.older = {}, self.cache
         cache, older = self.cache, self.older
@@ -76,15 +77,15 @@ class ColumnEncoder:
             for i in missing:
                 w = unique[i]
                 if _PLAIN.fullmatch(w):
-                    found[i] = tuple(t.id for t in self.model.tokenize(w))
+                    found[i] = array(self.code, [t.id for t in self.model.tokenize(w)]).tobytes()
                 elif _LATIN.fullmatch(w):
                     mapped = w.lower().encode().decode("latin-1").translate(_BYTES)
-                    found[i] = tuple(t.id for t in self.model.tokenize(mapped))
+                    found[i] = array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
                 else:
                     whole.append(i)
             if whole:
                 for i, e in zip(whole, self.tokenizer.encode_batch_fast([unique[i] for i in whole], add_special_tokens=False)):
-                    found[i] = tuple(e.ids)
+                    found[i] = array(self.code, e.ids).tobytes()
         if len(unique) <= self.cache_size:
             cache.update(zip(unique, found))
         return found
@@ -118,8 +119,8 @@ class ColumnEncoder:
         coded = words.dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False)
         unique = self._pieces(coded.dictionary.to_pylist())
-        ulen = np.fromiter(map(len, unique), dtype=np.int64, count=len(unique))
-        flat = np.fromiter(chain.from_iterable(unique), dtype=self.dtype, count=int(ulen.sum()))
+        ulen = np.fromiter(map(len, unique), dtype=np.int64, count=len(unique)) // self.dtype().itemsize
+        flat = np.frombuffer(b"".join(unique), dtype=self.dtype)
         ustart = np.cumsum(ulen) - ulen
         lens = ulen[codes]
         ends = np.cumsum(lens)

@@ -6,6 +6,7 @@ All lineage is cut through tables in the folder that the cluster shares
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -70,6 +71,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Text and sets of a batch that goes to or from a Python worker, in bytes.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession, most: int = 2 << 20) -> None:
+    """From now on batches of this session hold ``most`` bytes at most (a longer row stays whole), however long the rows are.
+
+    By default they hold 10,000 rows or 64 MB, which an executor keeps in the JVM and in Python for each of its tasks.
+    A smaller limit of the session is left as it is.
+    """
+    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgtp]?)i?b?", spark.conf.get(BATCH_BYTES).strip().lower()).groups()
+    if not 0 < int(number) << 10 * " kmgtp".index(unit or " ") <= most:
+        spark.conf.set(BATCH_BYTES, str(most))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -35,7 +35,7 @@ N_GRAMS = (1, 2, 3, 4)
 TABLE_BITS = 18
 UNDETERMINED = "und"
 #: Text of a block; its n-grams take some hundred times as much while it is read.
-BLOCK_BYTES = 512 << 10
+BLOCK_BYTES = 128 << 10
 #: Slots of a table that go together.
 PART_SLOTS = 1 << 12
 SLOT_COUNTS = "lang string, part int, slots binary, counts binary"

@@ -54,6 +54,8 @@ from veridian.llm._textbytes import Words, mix64, row_blocks
 from veridian.llm.components import components
 
 SHINGLE_WORDS = 5
+#: Text of a block that is read at once.
+BLOCK_BYTES = 512 << 10
 GROUPS = 256
 SKETCH_BITS = 20
 SKETCH_PARTS = 64
@@ -147,7 +149,7 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
     seen = False
     for batch in batches:
-        for block in row_blocks(batch, "text"):
+        for block in row_blocks(batch, "text", BLOCK_BYTES):
             seen = True
             cls, check, n, vec = [], [], [], []
             for u in shingle_sets(block.column(1)):
@@ -438,7 +440,7 @@ def _keys(docs: DataFrame, sketch: np.ndarray, name: ClassNames, percent: int, s
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for batch in batches:
-            for block in row_blocks(batch, "text"):
+            for block in row_blocks(batch, "text", BLOCK_BYTES):
                 key, cls, rank = [], [], []
                 for u in shingle_sets(block.column(1)):
                     p = prefix_length(len(u), percent)
@@ -559,7 +561,7 @@ def ngram_components(docs: DataFrame, percent: int = 80, block_rows: int = 4096,
             for batch in batches:
                 at = _marks(batch.column(0).fill_null(_NO_ID).to_numpy(), len(bits))
                 chosen = batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
-                for block in row_blocks(chosen, "text"):
+                for block in row_blocks(chosen, "text", BLOCK_BYTES):
                     keep, sets = [], []
                     for u in shingle_sets(block.column(1)):
                         cls = name(u)

@@ -37,6 +37,8 @@ from veridian.llm._bpe import default_tokenizer, encoder
 from veridian.llm._shared import materialize, partitions_for, read_table
 from veridian.llm._textbytes import mix64, row_blocks
 
+#: Text of a block that is encoded at once.
+BLOCK_BYTES = 512 << 10
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -168,7 +170,7 @@ def encoded(docs: DataFrame, path: str, end_id: int, common: int) -> DataFrame:
         # frequent terms count only where a document has no other
         rank = [(mix64(term * np.uint64(2) + np.uint64(k)) >> np.uint64(2)) | np.where(term < common, np.uint64(1 << 62), np.uint64(0)) for k in (0, 1)]
         for batch in batches:
-            for block in row_blocks(batch, "text", 2 << 20):
+            for block in row_blocks(batch, "text", BLOCK_BYTES):
                 ids, bounds = enc.encode(block.column(1), end_id)
                 if not block.num_rows:
                     continue

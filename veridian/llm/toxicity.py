@@ -36,7 +36,7 @@ from veridian.llm._textbytes import NOT_LETTER, Words, row_blocks
 from veridian.llm.language_id import held_out
 
 #: Text of a block; its tokens take some hundred times as much while it is read.
-BLOCK_BYTES = 512 << 10
+BLOCK_BYTES = 256 << 10
 THRESHOLD = 0.3
 STEMS = (None, 6, 5, 4)
 
