@@ -408,3 +408,43 @@ def test_pieces_are_kept_as_bytes_and_windows_are_small():
     tracemalloc.stop()
     # the words of the text take 40 MB, a window of 1 MB and its powers took 70 more
     assert peak < 64 << 20, peak
+
+
+def test_pieces_met_before_are_not_encoded_again():
+    from veridian.llm._bpe import ColumnEncoder, default_tokenizer
+
+    class Counted:
+        def __init__(self, model):
+            self.model, self.calls = model, 0
+
+        def tokenize(self, piece):
+            self.calls += 1
+            return self.model.tokenize(piece)
+
+    enc = ColumnEncoder(default_tokenizer())
+    enc.model = Counted(enc.model)
+    rng = np.random.default_rng(7)
+    words = ["".join(map(chr, w)) for w in rng.integers(97, 123, (150_000, 8))]
+    columns = [pa.array([" ".join(words[i::6])]) for i in range(6)]
+    first = [enc.encode(c)[0] for c in columns]
+    calls = enc.model.calls
+    assert all(np.array_equal(enc.encode(c)[0], ids) for c, ids in zip(columns, first))
+    # pieces that share a place are encoded again, a quarter of them
+    assert enc.model.calls - calls < 60_000, enc.model.calls - calls
+
+
+@pytest.mark.parametrize("slots", [1, 8, 1 << 19])
+def test_pieces_that_share_a_place_keep_their_ids(slots):
+    from veridian.llm import _bpe
+
+    enc = _bpe.ColumnEncoder(_bpe.default_tokenizer())
+    enc.table = _bpe.PieceTable(enc.dtype, slots)
+    texts = [
+        "a", "a\0", "a\0\0", "\0" * 7, "\0" * 8, "\0" * 15, "\0" * 16, "\0" * 40, "abcdefgh", "abcdefghi", "abcdefgh\0", "abcdefghijklmno", "abcdefghijklmnop",
+        "été ÈÉÊ ß×÷ ÿ", "превосходительство словарь", "\x1c", "\x85", "!!!", "!!!!!!!!!!!!!!!!!!", "0 1 12", "qzxjkvqzxjkv qzxjkvqzxjkvqzxjkv", None, "", " ",
+    ]
+    want = [enc.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for column in (texts, texts[::-1], texts, texts * 3):
+        ids, bounds = enc.encode(pa.array(column, pa.string()))
+        by_text = dict(zip(texts, want))
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [by_text[t] for t in column]
