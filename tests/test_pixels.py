@@ -188,3 +188,44 @@ def test_parts_of_a_long_path_take_few_steps(monkeypatch):
 def test_images_of_one_file_are_dealt_to_tasks(spark, tmp_path):
     spark.range(2500).selectExpr("id AS p_partkey", "CAST(id % 50 AS INT) AS p_size", "900D AS p_retailprice").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     assert registry.QUERIES["f16_round_grains"](spark, str(tmp_path)).rdd.getNumPartitions() == 3
+
+
+def test_stacks_give_what_single_images_do_in_as_few_steps(monkeypatch):
+    """Each step over small arrays was taken anew for each image."""
+    draw = np.random.default_rng(4)
+    images = [disc(64, (32 + k % 9, 32 + k % 13), (18 + k % 6, 18 + k % 5)) for k in range(20)]
+    images += [draw.integers(0, 256, (64, 64, 3)).astype(np.uint8) for _ in range(4)] + [np.full((64, 64, 3), v, np.uint8) for v in (0, 9, 255)]
+    alone = [[P.centred(x), P.regular(x), P.circular(x)] for x in images]
+    assert {True, False} == {a[0] for a in alone} == {a[1] for a in alone} == {a[2] for a in alone}
+    steps = []
+    for name in ("pad", "bincount", "cumsum", "searchsorted"):
+        monkeypatch.setattr(np, name, lambda *a, f=getattr(np, name), **k: steps.append(1) or f(*a, **k))
+    P.grains(np.stack(images[:1]))
+    one = len(steps)
+    assert P.grains(np.stack(images)).tolist() == alone and len(steps) == 2 * one
+
+
+def test_a_mask_of_the_whole_image_is_a_part():
+    """Parts are numbered from 1, with or without pixels outside."""
+    assert (P.parts(np.ones((3, 4), bool)) == 1).all() and len(P.largest_part(np.ones((3, 4), bool))) == 12
+    assert P.regular(np.zeros((30, 30, 3), np.uint8)) and not P.regular(np.zeros((30, 20, 3), np.uint8))
+
+
+def test_blur_in_integers_rounds_as_the_mean():
+    draw = np.random.default_rng(6)
+    for g in (draw.integers(0, 256, (3, 40, 50)), draw.choice([0, 255], (2, 9, 7)), np.full((1, 5, 1), 255)):
+        g = g.astype(np.uint8)
+        assert (P.blurred(g) == np.rint(P.weighted_mean(g, np.array([1, 4, 6, 4, 1]) / 16, "reflect"))).all()
+
+
+def test_stacks_of_mixed_sizes_in_a_table(spark):
+    sizes = [(20 + k % 3, 20 + k % 2) for k in range(30)]
+    rows = [(k, h, w, bytes([k]) * (3 * h * w)) for k, (h, w) in enumerate(sizes)] + [(30, 20, 20, None), (31, 20, 20, b"short"), (32, None, 20, b"x")]
+    df = spark.createDataFrame(rows, "id long, height int, width int, pixels binary").coalesce(1)
+
+    def first(stack):
+        assert len(stack) <= 2
+        return [f"{x[0, 0, 0]} {x.shape}" for x in stack]
+
+    got = {r.id: r.result for r in P.with_stack_test(df, "id", first, "string", pixels=900).collect()}
+    assert got == {k: f"{k} {(*s, 3)}" for k, s in enumerate(sizes)} | {30: None, 31: None, 32: None}

@@ -241,14 +241,15 @@ SELECT slide, tile, tx::INT AS x, ty::INT AS y, (3 * (255 * 24 * 24 - dark))::BI
 
 def _grains(frames):
     """An image of 72 pixels for each part: an ellipse whose axes, shade and place come from the row."""
-    y, x = np.mgrid[:72, :72]
+    y, x = np.arange(72)[:, None], np.arange(72)
+    shades = [((x * 7 + y * 13 + k) % 5).astype(np.uint8) for k in range(5)]
     for part in frames:
         rows = []
         for key, size, price in zip(part["p_partkey"], part["p_size"], part["p_retailprice"]):
             a, b = 20 + size % 7, (20 + size % 7) * (1.0, 1.05, 1.4)[key % 3]
             inside = ((x - 36 - (0, 14)[key % 7 == 0]) / a) ** 2 + ((y - 36) / b) ** 2 <= 1
-            grey = np.where(inside, 90 + int(price) % 40, 220) + (x * 7 + y * 13 + key) % 5
-            rows.append((key, 72, 72, np.repeat(grey.astype(np.uint8)[:, :, None], 3, axis=2).tobytes()))
+            grey = np.where(inside, np.uint8(90 + int(price) % 40), np.uint8(220)) + shades[key % 5]
+            rows.append((key, 72, 72, grey.repeat(3).tobytes()))
         yield pd.DataFrame(rows, columns=["p_partkey", "height", "width", "pixels"])
 
 
@@ -257,9 +258,10 @@ def round_grains(spark: SparkSession, d: str) -> DataFrame:
     parts = read(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
     # rows are narrow and their work is not: a file's rows are dealt to tasks of some 1,000 images
     parts = parts.repartition(-(-parts.count() // 1000) or 1, "p_partkey")
-    images = parts.mapInPandas(_grains, "p_partkey long, height int, width int, pixels binary")
-    tests = {"centred": P.centred, "regular": P.regular, "circular": P.circular}
-    return P.with_test(images, "p_partkey", lambda rgb: [bool(t(rgb)) for t in tests.values()], "array<boolean>").select("p_partkey", *(F.col("result")[i].alias(n) for i, n in enumerate(tests)))
+    # images are tested where they are made: pixels do not pass from Python to Spark and back
+    tester = P.stack_tester("p_partkey", lambda stack: P.grains(stack).tolist())
+    tests = parts.mapInPandas(lambda frames: tester(_grains(frames)), "p_partkey long, result array<boolean>")
+    return tests.select("p_partkey", *(F.col("result")[i].alias(n) for i, n in enumerate(("centred", "regular", "circular"))))
 
 
 def matched(spark: SparkSession, d: str) -> DataFrame:
